@@ -14,6 +14,7 @@ EMAIL_OBFUSCATED = (
     rf"([A-Za-z0-9.-]+)[{WS}]*(?:\[[dD][oO][tT]\]|\([dD][oO][tT]\)|[{WS}][dD][oO][tT][{WS}])[{WS}]*"
     r"([A-Za-z]{2,})"
 )
+SPELLED_DOT = rf"[dD][oO][tT][\]){WS}]"
 MAILTO = rf"(?i:mailto):([^\"'?{WS}>]+)"
 PHONE = rf"\+?[0-9][0-9{WS}\-().]{{7,}}[0-9]"
 PHONE_MIN_CHARS = 8
@@ -21,6 +22,11 @@ URL = rf"(?i:https?)://[^{WS})>\"']+"
 REPLACEMENT = "\ufffd"
 TRAILING_PUNCTUATION = r"[),.;:!?]+\z"
 
+# The plain pattern, tried only where a run of address characters starts: a run
+# that fails from its start fails from every later position too.
+EMAIL_SCAN = EMAIL.replace("+@", "++@", 1)
+EMAIL_SCAN = rf"(?:\G|(?<![A-Za-z0-9._%+-])){EMAIL_SCAN}"
+
 FIELDS = ("emails", "phones", "urls")
 DEFAULT_FIELDS = ("emails", "phones")
 
@@ -40,10 +46,12 @@ def is_valid_email(c: str | Column) -> Column:
 
 def _written_emails(text: Column) -> Column:
     """Plain addresses, and those written with ``[at]`` and ``[dot]``."""
-    plain = _matches(text, EMAIL)
-    hidden = F.transform(
-        _matches(text, EMAIL_OBFUSCATED), lambda m: F.regexp_replace(m, f"^{EMAIL_OBFUSCATED}", "$1@$2.$3")
-    )
+    # Both patterns try every word of a text, so a quick look comes first: no @, no
+    # address; no spelled-out dot, no hidden one.
+    none = F.array().cast("array<string>")
+    plain = F.when(F.contains(text, F.lit("@")), _matches(text, EMAIL_SCAN)).otherwise(none)
+    spelled = F.when(text.rlike(SPELLED_DOT), _matches(text, EMAIL_OBFUSCATED)).otherwise(none)
+    hidden = F.transform(spelled, lambda m: F.regexp_replace(m, f"^{EMAIL_OBFUSCATED}", "$1@$2.$3"))
     return F.transform(F.concat(plain, hidden), normalize_email)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.functions.text import as_column, strip_ws
+from pagelens.functions.text import as_column, let, strip_ws
 
 _DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 _RADIX = (("^0[xX][0-9a-fA-F]+\\z", 16), ("^0[oO][0-7]+\\z", 8), ("^0[bB][01]+\\z", 2))
@@ -27,11 +27,14 @@ def loose_number(c: str | Column, dtype: T.DataType | None = None) -> Column:
     c = as_column(c)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return finite(c.cast("double"))
-    s = strip_ws(c.cast("string"))
-    value = F.when(s == "", F.lit(0.0)).when(s.rlike(_DECIMAL), s.try_cast("double"))
-    for pattern, radix in _RADIX:
-        value = value.when(s.rlike(pattern), F.conv(F.substring(s, 3, 2147483647), radix, 10).cast("double"))
-    return finite(value)
+
+    def read(s: Column) -> Column:
+        value = F.when(s == "", F.lit(0.0)).when(s.rlike(_DECIMAL), s.try_cast("double"))
+        for pattern, radix in _RADIX:
+            value = value.when(s.rlike(pattern), F.conv(F.substring(s, 3, 2147483647), radix, 10).cast("double"))
+        return value
+
+    return let(let(strip_ws(c.cast("string")), read), finite)
 
 
 def number_or_zero(c: str | Column, dtype: T.DataType | None = None) -> Column:
@@ -39,5 +42,4 @@ def number_or_zero(c: str | Column, dtype: T.DataType | None = None) -> Column:
 
 
 def positive_or_null(c: str | Column, dtype: T.DataType | None = None) -> Column:
-    n = loose_number(c, dtype)
-    return F.when(n > 0, n)
+    return let(loose_number(c, dtype), lambda n: F.when(n > 0, n))

@@ -38,13 +38,15 @@ def is_http_url(c: str | Column) -> Column:
     return F.coalesce(_clean(as_column(c)).rlike(_HTTP_URL), F.lit(False))
 
 
-def _parts(c: Column) -> Column:
-    """The six groups as an array; one element only where the URL is not valid.
+def url_parts(c: str | Column) -> Column:
+    """Scheme, user, host, port, path and query of an http(s) URL as an array; an
+    array of another size where the URL is missing or not valid.
 
     Cleaning removes line feeds, so a line feed is a safe separator.
     """
     groups = "\n".join(f"${i}" for i in range(1, _GROUPS + 1))
-    return F.split(F.regexp_replace(_clean(c), _HTTP_URL, groups), "\n", -1)
+    parts = F.split(F.regexp_replace(_clean(as_column(c)), _HTTP_URL, groups), "\n", -1)
+    return F.coalesce(parts, F.array(F.lit("")))
 
 
 def _encode(text: Column, unsafe: str) -> Column:
@@ -102,11 +104,11 @@ def _print(p: Column, drop_trailing_slash: bool) -> Column:
 def normalize_url(c: str | Column) -> Column:
     """The form URLs are compared in: printed, without fragment and without one
     trailing slash. NULL where the URL is not a valid http(s) URL."""
-    return let(_parts(as_column(c)), lambda p: _print(p, drop_trailing_slash=True))
+    return let(url_parts(as_column(c)), lambda p: _print(p, drop_trailing_slash=True))
 
 
 def url_host(c: str | Column) -> Column:
-    return let(_parts(as_column(c)), lambda p: F.when(F.size(p) == _GROUPS, F.lower(p[2])))
+    return let(url_parts(as_column(c)), lambda p: F.when(F.size(p) == _GROUPS, F.lower(p[2])))
 
 
 def registrable_domain(host: Column) -> Column:
@@ -141,25 +143,24 @@ def _print_other(url: Column) -> Column:
     return F.when((scheme != "") & ~scheme.rlike(r"^[hH][tT][tT][pP][sS]?\z"), F.concat(F.lower(scheme), rest))
 
 
-def resolve_url(src: str | Column, base: str | Column) -> Column:
-    """``src`` as an absolute URL without fragment, seen from the page ``base``.
-
-    ``data:`` sources and those that cannot be resolved stay as they are; blank
-    ones are NULL.
-    """
+def resolve_against(src: str | Column, base_parts: Column) -> Column:
+    """``resolve_url`` for a base taken apart before, once for all its sources."""
 
     def resolve(raw: Column) -> Column:
-        absolute = let(
-            F.coalesce(_parts(as_column(base)), F.array(F.lit(""))), lambda b: _absolute(_clean(raw), b)
-        )
         printed = let(
-            absolute,
-            lambda a: F.coalesce(let(_parts(a), lambda p: _print(p, drop_trailing_slash=False)), _print_other(a)),
-        )
-        return (
-            F.when(raw == "", None)
-            .when(raw.startswith("data:"), raw)
-            .otherwise(F.coalesce(printed, raw))
+            _absolute(_clean(raw), base_parts),
+            lambda a: F.coalesce(let(url_parts(a), lambda p: _print(p, drop_trailing_slash=False)), _print_other(a)),
         )
+        kept = F.when(raw.startswith("data:"), raw).otherwise(F.coalesce(printed, raw))
+        return F.when(raw != "", kept)
 
     return let(strip_ws(as_column(src)), resolve)
+
+
+def resolve_url(src: str | Column, base: str | Column) -> Column:
+    """``src`` as an absolute URL without fragment, seen from the page ``base``.
+
+    ``data:`` sources and those that cannot be resolved stay as they are; blank
+    ones are NULL.
+    """
+    return let(url_parts(as_column(base)), lambda parts: resolve_against(src, parts))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pagelens.functions.endpoints import CREDIT_EXEMPT, audit_cost, audit_endpoint, endpoint_allowed, relation_id, rule_list
 from pagelens.functions.numbers import positive_or_null
-from pagelens.functions.text import non_empty
+from pagelens.functions.text import non_empty, strip_ws
 from pagelens.operators.usage import positive_credit
 
 # Reason, status code and message of each decision, in the order they are checked.
@@ -45,49 +45,58 @@ class AccessPolicy:
     credit_exempt: tuple[str, ...] = CREDIT_EXEMPT
 
 
-def credits_before(requests: DataFrame, log: DataFrame, credit_column: str | None = None) -> DataFrame:
-    """Credits the account used in the month strictly before each request.
+def running_credits(moments: DataFrame, log: DataFrame, credit_column: str | None = None) -> DataFrame:
+    """Credits used in the month strictly before each ``(account_id, ts)`` of ``moments``.
 
-    ``requests(request_id, account_id, ts)``. Rows are first summed per account
-    and instant, so a running sum never sees two rows of one instant. It is then
-    taken in two steps: over the seconds of a month, and over the instants of a
-    second. A window holds at most the seconds of one month or the microseconds
-    of one second, however many rows an account has.
+    Rows are first summed per account and instant, so a running sum never sees
+    two rows of one instant. It is then taken in two steps: over the seconds of
+    a month, and over the instants of a second. A window holds at most the
+    seconds of one month or the microseconds of one second, however many rows an
+    account has.
     """
-    month, second = F.date_trunc("month", "ts"), F.date_trunc("second", "ts")
-    asked = requests.select("account_id", "ts", F.lit(0.0).alias("credit"), F.lit(True).alias("asked"))
+    asked = moments.select("account_id", "ts", F.lit(0.0).alias("credit"), F.lit(True).alias("asked"))
     used = log.select(
-        "account_id", F.col("created").alias("ts"), positive_credit(log, credit_column).alias("credit"), F.lit(False).alias("asked")
+        "account_id",
+        F.col("created").alias("ts"),
+        positive_credit(log, credit_column).alias("credit"),
+        F.lit(False).alias("asked"),
     ).filter(F.col("credit").isNotNull())
     instants = (
         asked.unionByName(used)
         .filter(F.col("account_id").isNotNull())
         .groupBy("account_id", "ts")
         .agg(F.sum("credit").alias("credit"), F.max("asked").alias("asked"))
-        .withColumn("second", second)
+        .withColumn("second", F.date_trunc("second", "ts"))
     )
-    earlier_seconds = Window.partitionBy("account_id", "month").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
     seconds = (
         instants.groupBy("account_id", "second")
         .agg(F.sum("credit").alias("credit"), F.max("asked").alias("asked"))
         .withColumn("month", F.date_trunc("month", "second"))
-        .withColumn("before_second", F.coalesce(F.sum("credit").over(earlier_seconds), F.lit(0.0)))
+        .withColumn(
+            "before_second",
+            F.sum("credit").over(before.partitionBy("account_id", "month").orderBy("second")),
+        )
         .filter("asked")
         .select("account_id", "second", "before_second")
     )
-    earlier_instants = Window.partitionBy("account_id", "second").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     within = (
-        instants.withColumn("in_second", F.coalesce(F.sum("credit").over(earlier_instants), F.lit(0.0)))
+        instants.withColumn(
+            "in_second", F.sum("credit").over(before.partitionBy("account_id", "second").orderBy("ts"))
+        )
         .filter("asked")
         .select("account_id", "second", "ts", "in_second")
     )
-    running = within.join(seconds, ["account_id", "second"]).select(
-        "account_id", "ts", (F.col("before_second") + F.col("in_second")).alias("used_credits")
-    )
-    return (
-        requests.select("request_id", "account_id", "ts")
-        .join(running, ["account_id", "ts"], "left")
-        .select("request_id", "account_id", "ts", F.coalesce("used_credits", F.lit(0.0)).alias("used_credits"))
+    zero = F.lit(0.0)
+    total = F.coalesce("before_second", zero) + F.coalesce("in_second", zero)
+    return within.join(seconds, ["account_id", "second"]).select("account_id", "ts", total.alias("used_credits"))
+
+
+def credits_before(requests: DataFrame, log: DataFrame, credit_column: str | None = None) -> DataFrame:
+    """``requests(request_id, account_id, ts)`` with the credits used before each."""
+    running = running_credits(requests, log, credit_column)
+    return requests.join(running, ["account_id", "ts"], "left").select(
+        "request_id", "account_id", "ts", F.coalesce("used_credits", F.lit(0.0)).alias("used_credits")
     )
 
 
@@ -195,9 +204,10 @@ def access_audit(
         & (F.col("cost") > 0)
         & (F.col("limit_of_plan").isNotNull() | F.col("key_limit").isNotNull())
     )
-    metered = known.filter(checks_credits).select("request_id", "account_id", "ts")
-    used = credits_before(metered, log).select("request_id", "used_credits")
-    judged = known.join(used, "request_id", "left")
+    running = running_credits(known.filter(checks_credits), log)
+    judged = known.join(running, ["account_id", "ts"], "left").withColumn(
+        "used_credits", F.when(checks_credits, F.coalesce("used_credits", F.lit(0.0)))
+    )
 
     projected = F.col("used_credits") + F.col("cost")
     within_plan, within_key = projected <= F.col("limit_of_plan"), projected <= F.col("key_limit")
@@ -249,21 +259,14 @@ def access_audit(
     )
 
 
-def static_key_check(requests: DataFrame, keys: DataFrame) -> DataFrame:
-    """Decision by a plain key list: missing 401, unknown 403, listed 200.
-
-    ``keys(key)``: an empty list is not a valid setup and answers 503.
-    """
-    listed = keys.select(non_empty(F.trim("key")).alias("key")).filter("key IS NOT NULL").distinct()
-    configured = listed.agg((F.count("*") > 0).alias("configured"))
+def static_key_check(requests: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Decision by a plain key list: missing 401, unknown 403, listed 200; 503 without a list."""
     asked = requests.select("request_id", non_empty("api_key").alias("key"))
-    checked = asked.join(listed.withColumn("listed", F.lit(True)), "key", "left").join(configured)
-    code = (
-        F.when(F.col("key").isNull(), 401)
-        .when(~F.col("configured"), 503)
-        .when(F.col("listed").isNull(), 403)
-        .otherwise(200)
-    )
+    if keys is None:
+        return asked.select("request_id", F.when(F.col("key").isNull(), 401).otherwise(503).alias("code"))
+    listed = keys.select(non_empty(strip_ws("key")).alias("key"), F.lit(True).alias("listed"))
+    checked = asked.join(listed.filter("key IS NOT NULL").distinct(), "key", "left")
+    code = F.when(F.col("key").isNull(), 401).when(F.col("listed").isNull(), 403).otherwise(200)
     return checked.select("request_id", code.alias("code"))
 
 
@@ -281,7 +284,6 @@ def rate_limit_audit(requests: DataFrame, limit: int = 100, window: str = "15 mi
     order = Window.partitionBy("ip_address", "window_start").orderBy("ts", "request_id")
     last_allowed = (
         rows.withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= limit)
         .filter(F.col("n") == limit)
         .select("ip_address", "window_start", F.col("ts").alias("last_ts"), F.col("request_id").alias("last_id"))
     )

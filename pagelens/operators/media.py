@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import if_non_blank
-from pagelens.functions.urls import resolve_url
+from pagelens.functions.urls import resolve_against, url_parts
 from pagelens.operators.views import record_url
 from pagelens.sources import records as R
 
@@ -39,10 +39,10 @@ def media_rows(records: DataFrame) -> DataFrame:
     items = F.concat(*[_bucket_items(n, b, k) for n, (b, k) in enumerate(BUCKETS)])
     page = F.coalesce(record_url(), F.col("target"))
     rows = R.usable(records, R.has_media).select(
-        *KEYS, "record_pos", page.alias("page_url"), F.explode(items).alias("m")
+        *KEYS, "record_pos", url_parts(page).alias("page"), F.explode(items).alias("m")
     )
     return (
-        rows.select(*KEYS, "record_pos", "m.*", resolve_url("m.raw_src", "page_url").alias("src"))
+        rows.select(*KEYS, "record_pos", "m.*", resolve_against("m.raw_src", F.col("page")).alias("src"))
         .drop("raw_src")
         .filter(F.col("src").isNotNull())
     )

@@ -37,9 +37,10 @@ def positive_credit(log: DataFrame, credit_column: str | None = None) -> Column:
     return positive_or_null(*_credit_source(log, credit_column))
 
 
-def cleaned(log: DataFrame, credit_column: str | None = None) -> DataFrame:
+def cleaned(log: DataFrame, credit_column: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Endpoint, status and credit of each log row; nothing else travels further."""
     return log.select(
+        *keep,
         _text_or_unknown(log, "endpoint").alias("endpoint"),
         _text_or_unknown(log, "response_code").alias("status"),
         credit(log, credit_column).alias("credit"),

@@ -1,8 +1,8 @@
 """Typed views over crawl records. Each is one narrow projection without a shuffle.
 
-A view keeps the records its predicate accepts. For payload input pass the same
-predicate to ``crawl_records`` so that the position, and with it the fallback
-URL, counts the kept records.
+A view keeps the records it can use. For payload input give ``crawl_records`` the
+name of the view, so that the position, and with it the fallback URL, counts the
+kept records.
 """
 
 from __future__ import annotations
@@ -14,19 +14,7 @@ from pagelens.functions import contacts, seo
 from pagelens.functions.text import if_non_blank, markdown_to_text, non_blank, non_empty, strip_tags
 from pagelens.sources import records as R
 
-PREDICATES: dict[str, R.Predicate] = {
-    "metadata": R.is_metadata_record,
-    "html": R.has_html,
-    "markdown": R.has_markdown,
-    "text": R.has_text,
-    "seo": R.has_seo,
-    "extract": R.is_extractable,
-    "screenshot": R.has_screenshot,
-    "media": R.has_media,
-    "map": R.has_links,
-    "bulk": R.any_record,
-    "emails": R.any_record,
-}
+HEADER = ("request_id", "record_pos", "url", "redirected_url", "success", "status_code")
 
 
 def record_url() -> Column:
@@ -83,35 +71,35 @@ def text_view(records: DataFrame) -> DataFrame:
     return chosen.withColumn("text", markdown_to_text("source")).drop("source")
 
 
-def _metadata_text(path: str) -> Column:
-    """A truthy metadata field; the map holds nested objects as JSON text."""
-    if "." not in path:
-        return non_empty(F.col("metadata")[path])
-    group, field = path.split(".")
-    return R.truthy_text_at(F.try_parse_json(F.col("metadata")[group]), f"$.{field}")
-
-
 def seo_view(records: DataFrame) -> DataFrame:
     """SEO fields: the service's metadata, else the page's tags, else empty text."""
-    html = F.coalesce("html", F.lit(""))
+    html, metadata = F.coalesce("html", F.lit("")), F.col("metadata")
     scanned = R.usable(records, R.has_seo).select(
-        *header(), "metadata", seo.page_title(html).alias("page_title"), seo.head_tags(html).alias("tags")
+        *header(),
+        "metadata",
+        # Nested metadata objects are held as JSON text.
+        F.try_parse_json(metadata["og"]).alias("og"),
+        F.try_parse_json(metadata["twitter"]).alias("twitter"),
+        seo.page_title(html).alias("page_title"),
+        seo.head_tags(html).alias("tags"),
     )
     tags = F.col("tags")
 
-    def merged(meta_path: str, from_page: Column) -> Column:
-        return F.coalesce(_metadata_text(meta_path), non_empty(from_page), F.lit(""))
+    def merged(from_service: Column, from_page: Column) -> Column:
+        return F.coalesce(non_empty(from_service), non_empty(from_page), F.lit(""))
 
-    plain = {"title": F.col("page_title"), "canonical": seo.canonical_link(tags)}
-    fields = [merged(n, plain[n] if n in plain else seo.meta_named(tags, n)).alias(n) for n in seo.PLAIN_FIELDS]
-    og = F.struct(*[merged(f"og.{n}", seo.meta_property(tags, f"og:{n}")).alias(n) for n in seo.OG_FIELDS])
-    twitter = F.struct(
-        *[merged(f"twitter.{n}", seo.meta_named(tags, f"twitter:{n}")).alias(n) for n in seo.TWITTER_FIELDS]
-    )
-    return scanned.select(
-        "request_id", "record_pos", "url", "redirected_url", "success", "status_code",
-        F.struct(*fields, og.alias("og"), twitter.alias("twitter")).alias("seo"),
-    )
+    def nested(group: str, names: tuple[str, ...], from_page) -> Column:
+        return F.struct(*[
+            merged(R.truthy_text_at(F.col(group), f"$.{n}"), from_page(tags, f"{group}:{n}")).alias(n) for n in names
+        ])
+
+    page = {"title": F.col("page_title"), "canonical": seo.canonical_link(tags)}
+    plain = [
+        merged(metadata[n], page[n] if n in page else seo.meta_named(tags, n)).alias(n) for n in seo.PLAIN_FIELDS
+    ]
+    og = nested("og", seo.OG_FIELDS, seo.meta_property)
+    twitter = nested("twitter", seo.TWITTER_FIELDS, seo.meta_named)
+    return scanned.select(*HEADER, F.struct(*plain, og.alias("og"), twitter.alias("twitter")).alias("seo"))
 
 
 def extractable_text() -> Column:
@@ -136,12 +124,11 @@ def extract_fields_long(records: DataFrame, fields: list[str] | None = None) ->
     """The same values in long form: one row per (record, field, value)."""
     wide = extract_fields(records, fields)
     wanted = contacts.supported_fields(fields)
-    tagged = F.flatten(
-        F.array(*[
-            F.transform(F.col(f), lambda v, name=f: F.struct(F.lit(name).alias("field"), v.alias("value")))
-            for f in wanted
-        ])
-    )
+
+    def tagged_values(field: str) -> Column:
+        return F.transform(field, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+    tagged = F.concat(*[tagged_values(f) for f in wanted])
     return wide.select("request_id", "record_pos", "url", F.explode(tagged).alias("item")).select(
         "request_id", "record_pos", "url", "item.field", "item.value"
     )

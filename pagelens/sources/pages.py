@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import let, non_empty, strip_tags, strip_ws
-from pagelens.functions.urls import registrable_domain, resolve_url, url_host
-from pagelens.sources.records import LINK_TYPE, MARKDOWN_KEYS, MEDIA_TYPE
+from pagelens.functions.urls import registrable_domain, resolve_against, url_host, url_parts
+from pagelens.sources.records import ALL_FIELDS, HEADER_FIELDS, LINK_TYPE, MARKDOWN_KEYS, MEDIA_TYPE
 
 # An anchor runs to its end tag, or to the next anchor where the end tag is missing.
 ANCHOR = r"(?i)<a\s[^>]*>[\s\S]*?(?=</a>|<a\s|\z)"
@@ -29,10 +29,10 @@ def _number(text: Column) -> Column:
     return F.regexp_extract(text, r"^([0-9]+)(?:px)?\z", 1).try_cast("double")
 
 
-def _link(tag: Column, base: Column) -> Column:
+def _link(tag: Column, base_parts: Column) -> Column:
     href = F.replace(_attribute(tag, "href"), F.lit("&amp;"), F.lit("&"))
     return F.struct(
-        resolve_url(href, base).alias("href"),
+        resolve_against(href, base_parts).alias("href"),
         strip_ws(strip_tags(tag)).alias("text"),
         _attribute(tag, "title").alias("title"),
     )
@@ -66,46 +66,58 @@ def _all(html: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
-def records_from_pages(pages: DataFrame) -> DataFrame:
+def _same_site(link: Column, domain: Column) -> Column:
+    return F.coalesce(let(url_host(link["href"]), registrable_domain) == domain, F.lit(False))
+
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
+_READERS = {
+    "url": lambda: F.col("url"),
+    "redirected_url": _no_text,
+    "url_text": lambda: F.col("url"),
+    "redirected_url_text": _no_text,
+    # A stored page was fetched; its status code is not part of the table.
+    "success": lambda: F.lit(True),
+    "status_code": lambda: F.lit(None).cast("int"),
+    "status_is_number": lambda: F.lit(False),
+    "html": lambda: F.col("html"),
+    "markdown_text": _no_text,
+    "markdown": lambda: F.struct(*[_no_text().alias(k) for k in MARKDOWN_KEYS]),
+    "metadata": lambda: F.lit(None).cast("map<string,string>"),
+    "has_metadata": lambda: F.lit(False),
+    "has_links": lambda: F.lit(True),
+    "internal_links": lambda: F.filter("links", lambda x: _same_site(x, F.col("domain"))),
+    "external_links": lambda: F.filter("links", lambda x: ~_same_site(x, F.col("domain"))),
+    "has_media": lambda: F.lit(True),
+    "images": lambda: _media(_all(F.col("html"), IMAGE), "image"),
+    "videos": lambda: _media(_all(F.col("html"), VIDEO), "video"),
+    "audios": lambda: _media(_all(F.col("html"), AUDIO), "audio"),
+    "screenshot": lambda: F.lit(None).cast("struct<screenshot:string,url:string,base64:string>"),
+}
+
+
+def records_from_pages(pages: DataFrame, fields: tuple[str, ...] = ALL_FIELDS) -> DataFrame:
     """Typed crawl records of a page table; each page is its own target. Row-local."""
-    html, url = F.col("html"), F.col("url")
-    text = F.lit(None).cast("string")
-    linked = pages.select(
-        F.col("page_id").cast("string").alias("request_id"),
-        "url",
-        "html",
-        F.filter(
-            F.transform(_all(html, ANCHOR), lambda tag: _link(tag, url)), lambda x: x["href"].isNotNull()
-        ).cast(LINK_TYPE).alias("links"),
-        registrable_domain(url_host(url)).alias("domain"),
-    )
-    same_site = lambda x: F.coalesce(
-        let(url_host(x["href"]), registrable_domain) == F.col("domain"), F.lit(False)
-    )
-    return linked.select(
+    wanted = dict.fromkeys((*HEADER_FIELDS, *fields))
+    source = pages.select(F.col("page_id").cast("string").alias("request_id"), "url", "html")
+    if {"internal_links", "external_links"} & set(wanted):
+        # The page's own URL is taken apart once for all its links.
+        located = source.withColumn("base", url_parts("url"))
+        links = F.transform(_all(F.col("html"), ANCHOR), lambda tag: _link(tag, F.col("base")))
+        source = located.select(
+            "request_id",
+            "url",
+            "html",
+            F.filter(links, lambda x: x["href"].isNotNull()).cast(LINK_TYPE).alias("links"),
+            registrable_domain(F.lower(F.get("base", F.lit(2)))).alias("domain"),
+        )
+    return source.select(
         "request_id",
         F.col("url").alias("target"),
         F.lit(0).alias("record_pos"),
         F.col("url").alias("fallback_url"),
-        "url",
-        text.alias("redirected_url"),
-        F.col("url").alias("url_text"),
-        text.alias("redirected_url_text"),
-        # A stored page was fetched; its status code is not part of the table.
-        F.lit(True).alias("success"),
-        F.lit(None).cast("int").alias("status_code"),
-        F.lit(False).alias("status_is_number"),
-        "html",
-        text.alias("markdown_text"),
-        F.struct(*[text.alias(k) for k in MARKDOWN_KEYS]).alias("markdown"),
-        F.lit(None).cast("map<string,string>").alias("metadata"),
-        F.lit(False).alias("has_metadata"),
-        F.lit(True).alias("has_links"),
-        F.filter("links", same_site).alias("internal_links"),
-        F.filter("links", lambda x: ~same_site(x)).alias("external_links"),
-        F.lit(True).alias("has_media"),
-        _media(_all(html, IMAGE), "image").alias("images"),
-        _media(_all(html, VIDEO), "video").alias("videos"),
-        _media(_all(html, AUDIO), "audio").alias("audios"),
-        F.lit(None).cast("struct<screenshot:string,url:string,base64:string>").alias("screenshot"),
+        *[_READERS[name]().alias(name) for name in wanted],
     )

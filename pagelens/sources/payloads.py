@@ -59,10 +59,13 @@ def _items(content: Column) -> Column:
 
 def crawl_records(
     payloads: DataFrame,
-    predicate: R.Predicate = R.any_record,
+    view: str = "bulk",
     fallback: str = "filtered_index",
+    fields: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """One typed row per record that passes ``predicate``.
+    """One typed row per record that the named view accepts.
+
+    Holds the header and the fields the view reads; ``fields`` names others.
 
     Everything happens inside the payload's own row, so nothing is shuffled, and
     the record position counts the kept records of that payload.
@@ -76,14 +79,16 @@ def crawl_records(
     )
     numbered = F.filter(
         F.transform(F.col("items"), lambda x, i: F.struct(x.alias("record"), i.alias("ordinal"))),
-        lambda item: R.is_object(item["record"]) & predicate(R.variant_fields(item["record"])),
+        lambda item: R.is_object(item["record"]) & R.PREDICATES[view](R.VariantFields(item["record"])),
     )
     rows = opened.select("request_id", "target_urls", F.posexplode(numbered).alias("record_pos", "item"))
     index = F.col("record_pos") if fallback == "filtered_index" else F.col("item.ordinal")
+    record = R.VariantFields(F.col("item.record"))
+    wanted = dict.fromkeys((*R.HEADER_FIELDS, *(R.FIELDS[view] if fields is None else fields)))
     return rows.select(
         "request_id",
         F.get("target_urls", F.lit(0)).alias("target"),
         "record_pos",
         F.get("target_urls", index).alias("fallback_url"),
-        *[c.alias(name) for name, c in R.variant_fields(F.col("item.record")).items()],
+        *[record[name].alias(name) for name in wanted],
     )

@@ -116,33 +116,76 @@ def _screenshot(v: Column) -> Column:
     )
 
 
-def variant_fields(v: Column) -> dict[str, Column]:
-    """Typed columns of one record held as VARIANT; unused ones are pruned."""
-    metadata = _get(v, "$.metadata")
+def _success(v: Column) -> Column:
+    """True only for the JSON literal true."""
+    value = _get(v, "$.success")
+    return F.coalesce((_kind(value) == "BOOLEAN") & value.try_cast("boolean"), F.lit(False))
+
+
+def _has_links(v: Column) -> Column:
     links = _get(v, "$.links")
-    return {
-        "url": truthy_text_at(v, "$.url"),
-        "redirected_url": truthy_text_at(v, "$.redirected_url"),
-        "url_text": string_at(v, "$.url"),
-        "redirected_url_text": string_at(v, "$.redirected_url"),
-        # True only for the JSON literal true.
-        "success": F.coalesce((_kind(_get(v, "$.success")) == "BOOLEAN") & _get(v, "$.success", "boolean"), F.lit(False)),
-        "status_code": _get(v, "$.status_code", "int"),
-        "status_is_number": number_at(v, "$.status_code").isNotNull(),
-        "html": string_at(v, "$.html"),
-        "markdown_text": string_at(v, "$.markdown"),
-        "markdown": F.struct(*[string_at(v, f"$.markdown.{k}").alias(k) for k in MARKDOWN_KEYS]),
-        "metadata": F.when(is_object(metadata), metadata.try_cast("map<string,string>")),
-        "has_metadata": is_object(metadata) | is_array(metadata),
-        "has_links": is_object(links) | is_array(links) | truthy_text_at(v, "$.links").isNotNull(),
-        "internal_links": _entries(v, "$.links.internal", _link_entry, LINK_TYPE),
-        "external_links": _entries(v, "$.links.external", _link_entry, LINK_TYPE),
-        "has_media": is_object(_get(v, "$.media")),
-        "images": _entries(v, "$.media.images", _media_entry, MEDIA_TYPE),
-        "videos": _entries(v, "$.media.videos", _media_entry, MEDIA_TYPE),
-        "audios": _entries(v, "$.media.audios", _media_entry, MEDIA_TYPE),
-        "screenshot": _screenshot(v),
-    }
+    return is_object(links) | is_array(links) | truthy_text_at(v, "$.links").isNotNull()
+
+
+def _metadata(v: Column) -> Column:
+    metadata = _get(v, "$.metadata")
+    return F.when(is_object(metadata), metadata.try_cast("map<string,string>"))
+
+
+_READERS: dict[str, Callable[[Column], Column]] = {
+    "url": lambda v: truthy_text_at(v, "$.url"),
+    "redirected_url": lambda v: truthy_text_at(v, "$.redirected_url"),
+    "url_text": lambda v: string_at(v, "$.url"),
+    "redirected_url_text": lambda v: string_at(v, "$.redirected_url"),
+    "success": _success,
+    "status_code": lambda v: _get(v, "$.status_code", "int"),
+    "status_is_number": lambda v: number_at(v, "$.status_code").isNotNull(),
+    "html": lambda v: string_at(v, "$.html"),
+    "markdown_text": lambda v: string_at(v, "$.markdown"),
+    "markdown": lambda v: F.struct(*[string_at(v, f"$.markdown.{k}").alias(k) for k in MARKDOWN_KEYS]),
+    "metadata": _metadata,
+    "has_metadata": lambda v: is_object(_get(v, "$.metadata")) | is_array(_get(v, "$.metadata")),
+    "has_links": _has_links,
+    "internal_links": lambda v: _entries(v, "$.links.internal", _link_entry, LINK_TYPE),
+    "external_links": lambda v: _entries(v, "$.links.external", _link_entry, LINK_TYPE),
+    "has_media": lambda v: is_object(_get(v, "$.media")),
+    "images": lambda v: _entries(v, "$.media.images", _media_entry, MEDIA_TYPE),
+    "videos": lambda v: _entries(v, "$.media.videos", _media_entry, MEDIA_TYPE),
+    "audios": lambda v: _entries(v, "$.media.audios", _media_entry, MEDIA_TYPE),
+    "screenshot": _screenshot,
+}
+ALL_FIELDS = tuple(_READERS)
+HEADER_FIELDS = ("url", "redirected_url", "success", "status_code")
+# What each kind of record filter reads, beside the header.
+FIELDS = {
+    "metadata": ("url_text", "redirected_url_text", "status_is_number", "metadata"),
+    "html": ("html",),
+    "markdown": ("markdown_text", "markdown"),
+    "text": ("markdown_text", "markdown", "html"),
+    "seo": ("has_metadata", "metadata", "html"),
+    "extract": ("markdown_text", "markdown", "html"),
+    "screenshot": ("screenshot",),
+    "media": ("has_media", "images", "videos", "audios"),
+    "map": ("has_links", "internal_links", "external_links"),
+    "bulk": (),
+    "emails": ("markdown_text", "markdown", "html", "internal_links", "external_links"),
+}
+
+
+class VariantFields(Mapping):
+    """Typed columns of one record held as VARIANT, written down when asked for."""
+
+    def __init__(self, v: Column):
+        self._v = v
+
+    def __getitem__(self, name: str) -> Column:
+        return _READERS[name](self._v)
+
+    def __iter__(self):
+        return iter(_READERS)
+
+    def __len__(self) -> int:
+        return len(_READERS)
 
 
 def frame_fields(records: DataFrame) -> dict[str, Column]:
@@ -207,3 +250,18 @@ def any_record(r: Fields) -> Column:
 
 def usable(records: DataFrame, predicate: Predicate) -> DataFrame:
     return records.filter(predicate(frame_fields(records)))
+
+
+PREDICATES: dict[str, Predicate] = {
+    "metadata": is_metadata_record,
+    "html": has_html,
+    "markdown": has_markdown,
+    "text": has_text,
+    "seo": has_seo,
+    "extract": is_extractable,
+    "screenshot": has_screenshot,
+    "media": has_media,
+    "map": has_links,
+    "bulk": any_record,
+    "emails": any_record,
+}

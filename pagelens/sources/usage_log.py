@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from pagelens.functions.endpoints import client_ip, logged_credit, logged_endpoint
 
@@ -15,7 +14,7 @@ from pagelens.functions.endpoints import client_ip, logged_credit, logged_endpoi
 MINIMAL_COLUMNS = ("api_key", "response_code", "credit_used", "endpoint", "method", "account_id")
 EXTENDED_COLUMNS = ("timestamp", "latency_ms", "user_agent", "ip_address")
 
-USAGE_SCHEMA = StructType.fromDDL(
+USAGE_SCHEMA = (
     "api_key string, response_code string, credit_used bigint, endpoint string, method string, "
     "account_id string, timestamp string, latency_ms bigint, user_agent string, ip_address string, "
     "created timestamp"
