@@ -25,8 +25,10 @@ def loose_number(c: str | Column, dtype: T.DataType | None = None) -> Column:
     Give ``dtype`` when the column is known to be numeric.
     """
     c = as_column(c)
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+    if isinstance(dtype, T.FractionalType):
         return finite(c.cast("double"))
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return c.cast("double")
 
     def read(s: Column) -> Column:
         value = F.when(s == "", F.lit(0.0)).when(s.rlike(_DECIMAL), s.try_cast("double"))
@@ -42,4 +44,7 @@ def number_or_zero(c: str | Column, dtype: T.DataType | None = None) -> Column:
 
 
 def positive_or_null(c: str | Column, dtype: T.DataType | None = None) -> Column:
-    return let(loose_number(c, dtype), lambda n: F.when(n > 0, n))
+    n = loose_number(c, dtype)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return F.when(n > 0, n)
+    return let(n, lambda x: F.when(x > 0, x))

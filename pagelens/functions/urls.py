@@ -24,6 +24,11 @@ _HTTP_URL = (
     r"([/\\][^?#]*)?(\?[^#]*)?(?:#.*)?\z"
 )
 _GROUPS = 6
+# URLs and paths that are in printed form already, which most are.
+_PLAIN_PATH = r"(?:/(?!\.\.?(?:[/?]|\z))[A-Za-z0-9_~!$&()*+,;=:@.-]*)+"
+_PLAIN_QUERY = r"(?:\?[A-Za-z0-9_~!$&()*+,;=:@./?%-]*)?"
+_PLAIN_URL = rf"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)+{_PLAIN_PATH}{_PLAIN_QUERY}\z"
+_PLAIN_REFERENCE = rf"^(?!//){_PLAIN_PATH}{_PLAIN_QUERY}\z"
 _DOT_SEGMENT = r"/(?:\.|%2[eE]){1,2}(?:/|\z)"
 _PATH_UNSAFE = r"[^\x21-\x7e]|[\"<>`{}]"
 _QUERY_UNSAFE = r"[^\x21-\x7e]|[\"<>']"
@@ -104,11 +109,18 @@ def _print(p: Column, drop_trailing_slash: bool) -> Column:
 def normalize_url(c: str | Column) -> Column:
     """The form URLs are compared in: printed, without fragment and without one
     trailing slash. NULL where the URL is not a valid http(s) URL."""
-    return let(url_parts(as_column(c)), lambda p: _print(p, drop_trailing_slash=True))
 
+    def normalize(url: Column) -> Column:
+        parsed = let(url_parts(url), lambda p: _print(p, drop_trailing_slash=True))
+        plain = F.regexp_replace(url, r"^(https?://[^/]+/[^?]*)/\z", "$1")
+        return F.when(url.rlike(_PLAIN_URL), plain).otherwise(parsed)
 
-def url_host(c: str | Column) -> Column:
-    return let(url_parts(as_column(c)), lambda p: F.when(F.size(p) == _GROUPS, F.lower(p[2])))
+    return let(as_column(c), normalize)
+
+
+def printed_host(c: str | Column) -> Column:
+    """Host of a URL in printed form."""
+    return F.regexp_extract(as_column(c), r"^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)
 
 
 def registrable_domain(host: Column) -> Column:
@@ -119,21 +131,24 @@ def registrable_domain(host: Column) -> Column:
 
 def _absolute(src: Column, base: Column) -> Column:
     """``src`` written out as an absolute URL; NULL if the base is needed but not valid."""
-    base_path = F.when(base[4] == "", F.lit("/")).otherwise(F.replace(base[4], F.lit("\\"), F.lit("/")))
-    folder = F.regexp_replace(base_path, r"[^/]*\z", "")
-    same_scheme_relative = F.lower(F.regexp_extract(src, r"^([hH][tT][tT][pP][sS]?):(?![/\\])", 1)) == _scheme(base)
+    path = F.when(base[4] == "", F.lit("/")).otherwise(F.replace(base[4], F.lit("\\"), F.lit("/")))
+    folder = F.regexp_replace(path, r"[^/]*\z", "")
+    # A scheme equal to the base's, without slashes behind it, adds nothing.
+    scheme = _scheme(base)
+    repeated = F.lower(F.regexp_extract(src, r"^([hH][tT][tT][pP][sS]?):(?![/\\])", 1)) == scheme
     tail = F.regexp_replace(src, r"^[hH][tT][tT][pP][sS]?:(?![/\\])", "")
-    relative = (
-        F.when(tail == "", F.concat(_origin(base), base_path, base[5]))
-        .when(tail.rlike(r"^[/\\]{2}"), F.concat(_scheme(base), F.lit(":"), tail))
-        .when(tail.rlike(r"^[/\\]"), F.concat(_origin(base), tail))
-        .when(tail.rlike(r"^\?"), F.concat(_origin(base), base_path, tail))
-        .when(tail.rlike("^#"), F.concat(_origin(base), base_path, base[5]))
-        .otherwise(F.concat(_origin(base), folder, tail))
+    from_origin = (
+        F.when(tail.rlike(r"^[/\\]"), tail)
+        .when(tail.rlike(r"^\?"), F.concat(path, tail))
+        .when((tail == "") | tail.startswith("#"), F.concat(path, base[5]))
+        .otherwise(F.concat(folder, tail))
+    )
+    relative = F.when(tail.rlike(r"^[/\\]{2}"), F.concat(scheme, F.lit(":"), tail)).otherwise(
+        F.concat(_origin(base), from_origin)
     )
     has_scheme = src.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")
     base_ok = F.size(base) == _GROUPS
-    return F.when(has_scheme & ~(base_ok & same_scheme_relative), src).when(base_ok, relative)
+    return F.when(has_scheme & ~(base_ok & repeated), src).when(base_ok, relative)
 
 
 def _print_other(url: Column) -> Column:
@@ -151,8 +166,13 @@ def resolve_against(src: str | Column, base_parts: Column) -> Column:
             _absolute(_clean(raw), base_parts),
             lambda a: F.coalesce(let(url_parts(a), lambda p: _print(p, drop_trailing_slash=False)), _print_other(a)),
         )
-        kept = F.when(raw.startswith("data:"), raw).otherwise(F.coalesce(printed, raw))
-        return F.when(raw != "", kept)
+        base_ok = F.size(base_parts) == _GROUPS
+        return (
+            F.when(raw == "", None)
+            .when(raw.startswith("data:") | raw.rlike(_PLAIN_URL), raw)
+            .when(base_ok & raw.rlike(_PLAIN_REFERENCE), F.concat(_origin(base_parts), raw))
+            .otherwise(F.coalesce(printed, raw))
+        )
 
     return let(strip_ws(as_column(src)), resolve)
 

@@ -58,12 +58,12 @@ def running_credits(moments: DataFrame, log: DataFrame, credit_column: str | Non
     used = log.select(
         "account_id",
         F.col("created").alias("ts"),
-        positive_credit(log, credit_column).alias("credit"),
+        F.coalesce(positive_credit(log, credit_column), F.lit(0.0)).alias("credit"),
         F.lit(False).alias("asked"),
-    ).filter(F.col("credit").isNotNull())
+    )
     instants = (
         asked.unionByName(used)
-        .filter(F.col("account_id").isNotNull())
+        .filter(F.col("account_id").isNotNull() & F.col("ts").isNotNull())
         .groupBy("account_id", "ts")
         .agg(F.sum("credit").alias("credit"), F.max("asked").alias("asked"))
         .withColumn("second", F.date_trunc("second", "ts"))
@@ -89,7 +89,10 @@ def running_credits(moments: DataFrame, log: DataFrame, credit_column: str | Non
     )
     zero = F.lit(0.0)
     total = F.coalesce("before_second", zero) + F.coalesce("in_second", zero)
-    return within.join(seconds, ["account_id", "second"]).select("account_id", "ts", total.alias("used_credits"))
+    # Every second of the left side is on the right. As an outer join it adds no
+    # filters of its own, so both sides read the same shuffled instants.
+    joined = within.join(seconds, ["account_id", "second"], "left")
+    return joined.select("account_id", "ts", total.alias("used_credits"))
 
 
 def credits_before(requests: DataFrame, log: DataFrame, credit_column: str | None = None) -> DataFrame:

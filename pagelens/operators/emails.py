@@ -94,12 +94,11 @@ def _link_targets() -> Column:
 
 def record_emails(records: DataFrame) -> DataFrame:
     """Emails of each record: ``(page_url, source, email)``, found before any shuffle."""
-    source = F.coalesce(record_url(), F.col("target")) if "target" in records.columns else record_url()
-    return records.select(
-        normalize_url(record_url()).alias("page_url"),
-        source.alias("source"),
-        F.explode(emails_for_index(_scan_text(), _link_targets())).alias("email"),
+    scanned = records.select(
+        record_url().alias("source"), _scan_text().alias("scan_text"), _link_targets().alias("hrefs")
     )
+    found = emails_for_index("scan_text", F.col("hrefs"))
+    return scanned.select("source", F.explode(found).alias("email")).withColumn("page_url", normalize_url("source"))
 
 
 def email_index(scanned: DataFrame, records: DataFrame) -> DataFrame:

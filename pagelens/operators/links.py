@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import normalize_url
+from pagelens.sources.records import LINK_TYPE
 
 KEYS = ("request_id", "target")
 
 
 def _tagged(bucket: str) -> Column:
-    hrefs = F.coalesce(F.transform(f"{bucket}_links", lambda x: x["href"]), F.array().cast("array<string>"))
-    return F.transform(hrefs, lambda h: F.struct(F.lit(bucket).alias("bucket"), h.alias("href")))
+    return F.transform(
+        F.coalesce(F.col(f"{bucket}_links"), F.array().cast(LINK_TYPE)),
+        lambda x: F.struct(F.lit(bucket).alias("bucket"), x["href"].alias("href")),
+    )
 
 
 def link_rows(records: DataFrame) -> DataFrame:
     """Every link as a row ``(request_id, target, bucket, url)``, URL normalised.
 
     The page text is dropped before the rows fan out. Links that are not valid
-    http(s) URLs are left out.
+    http(s) URLs are left out while still in their array: a filter behind the
+    projection would be moved below it and normalise every URL twice.
     """
-    return (
-        records.select(*KEYS, F.explode(F.concat(_tagged("internal"), _tagged("external"))).alias("link"))
-        .select(*KEYS, "link.bucket", normalize_url("link.href").alias("url"))
-        .filter(F.col("url").isNotNull())
+    printed = F.transform(
+        F.concat(_tagged("internal"), _tagged("external")),
+        lambda x: F.struct(x["bucket"].alias("bucket"), normalize_url(x["href"]).alias("url")),
     )
+    found = F.filter(printed, lambda x: x["url"].isNotNull())
+    return records.select(*KEYS, F.explode(found).alias("link")).select(*KEYS, "link.*")
 
 
 def link_map(records: DataFrame) -> DataFrame:

@@ -16,36 +16,38 @@ BUCKETS = (("images", "image"), ("videos", "video"), ("audios", "audio"))
 ATTRIBUTES = ("alt", "format", "score", "width", "height", "group_id")
 
 
-def _bucket_items(position: int, bucket: str, kind: str) -> Column:
-    entries = F.coalesce(F.col(bucket), F.array().cast(R.MEDIA_TYPE))
+def _tagged(position: int, bucket: str, kind: str) -> Column:
+    """The entries of one bucket with their place in it."""
     return F.transform(
-        entries,
+        F.coalesce(F.col(bucket), F.array().cast(R.MEDIA_TYPE)),
         lambda m, i: F.struct(
-            F.lit(position).alias("bucket_pos"),
-            F.lit(bucket).alias("bucket"),
-            i.alias("pos"),
-            F.coalesce(if_non_blank(m["type"]), F.lit(kind)).alias("type"),
-            m["src"].alias("raw_src"),
-            *[
-                (if_non_blank(m[a]) if a in ("alt", "format") else m[a]).alias(a)
-                for a in ATTRIBUTES
-            ],
+            F.lit(position).alias("bucket_pos"), F.lit(bucket).alias("bucket"), F.lit(kind).alias("kind"),
+            i.alias("pos"), m.alias("m"),
         ),
     )
 
 
+def _item(tagged: Column) -> Column:
+    m = tagged["m"]
+    return F.struct(
+        *[tagged[n].alias(n) for n in ("bucket_pos", "bucket", "pos")],
+        F.coalesce(if_non_blank(m["type"]), tagged["kind"]).alias("type"),
+        resolve_against(m["src"], F.col("page")).alias("src"),
+        *[(if_non_blank(m[a]) if a in ("alt", "format") else m[a]).alias(a) for a in ATTRIBUTES],
+    )
+
+
 def media_rows(records: DataFrame) -> DataFrame:
-    """Every media entry as a row with its absolute source URL."""
-    items = F.concat(*[_bucket_items(n, b, k) for n, (b, k) in enumerate(BUCKETS)])
+    """Every media entry as a row with its absolute source URL.
+
+    The page URL is taken apart once per record, and entries without a source
+    are left out while still in their array.
+    """
     page = F.coalesce(record_url(), F.col("target"))
-    rows = R.usable(records, R.has_media).select(
-        *KEYS, "record_pos", url_parts(page).alias("page"), F.explode(items).alias("m")
-    )
-    return (
-        rows.select(*KEYS, "record_pos", "m.*", resolve_against("m.raw_src", F.col("page")).alias("src"))
-        .drop("raw_src")
-        .filter(F.col("src").isNotNull())
-    )
+    located = R.usable(records, R.has_media).withColumn("page", url_parts(page))
+    items = F.transform(F.concat(*[_tagged(n, b, k) for n, (b, k) in enumerate(BUCKETS)]), _item)
+    found = F.filter(items, lambda m: m["src"].isNotNull())
+    return located.select(*KEYS, "record_pos", F.explode(found).alias("m")).select(*KEYS, "record_pos", "m.*")
 
 
 def _first(columns: tuple[str, ...], order: tuple[str, ...]) -> Column:

@@ -100,8 +100,7 @@ def usage_summary(
 def monthly_credits(log: DataFrame, credit_column: str | None = None) -> DataFrame:
     """Credits per account and UTC month; only positive values count."""
     return (
-        log.select("account_id", F.date_format("created", "yyyy-MM").alias("month"), positive_credit(log, credit_column).alias("credit"))
-        .filter(F.col("credit").isNotNull())
-        .groupBy("account_id", "month")
-        .agg(F.sum("credit").alias("credits"))
+        log.groupBy("account_id", F.date_format("created", "yyyy-MM").alias("month"))
+        .agg(F.sum(positive_credit(log, credit_column)).alias("credits"))
+        .filter(F.col("credits").isNotNull())
     )

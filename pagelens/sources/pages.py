@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import let, non_empty, strip_tags, strip_ws
-from pagelens.functions.urls import registrable_domain, resolve_against, url_host, url_parts
+from pagelens.functions.urls import printed_host, registrable_domain, resolve_against, url_parts
 from pagelens.sources.records import ALL_FIELDS, HEADER_FIELDS, LINK_TYPE, MARKDOWN_KEYS, MEDIA_TYPE
 
 # An anchor runs to its end tag, or to the next anchor where the end tag is missing.
@@ -66,8 +66,19 @@ def _all(html: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _same_site(link: Column, domain: Column) -> Column:
-    return F.coalesce(let(url_host(link["href"]), registrable_domain) == domain, F.lit(False))
+def _placed(links: Column, domain: Column) -> Column:
+    """Each link with the bucket it belongs to; a link that is no web page is external."""
+
+    def place(x: Column) -> Column:
+        same_site = let(printed_host(x["href"]), registrable_domain) == domain
+        return F.struct(x.alias("link"), F.coalesce(same_site, F.lit(False)).alias("internal"))
+
+    return F.transform(F.filter(links, lambda x: x["href"].isNotNull()), place)
+
+
+def _bucket(internal: bool) -> Column:
+    kept = F.filter("links", lambda x: x["internal"] if internal else ~x["internal"])
+    return F.transform(kept, lambda x: x["link"]).cast(LINK_TYPE)
 
 
 def _no_text() -> Column:
@@ -89,8 +100,8 @@ _READERS = {
     "metadata": lambda: F.lit(None).cast("map<string,string>"),
     "has_metadata": lambda: F.lit(False),
     "has_links": lambda: F.lit(True),
-    "internal_links": lambda: F.filter("links", lambda x: _same_site(x, F.col("domain"))),
-    "external_links": lambda: F.filter("links", lambda x: ~_same_site(x, F.col("domain"))),
+    "internal_links": lambda: _bucket(internal=True),
+    "external_links": lambda: _bucket(internal=False),
     "has_media": lambda: F.lit(True),
     "images": lambda: _media(_all(F.col("html"), IMAGE), "image"),
     "videos": lambda: _media(_all(F.col("html"), VIDEO), "video"),
@@ -107,13 +118,8 @@ def records_from_pages(pages: DataFrame, fields: tuple[str, ...] = ALL_FIELDS) -
         # The page's own URL is taken apart once for all its links.
         located = source.withColumn("base", url_parts("url"))
         links = F.transform(_all(F.col("html"), ANCHOR), lambda tag: _link(tag, F.col("base")))
-        source = located.select(
-            "request_id",
-            "url",
-            "html",
-            F.filter(links, lambda x: x["href"].isNotNull()).cast(LINK_TYPE).alias("links"),
-            registrable_domain(F.lower(F.get("base", F.lit(2)))).alias("domain"),
-        )
+        domain = registrable_domain(F.lower(F.get("base", F.lit(2))))
+        source = located.select("request_id", "url", "html", _placed(links, domain).alias("links"))
     return source.select(
         "request_id",
         F.col("url").alias("target"),

@@ -53,10 +53,10 @@ def monthly_credits_stream(log: DataFrame, lateness: str = MONTH_LATENESS) -> Da
             F.add_months(month, 1).cast("timestamp").alias("month_end"),
             positive_credit(log).alias("credit"),
         )
-        .filter(F.col("credit").isNotNull())
         .withWatermark("month_end", lateness)
         .groupBy("account_id", "month", "month_end")
         .agg(F.sum("credit").alias("credits"))
+        .filter(F.col("credits").isNotNull())
         .select("account_id", "month", "credits")
     )
 
