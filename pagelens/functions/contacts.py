@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pagelens.functions.text import WS, as_column, collapse_ws, let, strip_ws
 
 # What counts as an email, phone number and URL in text.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-EMAIL_OBFUSCATED = (
-    rf"([A-Za-z0-9._%+-]+)[{WS}]*(?:\[[aA][tT]\]|\([aA][tT]\)|[{WS}][aA][tT][{WS}])[{WS}]*"
-    rf"([A-Za-z0-9.-]+)[{WS}]*(?:\[[dD][oO][tT]\]|\([dD][oO][tT]\)|[{WS}][dD][oO][tT][{WS}])[{WS}]*"
-    r"([A-Za-z]{2,})"
-)
-SPELLED_DOT = rf"[dD][oO][tT][\]){WS}]"
+LOCAL = r"[A-Za-z0-9._%+-]+"
+DOMAIN = r"[A-Za-z0-9.-]+"
+TOP_LEVEL = r"[A-Za-z]{2,}"
+SPELLED_AT = rf"[{WS}]*(?:\[[aA][tT]\]|\([aA][tT]\)|[{WS}][aA][tT][{WS}])[{WS}]*"
+SPELLED_DOT = rf"[{WS}]*(?:\[[dD][oO][tT]\]|\([dD][oO][tT]\)|[{WS}][dD][oO][tT][{WS}])[{WS}]*"
+EMAIL = rf"{LOCAL}@{DOMAIN}\.{TOP_LEVEL}"
+EMAIL_OBFUSCATED = rf"({LOCAL}){SPELLED_AT}({DOMAIN}){SPELLED_DOT}({TOP_LEVEL})"
 MAILTO = rf"(?i:mailto):([^\"'?{WS}>]+)"
 PHONE = rf"\+?[0-9][0-9{WS}\-().]{{7,}}[0-9]"
 PHONE_MIN_CHARS = 8
@@ -22,10 +22,15 @@ URL = rf"(?i:https?)://[^{WS})>\"']+"
 REPLACEMENT = "\ufffd"
 TRAILING_PUNCTUATION = r"[),.;:!?]+\z"
 
-# The plain pattern, tried only where a run of address characters starts: a run
-# that fails from its start fails from every later position too.
-EMAIL_SCAN = EMAIL.replace("+@", "++@", 1)
-EMAIL_SCAN = rf"(?:\G|(?<![A-Za-z0-9._%+-])){EMAIL_SCAN}"
+# The same patterns for scanning. They are tried only where a run of address
+# characters starts (or the last match ended): a run that fails from its start
+# fails from every later position too. Runs are never given back (``++``), as no
+# character behind them belongs to the run.
+_RUN_START = r"(?:\G|(?<![A-Za-z0-9._%+-]))"
+EMAIL_SCAN = rf"{_RUN_START}{LOCAL}+@{DOMAIN}\.{TOP_LEVEL}"
+OBFUSCATED_SCAN = rf"{_RUN_START}({LOCAL}+){SPELLED_AT}({DOMAIN}+){SPELLED_DOT}({TOP_LEVEL})"
+# Where this is missing there is no hidden address.
+ANY_SPELLED_DOT = rf"[dD][oO][tT][\]){WS}]"
 
 FIELDS = ("emails", "phones", "urls")
 DEFAULT_FIELDS = ("emails", "phones")
@@ -50,7 +55,7 @@ def _written_emails(text: Column) -> Column:
     # address; no spelled-out dot, no hidden one.
     none = F.array().cast("array<string>")
     plain = F.when(F.contains(text, F.lit("@")), _matches(text, EMAIL_SCAN)).otherwise(none)
-    spelled = F.when(text.rlike(SPELLED_DOT), _matches(text, EMAIL_OBFUSCATED)).otherwise(none)
+    spelled = F.when(text.rlike(ANY_SPELLED_DOT), _matches(text, OBFUSCATED_SCAN)).otherwise(none)
     hidden = F.transform(spelled, lambda m: F.regexp_replace(m, f"^{EMAIL_OBFUSCATED}", "$1@$2.$3"))
     return F.transform(F.concat(plain, hidden), normalize_email)
 

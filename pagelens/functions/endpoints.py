@@ -14,8 +14,11 @@ SERVER_ERROR = 500
 
 
 def _with_one_slash(path: Column) -> Column:
-    """Leading slash added, one trailing slash removed (the root path stays)."""
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    """Leading slash added, one trailing slash removed (the root path stays).
+
+    Written with a single mention of ``path``, so a long expression is not repeated.
+    """
+    rooted = F.regexp_replace(F.concat(F.lit("/"), path), "^//", "/")
     return F.regexp_replace(rooted, r"(?<=.)/\z", "")
 
 

@@ -129,11 +129,19 @@ def _relation(df: DataFrame, name: str) -> Column:
     return relation_id(name, _is_array(df, name))
 
 
-def key_context(keys: DataFrame, accounts: DataFrame, plans: DataFrame, users: DataFrame) -> DataFrame:
-    """Everything known about a key in one row: its account, plan and user.
+def _first_failed(checks: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(failed, F.lit(name)) for name, failed in checks.items()])
 
-    Built over the registry tables only, so the request table joins once. If a
-    key value occurs twice the one with the lowest id is taken.
+
+def key_context(
+    keys: DataFrame, accounts: DataFrame, plans: DataFrame, users: DataFrame, policy: AccessPolicy = AccessPolicy()
+) -> DataFrame:
+    """What is known about each key, in one row.
+
+    Checks that do not depend on the request are decided here, over the registry
+    tables: ``key_failed``, ``account_failed`` and ``user_failed`` name the first
+    failing one of each group. The request table then joins once and carries few
+    columns. If a key value occurs twice the one with the lowest id is taken.
     """
     k = keys.select(
         "key",
@@ -163,8 +171,43 @@ def key_context(keys: DataFrame, accounts: DataFrame, plans: DataFrame, users: D
         F.lit(True).alias("plan_found"),
     )
     u = users.select(F.col("id").alias("user_id"), "verified", F.lit(True).alias("user_found"))
-    linked = a.join(p, "plan_id", "left").join(u, "user_id", "left")
-    return k.join(linked, "account_id", "left")
+    linked = k.join(a.join(p, "plan_id", "left").join(u, "user_id", "left"), "account_id", "left")
+
+    no, no_rules = F.lit(False), F.array().cast("array<string>")
+    own_rules = F.size("key_rules") > 0
+    # A plan counts only where its credits or its endpoint rules are asked for.
+    needs_plan = F.col("plan_id").isNotNull() & (
+        F.lit(policy.enforce_monthly_credits) | (F.lit(policy.enforce_endpoints) & ~own_rules)
+    )
+    rules = F.when(own_rules, F.col("key_rules")).when(needs_plan, F.col("plan_rules"))
+    subscribed = F.col("subscription").isin(*policy.allowed_subscriptions) if policy.allowed_subscriptions else ~no
+    active = F.col("key_status").isin(*policy.allowed_key_status) if policy.allowed_key_status else ~no
+    return linked.select(
+        "key", "api_key_id", "account_id", "user_id", "plan_id", "role",
+        F.lit(True).alias("key_found"),
+        _first_failed({"key_inactive": ~active, "key_revoked": F.col("revoked_at").isNotNull()}).alias("key_failed"),
+        F.when(F.col("expires"), F.coalesce("expires_at", F.lit(0).cast("timestamp"))).alias("expires_at"),
+        _first_failed({
+            "no_account": F.col("account_id").isNull(),
+            "account_not_found": F.col("account_found").isNull(),
+            "subscription_inactive": ~subscribed,
+            "plan_not_found": needs_plan & F.col("plan_found").isNull(),
+        }).alias("account_failed"),
+        _first_failed({
+            "no_user": F.col("user_id").isNull(),
+            "user_not_found": F.col("user_found").isNull(),
+            "user_not_verified": F.lit(policy.require_verified_user) & ~F.coalesce("verified", no),
+        }).alias("user_failed"),
+        (F.coalesce(rules, no_rules) if policy.enforce_endpoints else no_rules).alias("rules"),
+        F.when(needs_plan & F.lit(policy.enforce_monthly_credits), F.col("plan_limit")).alias("plan_limit"),
+        F.when(F.lit(policy.enforce_monthly_credits and policy.enforce_key_credits), F.col("key_limit")).alias("key_limit"),
+    )
+
+
+def _lookup(field: int, dtype: str) -> Column:
+    """A value of ``DECISIONS`` for the row's reason."""
+    pairs = [F.lit(v) for name, *rest in DECISIONS for v in (name, rest[field])]
+    return F.create_map(*pairs)[F.col("reason")].cast(dtype)
 
 
 def access_audit(
@@ -179,84 +222,51 @@ def access_audit(
     """Decision and first failing reason of each request.
 
     ``requests(request_id, api_key, method, endpoint, ts)``. Past usage is read
-    only for requests whose account has a limit and which cost something.
+    only for requests that have passed so far, cost something and whose account
+    has a limit.
     """
-    context = key_context(keys, accounts, plans, users).withColumn("key_found", F.lit(True))
+    context = key_context(keys, accounts, plans, users, policy)
     asked = requests.select(
-        "request_id", non_empty("api_key").alias("key"), F.col("ts"), audit_endpoint("endpoint").alias("endpoint"), "method"
-    )
+        "request_id", "ts", non_empty("api_key").alias("key"), audit_endpoint("endpoint").alias("endpoint"), "method"
+    ).withColumn("cost", audit_cost(F.col("endpoint"), F.col("method"), policy.credit_exempt)).drop("method")
     known = asked.join(context, "key", "left")
-    if not policy.enforce_key_credits:
-        known = known.withColumn("key_limit", F.lit(None).cast("double"))
-    needs_plan = F.col("plan_id").isNotNull() & (
-        F.lit(policy.enforce_monthly_credits) | (F.lit(policy.enforce_endpoints) & (F.size("key_rules") == 0))
-    )
-    no_rules = F.array().cast("array<string>")
-    rules = (
-        F.when(F.size("key_rules") > 0, F.col("key_rules"))
-        .when(needs_plan, F.coalesce("plan_rules", no_rules))
-        .otherwise(no_rules)
-    )
-    cost = audit_cost(F.col("endpoint"), F.col("method"), policy.credit_exempt)
-    plan_limit = F.when(needs_plan, F.col("plan_limit"))
-    known = known.select(
-        "*", needs_plan.alias("needs_plan"), rules.alias("rules"), cost.alias("cost"), plan_limit.alias("limit_of_plan")
+    before_credits = F.coalesce(
+        F.when(F.col("key").isNull(), "missing_key"),
+        F.when(F.col("key_found").isNull(), "unknown_key"),
+        F.col("key_failed"),
+        F.when(F.col("expires_at") <= F.col("ts"), "key_expired"),
+        F.col("account_failed"),
+        F.when(~endpoint_allowed(F.col("endpoint"), F.col("rules")), "endpoint_not_allowed"),
     )
-    checks_credits = (
-        F.lit(policy.enforce_monthly_credits)
-        & (F.col("cost") > 0)
-        & (F.col("limit_of_plan").isNotNull() | F.col("key_limit").isNotNull())
+    checked = known.select(
+        "request_id", "ts", "endpoint", "cost", "api_key_id", "account_id", "user_id", "plan_id", "role",
+        "user_failed", "plan_limit", "key_limit", before_credits.alias("failed"),
     )
-    running = running_credits(known.filter(checks_credits), log)
-    judged = known.join(running, ["account_id", "ts"], "left").withColumn(
-        "used_credits", F.when(checks_credits, F.coalesce("used_credits", F.lit(0.0)))
-    )
-
-    projected = F.col("used_credits") + F.col("cost")
-    within_plan, within_key = projected <= F.col("limit_of_plan"), projected <= F.col("key_limit")
+    has_limit = F.col("plan_limit").isNotNull() | F.col("key_limit").isNotNull()
+    metered = F.col("failed").isNull() & (F.col("cost") > 0) & has_limit
+    if policy.enforce_monthly_credits:
+        running = running_credits(checked.filter(metered), log)
+        checked = checked.join(running, ["account_id", "ts"], "left")
+    else:
+        checked = checked.withColumn("used_credits", F.lit(None).cast("double"))
+    used = F.when(metered, F.coalesce("used_credits", F.lit(0.0)))
+    judged = checked.withColumn("used_credits", used).withColumn("projected", F.col("used_credits") + F.col("cost"))
     # The plan's limit comes first; the key's own limit may still allow the request.
-    limit = (
-        F.when(F.col("used_credits").isNull(), None)
-        .when(F.col("limit_of_plan").isNull(), F.col("key_limit"))
-        .when(within_plan | ~F.coalesce(within_key, F.lit(False)), F.col("limit_of_plan"))
-        .otherwise(F.col("key_limit"))
-    )
-    yes, no = F.lit(True), F.lit(False)
-    failed = {
-        "missing_key": F.col("key").isNull(),
-        "unknown_key": F.col("key_found").isNull(),
-        "key_inactive": ~F.col("key_status").isin(*policy.allowed_key_status) if policy.allowed_key_status else no,
-        "key_revoked": F.col("revoked_at").isNotNull(),
-        "key_expired": F.col("expires") & F.coalesce(F.col("expires_at") <= F.col("ts"), yes),
-        "no_account": F.col("account_id").isNull(),
-        "account_not_found": F.col("account_found").isNull(),
-        "subscription_inactive": (
-            ~F.col("subscription").isin(*policy.allowed_subscriptions) if policy.allowed_subscriptions else no
-        ),
-        "plan_not_found": F.col("needs_plan") & F.col("plan_found").isNull(),
-        "endpoint_not_allowed": (
-            ~endpoint_allowed(F.col("endpoint"), F.col("rules")) if policy.enforce_endpoints else no
-        ),
-        "credits_exceeded": F.coalesce(projected > limit, no),
-        "no_user": F.col("user_id").isNull(),
-        "user_not_found": F.col("user_found").isNull(),
-        "user_not_verified": (
-            ~F.coalesce("verified", no) if policy.require_verified_user else no
-        ),
-    }
-    names = [name for name, _, _ in DECISIONS]
-    reason = F.coalesce(*[F.when(failed[name], F.lit(name)) for name in names], F.lit("allowed"))
-    decided = judged.withColumn("reason", reason).withColumn("monthly_limit", limit)
+    over_plan = F.col("projected") > F.col("plan_limit")
+    key_allows = F.coalesce(F.col("projected") <= F.col("key_limit"), F.lit(False))
+    limit = F.when(F.col("plan_limit").isNull() | (over_plan & key_allows), F.col("key_limit")).otherwise(F.col("plan_limit"))
+    judged = judged.withColumn("monthly_limit", F.when(F.col("used_credits").isNotNull(), limit))
+    over = F.when(F.col("projected") > F.col("monthly_limit"), "credits_exceeded")
+    decided = judged.withColumn("reason", F.coalesce("failed", over, "user_failed", F.lit("allowed")))
+
     ok = F.col("reason") == "allowed"
-    code = F.lit(200)
-    message = F.lit(None).cast("string")
-    for name, status, text in DECISIONS:
-        shown = F.concat(F.lit(text), F.col("endpoint")) if name == "endpoint_not_allowed" else F.lit(text)
-        code = F.when(F.col("reason") == name, F.lit(status)).otherwise(code)
-        message = F.when(F.col("reason") == name, shown).otherwise(message)
+    message = _lookup(1, "string")
+    message = F.when(F.col("reason") == "endpoint_not_allowed", F.concat(message, "endpoint")).otherwise(message)
     shown_if_ok = ("api_key_id", "account_id", "user_id", "plan_id", "role", "used_credits")
     return decided.select(
-        "request_id", "endpoint", ok.alias("allowed"), code.alias("code"), "reason", message.alias("error"),
+        "request_id", "endpoint", ok.alias("allowed"),
+        F.coalesce(_lookup(0, "int"), F.lit(200)).alias("code"),
+        "reason", message.alias("error"),
         *[F.when(ok, F.col(c)).alias(c) for c in shown_if_ok],
         F.when(ok, F.col("monthly_limit")).alias("monthly_credit_limit"),
     )
