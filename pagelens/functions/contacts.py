@@ -84,6 +84,7 @@ def emails_for_index(text: str | Column, hrefs: Column | None = None) -> Column:
     text = as_column(text)
     parts = [F.filter(_written_emails(text), is_valid_email), mailto_emails(text)]
     if hrefs is not None:
+        hrefs = F.filter(hrefs, lambda h: h.isNotNull())
         direct = F.filter(F.transform(hrefs, normalize_email), is_valid_email)
         parts += [direct, F.flatten(F.transform(hrefs, mailto_emails))]
     empty = F.array().cast("array<string>")

@@ -112,7 +112,7 @@ def normalize_url(c: str | Column) -> Column:
 
     def normalize(url: Column) -> Column:
         parsed = let(url_parts(url), lambda p: _print(p, drop_trailing_slash=True))
-        plain = F.regexp_replace(url, r"^(https?://[^/]+/[^?]*)/\z", "$1")
+        plain = F.regexp_replace(url, r"^(https?://[^/]+/[^?]*)/(\?.*)?\z", "$1$2")
         return F.when(url.rlike(_PLAIN_URL), plain).otherwise(parsed)
 
     return let(as_column(c), normalize)

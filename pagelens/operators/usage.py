@@ -70,17 +70,23 @@ def usage_totals(log: DataFrame, credit_column: str | None = None) -> DataFrame:
 def usage_rollup(log: DataFrame, credit_column: str | None = None) -> DataFrame:
     """Endpoint, status and total rows in one pass over the log.
 
-    ``level`` tells which: endpoint, status or total.
+    ``level`` tells which: endpoint, status or total. An empty log has a total of
+    zero, which grouping sets leave out, so a zero row is added to their few rows.
     """
     sets = [[F.col("endpoint")], [F.col("status")], []]
-    rolled = (
-        cleaned(log, credit_column)
-        .groupingSets(sets, "endpoint", "status")
-        .agg(F.grouping_id().alias("gid"), F.count("*").alias("requests"), F.coalesce(F.sum("credit"), F.lit(0.0)).alias("credits"))
+    rolled = cleaned(log, credit_column).groupingSets(sets, "endpoint", "status").agg(
+        F.grouping_id().alias("gid"), *_sums()
     )
     level = F.when(F.col("gid") == 1, "endpoint").when(F.col("gid") == 2, "status").otherwise("total")
     name = F.coalesce("endpoint", "status", F.lit("all"))
-    return rolled.select(level.alias("level"), name.alias("name"), "requests", "credits")
+    rows = rolled.select(level.alias("level"), name.alias("name"), "requests", "credits")
+    zero = log.sparkSession.range(1).select(
+        F.lit("total").alias("level"), F.lit("all").alias("name"),
+        F.lit(0).cast("bigint").alias("requests"), F.lit(0.0).alias("credits"),
+    )
+    return rows.unionByName(zero).groupBy("level", "name").agg(
+        F.sum("requests").alias("requests"), F.sum("credits").alias("credits")
+    )
 
 
 def usage_summary(
