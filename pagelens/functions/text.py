@@ -22,7 +22,7 @@ CODE_FENCE = r"```[\s\S]*?```"
 INLINE_CODE = r"`[^`]*`"
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 LINK = r"\[[^\]]*\]\([^)]*\)"
-MARKS = r"[#>*_~\-]+"
+MARKS = r"#>*_~\-"
 
 
 def as_column(value: str | Column) -> Column:
@@ -66,9 +66,24 @@ def strip_tags(html: str | Column) -> Column:
     return out
 
 
+def _without(patterns: tuple[str, ...], mark: str) -> Callable[[Column], Column]:
+    """Replace the patterns by a space, in turn; text without ``mark`` cannot hold any."""
+
+    def replace(t: Column) -> Column:
+        out = t
+        for pattern in patterns:
+            out = F.regexp_replace(out, pattern, " ")
+        return F.when(F.contains(t, F.lit(mark)), out).otherwise(t)
+
+    return replace
+
+
 def markdown_to_text(markdown: str | Column) -> Column:
-    """Plain text of markdown: code, images, links and marks become a space."""
-    out = as_column(markdown)
-    for pattern in (CODE_FENCE, INLINE_CODE, IMAGE, LINK, MARKS):
-        out = F.regexp_replace(out, pattern, " ")
-    return F.trim(collapse_ws(out))
+    """Plain text of markdown: code, images, links and marks become a space.
+
+    Runs of marks and white space end up as one space either way, so both are
+    replaced in one pass.
+    """
+    out = let(as_column(markdown), _without((CODE_FENCE, INLINE_CODE), "`"))
+    out = let(out, _without((IMAGE, LINK), "]("))
+    return F.trim(F.regexp_replace(out, f"[{MARKS}{WS}]+", " "))
