@@ -97,7 +97,10 @@ def phones_in_text(text: str | Column) -> Column:
 
 
 def urls_in_text(text: str | Column) -> Column:
-    found = F.transform(_matches(as_column(text), URL), lambda m: F.regexp_replace(m, TRAILING_PUNCTUATION, ""))
+    text = as_column(text)
+    none = F.array().cast("array<string>")
+    written = F.when(F.contains(text, F.lit("://")), _matches(text, URL)).otherwise(none)
+    found = F.transform(written, lambda m: F.regexp_replace(m, TRAILING_PUNCTUATION, ""))
     return F.array_sort(F.array_distinct(found))
 
 

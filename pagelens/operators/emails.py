@@ -129,3 +129,8 @@ def email_counts(scanned: DataFrame, candidates: DataFrame, index: DataFrame) ->
     ]
     counts = parts[0].join(parts[1], "target", "left").join(parts[2], "target", "left")
     return counts.na.fill(0, ["candidate_pages", "emails_found"])
+
+
+def email_listing(sources: DataFrame, locale: str = "UNICODE") -> DataFrame:
+    """Emails of each seed in the order of the locale."""
+    return sources.orderBy("target", F.collate("email", locale))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import if_non_blank
+from pagelens.functions.text import if_non_blank, non_empty
 from pagelens.functions.urls import resolve_against, url_parts
-from pagelens.operators.views import record_url
 from pagelens.sources import records as R
 
 KEYS = ("request_id", "target")
@@ -43,7 +42,7 @@ def media_rows(records: DataFrame) -> DataFrame:
     The page URL is taken apart once per record, and entries without a source
     are left out while still in their array.
     """
-    page = F.coalesce(record_url(), F.col("target"))
+    page = F.coalesce(non_empty("url"), non_empty("redirected_url"), F.col("target"))
     located = R.usable(records, R.has_media).withColumn("page", url_parts(page))
     items = F.transform(F.concat(*[_tagged(n, b, k) for n, (b, k) in enumerate(BUCKETS)]), _item)
     found = F.filter(items, lambda m: m["src"].isNotNull())
@@ -85,3 +84,8 @@ def media_counts(inventory: DataFrame) -> DataFrame:
     return per_entry.groupBy(*KEYS).agg(
         F.count("*").alias("total"), *[F.sum(b).alias(b) for b, _ in BUCKETS]
     )
+
+
+def media_listing(items: DataFrame, locale: str = "UNICODE") -> DataFrame:
+    """Entries in reading order: by source, then type, in the order of the locale."""
+    return items.orderBy(*KEYS, F.collate("src", locale), F.collate("type", locale))

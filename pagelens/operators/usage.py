@@ -92,12 +92,13 @@ def usage_rollup(log: DataFrame, credit_column: str | None = None) -> DataFrame:
 def usage_summary(
     log: DataFrame,
     period: str | None,
-    scope: str,
+    scope: str | None,
     value: str,
     closed: bool = False,
     column_map: dict[str, str] | None = None,
 ) -> DataFrame:
     """The rollup of one account or key for a period, labelled."""
+    scope = (scope or "key").lower()
     rows = usage_scan(log, period, scope, value, closed, column_map)
     label = period_label(period_start(period))
     return usage_rollup(rows).select(F.lit(label).alias("period"), F.lit(scope).alias("scope"), "*")

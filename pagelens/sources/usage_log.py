@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.endpoints import client_ip, logged_credit, logged_endpoint
@@ -124,13 +125,12 @@ def with_month(rows: DataFrame) -> DataFrame:
     return rows.withColumn("month", F.date_format("created", "yyyy-MM"))
 
 
-def _accepts_extended(spark, path: str) -> bool:
+def _accepts_extended(spark: SparkSession, path: str) -> bool:
     """Whether the log at ``path`` has the extended columns; a new log does."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target):
+    try:
+        return set(EXTENDED_COLUMNS) <= set(spark.read.parquet(path).columns)
+    except AnalysisException:
         return True
-    return set(EXTENDED_COLUMNS) <= set(spark.read.parquet(path).columns)
 
 
 def append_usage(requests: DataFrame, path: str) -> None:

@@ -61,6 +61,8 @@ def test_media_keeps_the_first_entry(spark):
     assert (sized.width, sized.height) == (None, 4.0)
     everything = {(r.type, r.src): r for r in media.media_all(inventory).collect()}
     assert len(everything) == 7 and everything["video", SITE + "/v.mp4"].alt == "in images"
+    listed = [r.src for r in media.media_listing(media.media_all(inventory)).collect()]
+    assert listed == ["data:x#y", "https://cdn.test/s.mp3", *(SITE + p for p in ("/c.png", "/i/a.png", "/i/b.png", "/i/d.png", "/v.mp4"))]
     counts = media.media_counts(inventory).first()
     assert (counts.total, counts.images, counts.videos, counts.audios) == (7, 6, 1, 1)
 
@@ -95,6 +97,18 @@ def test_email_discovery(spark):
     assert sorted((r.page_url, r.records) for r in covered) == [(SITE + "/", 1), (SITE + "/contact", 1), (SITE + "/x", 0)]
 
 
+def test_media_of_a_record_without_url_belongs_to_the_first_target(spark):
+    rows = [("r", [SITE + "/first/x", SITE + "/second/x"], '[{"note":1},{"media":{"images":["a.png"]}},{"media":{"images":["b.png"]}}]')]
+    frame = spark.createDataFrame(rows, "request_id string, target_urls array<string>, raw string")
+    found = media.media_inventory(P.crawl_records(P.read_payloads(frame), "media")).collect()
+    assert sorted(r.src for r in found) == [SITE + "/first/a.png", SITE + "/first/b.png"]
+
+
+def test_locale_order(spark):
+    frame = spark.createDataFrame([("t", e, []) for e in ("b@x.test", "B@a.test", "a@x.test", "_@x.test")], "target string, email string, sources array<string>")
+    assert [r.email for r in emails.email_listing(frame).collect()] == ["_@x.test", "a@x.test", "B@a.test", "b@x.test"]
+
+
 def test_page_limit(evaluate):
     asked = [("5",), ("7.9",), ("25",), ("400",), ("0",), ("0.5",), ("-3",), ("abc",), (None,), ("",)]
     assert evaluate(asked, "n string", emails.page_limit("n")) == [5, 7, 25, 25, 10, 10, 10, 10, 10, 10]
