@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pagelens.operators import audit
@@ -62,3 +63,30 @@ def test_running_credits_read_the_instants_once(spark):
     df = audit.credits_before(D.access_requests(spark, SF), D.usage_log(spark, SF))
     df.collect()
     assert "ReusedExchange" in plan_of(df)
+
+
+def test_a_hot_key_is_split_over_tasks(spark):
+    """With both join sides too large to broadcast, a key with a third of the requests is split."""
+    tight = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "5k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5k",
+    }
+    for key, value in tight.items():
+        spark.conf.set(key, value)
+    try:
+        folder = "/root/testdata/sf0.01"
+        known = D.registry(spark, folder)
+        hot = F.when(F.col("request_id") % 3 == 0, "k8").otherwise(F.col("api_key"))
+        requests = D.access_requests(spark, folder).repartition(8).withColumn("api_key", hot)
+        audited = audit.access_audit(
+            requests, known["keys"], known["accounts"], known["plans"], known["users"], D.usage_log(spark, folder)
+        )
+        rows = audited.collect()
+        assert re.search(r"SortMergeJoin\(skew=true\) \[key#", plan_of(audited))
+        assert len(rows) == len({r.request_id for r in rows}) == requests.count()
+    finally:
+        for key in tight:
+            spark.conf.unset(key)
