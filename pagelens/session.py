@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -35,22 +36,33 @@ def local_session(cpus: int | str = "*", app: str = "pagelens", memory: str = "8
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagelens-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder named by ``spark.checkpoint.dir``.
+@functools.cache
+def _own_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"pagelens-{application}-")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    A machine-local folder is used only by a local master with the setting
-    unset; on a cluster the setting is required, because executors on other
-    machines must reach the files.
+    Only a local master with the setting unset gets one folder of its own for the
+    whole application; a cluster must name one, as executors on other machines
+    must reach the files.
     """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="pagelens-")
-    return f"{root.rstrip('/')}/pagelens/{purpose}-{uuid.uuid4().hex}"
+        root = _own_root(spark.sparkContext.applicationId)
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under the shared one."""
+    return f"{shared_root(spark)}/pagelens/{purpose}-{uuid.uuid4().hex}"
