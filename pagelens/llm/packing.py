@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.words import small_batches
-from pagelens.session import scratch_dir
+from pagelens.llm.words import small_batches, written
 
 CAPACITY = 2048
 # Tokens that may stay free in a bin that is no longer offered to others.
@@ -239,23 +238,20 @@ def pack_documents(
     pieces. Texts of equal length keep the order in which their task read them. The
     vocabulary files default to those installed on the machine.
     """
-    spark = docs.sparkSession
     tokenizer_file = tokenizer_file or tokenizer_path("byte_bpe_50k.json")
     ranks_file = ranks_file or tokenizer_path("byte_bpe_50k.tiktoken")
     bins = token_pieces(docs, tokenizer_file, ranks_file, capacity)
     closed, tasks, last = [], None, False
     while True:
-        path = scratch_dir(spark, "bins")
-        bins.write.parquet(path)
-        written = spark.read.schema(BINS).parquet(path)
-        closed.append(written.filter("closed"))
-        left = 0 if last else written.filter("not closed").count()
+        done = written(bins, "bins")
+        closed.append(done.filter("closed"))
+        left = 0 if last else done.filter("not closed").count()
         if not left:
             break
         fewer = -(-left // ROUND_ITEMS)
         # With one task, or no fewer than before, this round is the last one.
         last = fewer == 1 or (tasks is not None and fewer > 0.7 * tasks)
-        bins, tasks = merge_round(written, fewer, capacity, last), fewer
+        bins, tasks = merge_round(done, fewer, capacity, last), fewer
     rows = functools.reduce(DataFrame.unionByName, closed)
     # Numbered before the members are unfolded.
     numbered = rows.withColumn("sequence_id", F.monotonically_increasing_id())

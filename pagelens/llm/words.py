@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.session import scratch_dir
+
 # Rows of an Arrow batch handed to Python: with texts of a megabyte a batch stays under 300 MB.
 BATCH_ROWS = 256
 
@@ -28,6 +30,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """The same rows, which hold numbers only, in large batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    return df
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared scratch folder: later steps read it and don't go further back."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def as_bytes(column: str, alias: str | None = None):
     """A text column as UTF-8 bytes; null is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary").alias(alias or column)
