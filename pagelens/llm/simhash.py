@@ -162,7 +162,8 @@ _LEAF_TYPE = pa.struct(
 class _Task:
     """Runs of entries with one key, in order: links inside a leaf, and leaves that may have links outside."""
 
-    def __init__(self, task: int):
+    def __init__(self, task: int, leaf: int, upper: int):
+        self.leaf_size, self.upper_size = leaf, upper
         self.next_leaf = task << 32
         self.identity: tuple | None = None
         self.first = True  # the group may go on in the task before
@@ -176,8 +177,8 @@ class _Task:
             self.end_group(False)
             self.first = self.identity is None
             self.identity = identity
-        while self.held + len(fps) > LEAF:
-            room = LEAF - self.held
+        while self.held + len(fps) > self.leaf_size:
+            room = self.leaf_size - self.held
             self.parts.append(fps[:room])
             self.end_leaf(True)
             fps = fps[room:]
@@ -193,7 +194,7 @@ class _Task:
             self.edges[0].extend(a)
             self.edges[1].extend(b)
         if outside:
-            if self.leaves % UPPER == 0:
+            if self.leaves % self.upper_size == 0:
                 self.upper = self.next_leaf
             every, any_ = np.bitwise_and.reduce(fps), np.bitwise_or.reduce(fps)
             self.rows.append(
@@ -220,11 +221,11 @@ class _Task:
             )
 
 
-def index_rows(sorted_entries: DataFrame) -> DataFrame:
+def index_rows(sorted_entries: DataFrame, leaf: int = LEAF, upper: int = UPPER) -> DataFrame:
     """Spanning links inside leaves (a, b), and the leaves (node) of keys with more than one."""
 
     def build(batches):
-        task = _Task(TaskContext.get().partitionId())
+        task = _Task(TaskContext.get().partitionId(), leaf, upper)
         for batch in batches:
             slot, key, fp = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("slot", "key", "fp"))
             if not len(fp):
@@ -280,11 +281,11 @@ def leaf_links(leaves: DataFrame) -> DataFrame:
     return small_batches(both).mapInArrow(compare, "a bigint, b bigint")
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, leaf: int = LEAF, upper: int = UPPER) -> DataFrame:
     """Links (a, b) that join all fingerprints of a component; prints: different values fp."""
     order = ["slot", "key", "rank"]
     placed = entries(prints).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(index_rows(narrow_batches(placed)), "gray-index")
+    rows = written(index_rows(narrow_batches(placed), leaf, upper), "gray-index")
     inner = rows.filter("node is null").select("a", "b")
     leaves = rows.filter("node is not null").select("node.*")
     many = leaves.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

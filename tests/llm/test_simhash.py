@@ -67,15 +67,13 @@ def test_linked_equals_brute_force():
     assert set(zip(i.tolist(), (j + 150).tolist())) == {(x, y) for x, y in want if x < 150 <= y}
 
 
-def test_crowded_keys_are_split_and_whole(spark, monkeypatch):
+def test_crowded_keys_are_split_and_whole(spark):
     """Thousands of fingerprints around one value: leaves and upper nodes of one key over several tasks."""
-    monkeypatch.setattr(S, "LEAF", 32)
-    monkeypatch.setattr(S, "UPPER", 3)
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
-    values = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, 400), dtype=np.uint64), axis=0) for c in centre]))
+    values = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k % 3 + 1, 500), dtype=np.uint64), axis=0) for k, c in enumerate(centre)]))
     frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(5)
-    roots = {r.a: r.b for r in S.components(S.links(frame)).collect()}
+    roots = {r.a: r.b for r in S.components(S.links(frame, 16, 3)).collect()}
     want = plain_components(values.tolist())
     groups = {}
     for v, label in want.items():
