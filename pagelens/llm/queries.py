@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import decontaminate, packing, simhash, toxicity
+from pagelens.llm import decontaminate, packing, secrets, simhash, toxicity
 from pagelens.llm.words import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ LLM_SQL["op8_benchmark_decontamination"] = decontaminate.SQL
 def op7_toxicity(spark, sf_dir):
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))

@@ -1,0 +1,113 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from pagelens.llm import secrets as S
+from pagelens.llm.queries import LLM_QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_base(text):
+    """The rules as they are written down, letter case by letter."""
+    name = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    rules = {
+        "assign": (f"""({name})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        "access": ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        "hex": ("[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    }
+    found = [(k, *m.span()) for k, (rule, fits) in rules.items() for m in re.finditer(rule, text or "") if fits(m)]
+    return sorted(found, key=lambda s: (s[1], S.KINDS.index(s[0])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+TRICKY = [
+    None, "", "password=token=abcdefghij", "password:token:abcdefghijk", "PaSsWd\" : 'Abc.def-9", "secret=short", "api_key=12345678 apikey:87654321",
+    "paßword=abcdefgh paſſword=abcdefgh toKen=abcdefgh", "é AKIAAAAAAAAAAAAA AKIA123 xAKIAAAAAAAAAAAAAAAA", "0123456789abcdef" * 3,
+    "0123456789abcdefg" * 3, "token = \"" + "a1" * 20 + "\"", "password" + " " * 50_000 + "= abcdefgh1", "a" * 300_000, "token:" * 20_000,
+    "AKIA" * 9, "x" + "0" * 31, "日本 secret='ABCDEFGH' password=12345678.", "token=\nabcdefgh", "token\t=abcdefgh",
+]
+
+
+def test_base_rules():
+    for text in TRICKY:
+        assert S.findings(text or "")[0] == plain_base(text), (text or "")[:60]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return S.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_held_out_findings(model):
+    """Other words and draws than in training."""
+    rows, labels = S.generated(1000, ["Haus", "maison", "perro", "window", "blehea", "ntth"], seed=99)
+    score = model.probability(model.network.score(np.stack([S.windows(t, a, min(b, a + S.PIECE))[0] for t, a, b in rows])))
+    hit, y = score >= model.threshold, np.array(labels)
+    assert hit[y == 1].mean() > 0.97 and hit[y == 0].mean() < 0.03
+    assert model.recall >= S.RECALL
+
+
+def test_network_adds_spans_beside_the_rules(model):
+    found = S.scan_texts(["see ghp_" + "aB3dE6gH9jK2" * 3 + " ok", "mail x.42@mail8.example.com, file report-2024-final.html", "password=" + "a1b2" * 9], model)
+    assert found[0] == [("network", 4, 44)] and found[1] == []
+    assert [k for k, _, _ in found[2]] == ["assign", "hex"]
+    # Every piece of a long candidate is read.
+    text = "x1" + "nothing.other.words." * 30 + "ghp_" + "aB3dE6gH9jK2" * 6
+    assert len(S.windows(text, 0, len(text))) == -(-len(text) // S.PIECE)
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    net = S.Network()
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    x = rng.integers(1, 130, (5, S.BEFORE + S.PIECE + S.AFTER)).astype(np.int16)
+    x[0, S.BEFORE + 20 : S.BEFORE + S.PIECE] = 0
+    weights = rng.standard_normal(5)
+    g = net._backward(x, net._forward(x), weights)
+    for name in net.w:
+        for _ in range(4):
+            at = tuple(int(rng.integers(1 if name == "vectors" and not i else 0, n)) for i, n in enumerate(net.w[name].shape))
+            old = net.w[name][at]
+            values = []
+            for step in (1e-6, -1e-6):
+                net.w[name][at] = old + step
+                values.append(weights @ net._forward(x)["score"])
+            net.w[name][at] = old
+            assert abs((values[0] - values[1]) / 2e-6 - g[name][at]) < 1e-4, (name, at)
+
+
+def test_query_equals_the_rules_and_leaves_prose_alone(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows = {r.doc_id: r for r in LLM_QUERIES["op1_secret_scan"](spark, SF).collect()}
+    assert len(rows) == len(docs)
+    added = 0
+    for doc_id, text in docs:
+        base = plain_base(text)
+        r = rows[doc_id]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in base) for kind in S.KINDS[:3]]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        own = [s for s in r.spans.split(",") if s]
+        assert [s for s in own if not s.startswith("network")] == [f"{k}:{a}:{b}" for k, a, b in base]
+        added += len(own) - len(base)
+    assert added <= 0.02 * len(docs)
+
+
+def test_awkward_rows_and_masking(spark, model):
+    docs = spark.createDataFrame([(i % 5 or None, t, "s", len(t or ""), 1) for i, t in enumerate(TRICKY)],
+                                 "doc_id long, text string, spans string, n_chars long, n_hex int")
+    rows = S.digest(S.secret_spans(docs, model)).collect()
+    key = lambda rs: sorted(rs, key=str)
+    assert key((r.doc_id, r.base_sha256) for r in rows) == key(
+        (i % 5 or None, hashlib.sha256(joined(plain_base(t)).encode()).hexdigest()) for i, t in enumerate(TRICKY))
+    kept = S.mask_secrets(docs)
+    assert kept.columns == docs.columns and kept.count() == len(TRICKY)
+    for r in kept.collect():
+        assert plain_base(r.text) == [] and r.n_chars == len(r.text or "")
+    assert S.redacted("a password=12345678, b", [("assign", 2, 19)]) == "a password=[secret], b"
+    assert S.secret_spans(docs.limit(0), model).count() == 0 and S.mask_secrets(docs.limit(0)).count() == 0
