@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagelens.llm import decontaminate, packing, secrets, simhash, toxicity
 from pagelens.llm.words import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
 
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
+
 
 def query(fn):
     LLM_QUERIES[fn.__name__] = fn

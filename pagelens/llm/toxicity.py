@@ -197,7 +197,7 @@ def _fitted(counts: np.ndarray, score) -> Model:
     if len(x) and 0 < y.sum() < len(y):
         slope, shift = logistic(x, y)
     else:  # one label only: its share, whatever the text
-        slope, shift = 0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        slope, shift = 0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
     return Model(final.odds, final.drift, decay, scale, slope, shift)
 
 
@@ -297,7 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     not read. A null text is empty; empty texts get the score of a text without a toxic
     segment. A null doc_id is not held out and trains nothing. Repeated rows are scored alike;
     copies of a text train once, and not at all if their labels differ. Without labels, or
-    with one label only, every text gets that label's smoothed share.
+    with one label only, every text gets the toxic share, smoothed to a third if there are none.
     """
     found = toxic_passages(docs, train(docs, labels))
     held = F.coalesce(F.expr(f"{HELD_OUT} = 0"), F.lit(False))
