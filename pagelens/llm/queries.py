@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagelens.llm import decontaminate, packing, secrets, simhash, toxicity
+from pagelens.llm import decontaminate, host_quality, packing, secrets, simhash, toxicity
 from pagelens.llm.words import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,11 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op1_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_host_quality(spark, sf_dir):
+    return host_quality.host_quality(table(spark, sf_dir, "documents"))
+
+
+LLM_SQL["op4_host_quality"] = host_quality.SQL
