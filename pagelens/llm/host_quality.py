@@ -120,14 +120,14 @@ SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 windows AS (
   SELECT r, i, w[i : i + 2] AS p FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, p) > 1),
 repeated AS (
   SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS k FROM again) GROUP BY r),
 counted AS (
-  SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN repeated USING (r)),
 judged AS (
