@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagelens.llm import decontaminate, host_quality, html_text, packing, secrets, simhash, toxicity
+from pagelens.llm import chat, decontaminate, host_quality, html_text, packing, secrets, simhash, toxicity
 from pagelens.llm.words import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ LLM_SQL["op4_host_quality"] = host_quality.SQL
 @query
 def op6_html_extraction(spark, sf_dir):
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_chat_formatting(spark, sf_dir):
+    return chat.read_back(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+LLM_SQL["op9_chat_formatting"] = chat.SQL
