@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagelens.llm import chat, decontaminate, host_quality, html_text, packing, secrets, simhash, toxicity, url_filter
+from pagelens.llm import chat, decontaminate, host_quality, html_text, licenses, packing, secrets, simhash, toxicity, url_filter
 from pagelens.llm.words import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ LLM_SQL["op9_chat_formatting"] = chat.SQL
 @query
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
