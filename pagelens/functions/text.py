@@ -35,8 +35,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Strip white space at both ends (``trim`` only knows the space character)."""
-    return F.regexp_replace(as_column(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    """Strip white space at both ends (``trim`` only knows the space character).
+
+    The end is looked for only where a run of white space begins, so a long run
+    inside the text is walked through once.
+    """
+    return F.regexp_replace(as_column(c), rf"^[{WS}]+|(?<![{WS}])[{WS}]+\z", "")
 
 
 def non_blank(c: str | Column) -> Column:
@@ -58,14 +62,71 @@ def collapse_ws(c: str | Column) -> Column:
     return F.regexp_replace(as_column(c), f"[{WS}]+", " ")
 
 
+def up_to_last(c: Column, end: str) -> Column:
+    """The text up to its last match of ``end`` (a short pattern), which is included; empty without one."""
+    return F.regexp_extract(c, rf"^([\s\S]*{end})", 1)
+
+
+def _cut_at(end: str, mark: str, body: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Apply ``body`` up to the last ``end``; behind it, or without ``mark``, nothing can match.
+
+    So every search that begins also ends at some ``end``, and no start is tried in vain.
+    """
+
+    def apply(text: Column) -> Column:
+        def both(head: Column) -> Column:
+            return F.concat(body(head), F.substring(text, F.length(head) + 1, F.length(text)))
+
+        return F.when(text.rlike(mark), let(up_to_last(text, end), both)).otherwise(text)
+
+    return apply
+
+
 def strip_tags(html: str | Column) -> Column:
     """Replace scripts, styles and tags by a space. Entities are kept as they are."""
     out = as_column(html)
-    for pattern in (SCRIPT, STYLE, TAG):
-        out = F.regexp_replace(out, pattern, " ")
+    for pattern, end, mark in (
+        (SCRIPT, "(?i:</script>)", "(?i)</script>"), (STYLE, "(?i:</style>)", "(?i)</style>"), (TAG, ">", ">"),
+    ):
+        out = let(out, _cut_at(end, mark, lambda t, pattern=pattern: F.regexp_replace(t, pattern, " ")))
     return out
 
 
+def without_open_tags(html: Column) -> Column:
+    """The text with every ``<`` behind the last ``>`` replaced by a space: no tag can begin there."""
+
+    def both(head: Column) -> Column:
+        tail = F.substring(html, F.length(head) + 1, F.length(html))
+        return F.concat(head, F.translate(tail, "<", " "))
+
+    return let(up_to_last(html, ">"), both)
+
+
+# Named character references that occur in addresses.
+NAMED_REFERENCES = {"&amp;": "&", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0"}
+_REFERENCE_OR_TEXT = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z]{1,8};|[^&]+|&"
+
+
+def _character(hex_code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
+
+
+def decode_references(c: Column) -> Column:
+    """Numeric and the common named character references as characters; others stay as they are."""
+
+    def decoded(piece: Column) -> Column:
+        number = F.regexp_extract(piece, "^&#([0-9]+);", 1).try_cast("bigint")
+        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);", 1)
+        code = F.coalesce(number, F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10).try_cast("bigint"))
+        named = F.create_map(*[F.lit(x) for pair in NAMED_REFERENCES.items() for x in pair])
+        # Surrogates and numbers beyond the last character name none.
+        fits = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(fits, _character(F.hex(code))).otherwise(F.coalesce(F.element_at(named, piece), piece))
+
+    pieces = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE_OR_TEXT), F.lit(0)), decoded)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+
 def _without(patterns: tuple[str, ...], mark: str) -> Callable[[Column], Column]:
     """Replace the patterns by a space, in turn; text without ``mark`` cannot hold any."""
 

@@ -1,11 +1,13 @@
 """URL checks, printing and resolution with built-in functions.
 
 A URL is taken apart by one regular expression and printed again the way a
-browser prints it: lower-case scheme and host, no default port, resolved dot
-segments, percent-encoded path and query, no fragment.
+browser prints it: lower-case scheme and host, percent-decoded host, numeric
+hosts as four numbers, no default port, resolved dot segments, percent-encoded
+path and query, no fragment. No pattern repeats a group, so a URL of any length
+takes constant stack and time in proportion to its length.
 
-Not covered: punycode for non-ASCII hosts (kept as they are), percent-encoded
-hosts (rejected) and short numeric hosts such as ``http://1`` (kept as they are).
+Not covered: punycode. A host beyond ASCII is kept as it is; ``is_ascii_host``
+tells such hosts apart.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import as_column, let, strip_ws
 
-_HOST = r"[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+|\[[0-9a-fA-F:.]+\]"
+_HOST = r"[^\x00-\x20#/:<>?@\[\\\]^|\x7f]+|\[[0-9a-fA-F:.]+\]"
+# What a percent-decoded host must not hold.
+_HOST_UNSAFE = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]"
 _PORT = r"0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])|"
 # Groups: the s of https, user info, host, port, path, query.
 _HTTP_URL = (
@@ -24,10 +28,11 @@ _HTTP_URL = (
     r"([/\\][^?#]*)?(\?[^#]*)?(?:#.*)?\z"
 )
 _GROUPS = 6
-# URLs and paths that are in printed form already, which most are.
-_PLAIN_PATH = r"(?:/(?!\.\.?(?:[/?]|\z))[A-Za-z0-9_~!$&()*+,;=:@.-]*)+"
+# URLs and paths that are in printed form already, which most are: no dot after a
+# slash, and a host whose last label begins with a letter.
+_PLAIN_PATH = r"/[A-Za-z0-9_~!$&()*+,;=:@./-]*"
 _PLAIN_QUERY = r"(?:\?[A-Za-z0-9_~!$&()*+,;=:@./?%-]*)?"
-_PLAIN_URL = rf"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)+{_PLAIN_PATH}{_PLAIN_QUERY}\z"
+_PLAIN_URL = rf"^https?://[a-z0-9][a-z0-9.-]*\.[a-z][a-z0-9-]*{_PLAIN_PATH}{_PLAIN_QUERY}\z"
 _PLAIN_REFERENCE = rf"^(?!//){_PLAIN_PATH}{_PLAIN_QUERY}\z"
 _DOT_SEGMENT = r"/(?:\.|%2[eE]){1,2}(?:/|\z)"
 _PATH_UNSAFE = r"[^\x21-\x7e]|[\"<>`{}]"
@@ -38,9 +43,74 @@ def _clean(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]", "")
 
 
+def _is_plain(url: Column, pattern: str) -> Column:
+    return url.rlike(pattern) & ~F.contains(url, F.lit("/."))
+
+
+def _number(label: Column) -> Column:
+    """A label of a numeric host: decimal, octal (0...) or hexadecimal (0x...); NULL if it is none."""
+    hexadecimal = F.regexp_extract(label, "^0[xX]([0-9a-fA-F]{0,8})\\z", 1)
+    is_hex = label.rlike("^0[xX][0-9a-fA-F]{0,8}\\z")
+    value = (
+        F.when(is_hex, F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10))
+        .when(label.rlike("^0[0-7]{1,14}\\z"), F.conv(label, 8, 10))
+        .when(label.rlike("^(?:0|[1-9][0-9]{0,14})\\z"), label)
+    )
+    return value.try_cast("bigint")
+
+
+def _dotted(host: Column) -> Column:
+    """A host whose last label is a number as four numbers; NULL if it isn't an address."""
+    labels = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.", -1)
+
+    def address(parts: Column) -> Column:
+        numbers = F.transform(parts, _number)
+
+        def printed(n: Column) -> Column:
+            size = F.size(n)
+            room = F.element_at(F.array(*[F.lit(256**k).cast("bigint") for k in (4, 3, 2, 1)]), size)
+            last = F.element_at(n, size)
+            fits = F.forall(F.slice(n, 1, size - 1), lambda x: x < 256) & (last < room)
+            high = F.aggregate(
+                F.slice(n, 1, size - 1), F.struct(F.lit(3).alias("at"), F.lit(0).cast("bigint").alias("sum")),
+                lambda a, x: F.struct((a["at"] - 1).alias("at"), (a["sum"] + x * F.pow(F.lit(256), a["at"]).cast("bigint")).alias("sum")),
+            )["sum"]
+            whole = high + last
+            quads = [(F.shiftright(whole, 8 * k).bitwiseAND(255)).cast("string") for k in (3, 2, 1, 0)]
+            ok = (size <= 4) & F.forall(n, lambda x: x.isNotNull())
+            return F.when(ok & fits, F.concat_ws(".", *quads))
+
+        return F.when(F.size(parts) <= 4, let(numbers, printed))
+
+    return let(labels, address)
+
+
+def _host(raw: Column) -> Column:
+    """The host in printed form; NULL if it isn't a valid one."""
+
+    def printed(host: Column) -> Column:
+        numeric = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z")
+        return F.when(host.rlike(_HOST_UNSAFE) & ~host.startswith("["), None).when(numeric, _dotted(host)).otherwise(host)
+
+    decoded = F.when(F.contains(raw, F.lit("%")), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
+    return let(F.lower(decoded), printed)
+
+
+def is_ascii_host(c: str | Column) -> Column:
+    """False for a URL whose printed host would need punycode to be compared with others."""
+    return ~printed_host(c).rlike(r"[^\x00-\x7f]")
+
+
 def is_http_url(c: str | Column) -> Column:
     """True for a valid absolute http(s) URL, never NULL."""
-    return F.coalesce(_clean(as_column(c)).rlike(_HTTP_URL), F.lit(False))
+
+    def valid(url: Column) -> Column:
+        host = F.regexp_extract(url, _HTTP_URL, 3)
+        special = F.contains(host, F.lit("%")) | host.rlike(r"(?:^|\.)(?:[0-9]+|0[xX][0-9a-fA-F]*)\.?\z")
+        fits = F.when(special, _host(host).isNotNull()).otherwise(F.lit(True))
+        return _is_plain(url, _PLAIN_URL) | (url.rlike(_HTTP_URL) & fits)
+
+    return F.coalesce(let(_clean(as_column(c)), valid), F.lit(False))
 
 
 def url_parts(c: str | Column) -> Column:
@@ -51,7 +121,16 @@ def url_parts(c: str | Column) -> Column:
     """
     groups = "\n".join(f"${i}" for i in range(1, _GROUPS + 1))
     parts = F.split(F.regexp_replace(_clean(as_column(c)), _HTTP_URL, groups), "\n", -1)
-    return F.coalesce(parts, F.array(F.lit("")))
+
+    def checked(p: Column) -> Column:
+        # The third group becomes the printed host; without one the URL isn't valid.
+        host = let(F.when(F.size(p) == _GROUPS, _host(F.get(p, F.lit(2)))), lambda h: h)
+        return let(
+            host,
+            lambda h: F.when(h.isNotNull(), F.concat(F.slice(p, 1, 2), F.array(h), F.slice(p, 4, _GROUPS - 3))).otherwise(F.array(F.lit(""))),
+        )
+
+    return F.coalesce(let(parts, checked), F.array(F.lit("")))
 
 
 def _encode(text: Column, unsafe: str) -> Column:
@@ -63,19 +142,45 @@ def _encode(text: Column, unsafe: str) -> Column:
     return F.when(text.rlike(unsafe), F.array_join(encoded, "")).otherwise(text)
 
 
+# Segments that are resolved together before they meet the others.
+_SEGMENT_BLOCK = 256
+
+
 def _resolve_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of a path that starts with a slash."""
+    """Resolve ``.`` and ``..`` segments of a path that starts with a slash.
+
+    Blocks of segments are resolved by themselves to the folders they go up and the
+    segments they keep, then joined, so that no long array is copied once a segment.
+    """
     # A closing dot segment names a folder, so its slash is kept.
     closed = F.when(path.rlike(r"/(?:\.|%2[eE]){1,2}\z"), F.concat(path, F.lit("/"))).otherwise(path)
-    kept = F.aggregate(
-        F.split(F.substring(closed, 2, 2147483647), "/", -1),
-        F.array().cast("array<string>"),
-        lambda done, seg: F.when(
-            seg.rlike(r"^(?:\.|%2[eE]){2}\z"), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    nothing = F.array().cast("array<string>")
+
+    def state(ups: Column, kept: Column) -> Column:
+        return F.struct(ups.alias("ups"), kept.alias("kept"))
+
+    def step(done: Column, seg: Column) -> Column:
+        kept = done["kept"]
+        up = F.when(F.size(kept) > 0, state(done["ups"], F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))).otherwise(
+            state(done["ups"] + 1, kept)
         )
-        .when(seg.rlike(r"^(?:\.|%2[eE])\z"), done)
-        .otherwise(F.concat(done, F.array(seg))),
-    )
+        return (
+            F.when(seg.rlike(r"^(?:\.|%2[eE]){2}\z"), up)
+            .when(seg.rlike(r"^(?:\.|%2[eE])\z"), done)
+            .otherwise(state(done["ups"], F.concat(kept, F.array(seg))))
+        )
+
+    def joined(segments: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(segments), F.lit(_SEGMENT_BLOCK))
+        blocks = F.transform(
+            starts, lambda at: F.aggregate(F.slice(segments, at, _SEGMENT_BLOCK), state(F.lit(0), nothing), step)
+        )
+        return F.aggregate(
+            blocks, nothing,
+            lambda done, b: F.concat(F.slice(done, 1, F.greatest(F.size(done) - b["ups"], F.lit(0))), b["kept"]),
+        )
+
+    kept = let(F.split(F.substring(closed, 2, 2147483647), "/", -1), joined)
     return F.when(path.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
@@ -91,7 +196,7 @@ def _origin(p: Column) -> Column:
         _scheme(p),
         F.lit("://"),
         F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""),
-        F.lower(p[2]),
+        p[2],
         F.when((port != "") & (port != default_port), F.concat(F.lit(":"), port)).otherwise(""),
     )
 
@@ -113,7 +218,7 @@ def normalize_url(c: str | Column) -> Column:
     def normalize(url: Column) -> Column:
         parsed = let(url_parts(url), lambda p: _print(p, drop_trailing_slash=True))
         plain = F.regexp_replace(url, r"^(https?://[^/]+/[^?]*)/(\?.*)?\z", "$1$2")
-        return F.when(url.rlike(_PLAIN_URL), plain).otherwise(parsed)
+        return F.when(_is_plain(url, _PLAIN_URL), plain).otherwise(parsed)
 
     return let(as_column(c), normalize)
 
@@ -123,10 +228,15 @@ def printed_host(c: str | Column) -> Column:
     return F.regexp_extract(as_column(c), r"^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)
 
 
-def registrable_domain(host: Column) -> Column:
-    """The last two labels of a host name; an address is kept whole."""
-    name = F.regexp_extract(host, r"([^.]+\.[^.]+)\z", 1)
-    return F.when(host.rlike(r"^[0-9.]+\z|^\[") | (name == ""), host).otherwise(name)
+def same_site(host: Column, other: Column) -> Column:
+    """Whether two printed hosts are one, or one is a sub-domain of the other.
+
+    This needs no list of public suffixes and never joins two customers of one suffix;
+    two sub-domains of a site are told apart. An address is only itself.
+    """
+    address = r"^[0-9.]+\z|^\["
+    below = host.endswith(F.concat(F.lit("."), other)) | other.endswith(F.concat(F.lit("."), host))
+    return (host != "") & (other != "") & ((host == other) | (below & ~host.rlike(address) & ~other.rlike(address)))
 
 
 def _absolute(src: Column, base: Column) -> Column:
@@ -169,8 +279,8 @@ def resolve_against(src: str | Column, base_parts: Column) -> Column:
         base_ok = F.size(base_parts) == _GROUPS
         return (
             F.when(raw == "", None)
-            .when(raw.startswith("data:") | raw.rlike(_PLAIN_URL), raw)
-            .when(base_ok & raw.rlike(_PLAIN_REFERENCE), F.concat(_origin(base_parts), raw))
+            .when(raw.startswith("data:") | _is_plain(raw, _PLAIN_URL), raw)
+            .when(base_ok & _is_plain(raw, _PLAIN_REFERENCE), F.concat(_origin(base_parts), raw))
             .otherwise(F.coalesce(printed, raw))
         )
 

@@ -1,8 +1,7 @@
 """A crawled page table (page_id, url, html) as crawl records.
 
-Links and media are read from the page's tags. A link is internal when its host
-belongs to the same registrable domain as the page, so a blog sub-domain is
-internal to its parent.
+Links and media are read from the page's tags. A link is internal when its host is
+the page's, a sub-domain of it, or the domain above it.
 """
 
 from __future__ import annotations
@@ -10,19 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import let, non_empty, strip_tags, strip_ws
-from pagelens.functions.urls import printed_host, registrable_domain, resolve_against, url_parts
+from pagelens.functions.text import decode_references, let, non_empty, strip_tags, strip_ws, without_open_tags
+from pagelens.functions.urls import printed_host, resolve_against, same_site, url_parts
 from pagelens.sources.records import ALL_FIELDS, HEADER_FIELDS, LINK_TYPE, MARKDOWN_KEYS, MEDIA_TYPE
 
-# An anchor runs to its end tag, or to the next anchor where the end tag is missing.
-ANCHOR = r"(?i)<a\s[^>]*>[\s\S]*?(?=</a>|<a\s|\z)"
+# An anchor runs to its end tag; where that is missing, to the next anchor or block tag.
+ANCHOR = r"(?i)<a\s[^>]*>[\s\S]*?(?:</a>|(?=<a\s)|\z)"
+_BLOCK_TAG = (
+    r"(?i)</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|"
+    r"nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>])[\s\S]*"
+)
 IMAGE = r"(?i)<img\s[^>]*>"
 VIDEO = r"(?i)<(?:video|source)\s[^>]*>"
 AUDIO = r"(?i)<(?:audio|source)\s[^>]*>"
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?i)^<[a-z]+[^>]*?\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    """An attribute's value, in quotes of either kind or without any; empty if it is missing."""
+    written = F.regexp_extract(tag, rf"""(?i)^<[a-z]+[^>]*?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    value = let(written, lambda w: F.when(w.rlike("^[\"']"), F.substring(w, F.lit(2), F.length(w) - 2)).otherwise(w))
+    return decode_references(value)
+
+
+def _anchor_text(tag: Column) -> Column:
+    closed = tag.rlike(r"(?i)</a>\z")
+    return strip_ws(strip_tags(F.when(closed, F.regexp_replace(tag, r"(?i)</a>\z", "")).otherwise(F.regexp_replace(tag, _BLOCK_TAG, ""))))
 
 
 def _number(text: Column) -> Column:
@@ -30,10 +41,9 @@ def _number(text: Column) -> Column:
 
 
 def _link(tag: Column, base_parts: Column) -> Column:
-    href = F.replace(_attribute(tag, "href"), F.lit("&amp;"), F.lit("&"))
     return F.struct(
-        resolve_against(href, base_parts).alias("href"),
-        strip_ws(strip_tags(tag)).alias("text"),
+        resolve_against(_attribute(tag, "href"), base_parts).alias("href"),
+        _anchor_text(tag).alias("text"),
         _attribute(tag, "title").alias("title"),
     )
 
@@ -66,12 +76,12 @@ def _all(html: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _placed(links: Column, domain: Column) -> Column:
+def _placed(links: Column, host: Column) -> Column:
     """Each link with the bucket it belongs to; a link that is no web page is external."""
 
     def place(x: Column) -> Column:
-        same_site = let(printed_host(x["href"]), registrable_domain) == domain
-        return F.struct(x.alias("link"), F.coalesce(same_site, F.lit(False)).alias("internal"))
+        internal = let(printed_host(x["href"]), lambda own: same_site(own, host))
+        return F.struct(x.alias("link"), F.coalesce(internal, F.lit(False)).alias("internal"))
 
     return F.transform(F.filter(links, lambda x: x["href"].isNotNull()), place)
 
@@ -103,9 +113,9 @@ _READERS = {
     "internal_links": lambda: _bucket(internal=True),
     "external_links": lambda: _bucket(internal=False),
     "has_media": lambda: F.lit(True),
-    "images": lambda: _media(_all(F.col("html"), IMAGE), "image"),
-    "videos": lambda: _media(_all(F.col("html"), VIDEO), "video"),
-    "audios": lambda: _media(_all(F.col("html"), AUDIO), "audio"),
+    "images": lambda: _media(_all(without_open_tags(F.col("html")), IMAGE), "image"),
+    "videos": lambda: _media(_all(without_open_tags(F.col("html")), VIDEO), "video"),
+    "audios": lambda: _media(_all(without_open_tags(F.col("html")), AUDIO), "audio"),
     "screenshot": lambda: F.lit(None).cast("struct<screenshot:string,url:string,base64:string>"),
 }
 
@@ -117,9 +127,9 @@ def records_from_pages(pages: DataFrame, fields: tuple[str, ...] = ALL_FIELDS) -
     if {"internal_links", "external_links"} & set(wanted):
         # The page's own URL is taken apart once for all its links.
         located = source.withColumn("base", url_parts("url"))
-        links = F.transform(_all(F.col("html"), ANCHOR), lambda tag: _link(tag, F.col("base")))
-        domain = registrable_domain(F.lower(F.get("base", F.lit(2))))
-        source = located.select("request_id", "url", "html", _placed(links, domain).alias("links"))
+        links = F.transform(_all(without_open_tags(F.col("html")), ANCHOR), lambda tag: _link(tag, F.col("base")))
+        host = F.get("base", F.lit(2))
+        source = located.select("request_id", "url", "html", _placed(links, host).alias("links"))
     return source.select(
         "request_id",
         F.col("url").alias("target"),

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ def test_white_space_class_is_exact(spark):
     ("https://site.test/..", "https://site.test/"),
     ("https://site.test/%zz", "https://site.test/%zz"),
     ("ftp://site.test/", None), ("http://", None), ("https://a b.test/", None), ("http://site.test:65536/", None),
-    ("word", None), ("", None), (None, None), ("http://a%41.test/", None),
+    ("word", None), ("", None), (None, None), ("http://a%41.test/", "http://aa.test/"), ("http://a%2Fb.test/", None),
+    ("http://1", "http://0.0.0.1/"), ("http://256/x/", "http://0.0.1.0/x"), ("http://0x7f.1/", "http://127.0.0.1/"),
+    ("http://010.1.2.3", "http://8.1.2.3/"), ("http://1.2.3.4:80", "http://1.2.3.4/"), ("http://1.2.3.256/", None),
+    ("http://1.2.3.4.5/", None), ("http://a.1/", None), ("http://4294967295", "http://255.255.255.255/"), ("http://4294967296", None),
+    ("http://a..b/", "http://a..b/"), ("http://ü.test/", "http://ü.test/"), ("http://h.test/.well-known/x", "http://h.test/.well-known/x"),
 ])
 def test_normalize_url(evaluate, raw, printed):
     rows = [(raw,)]
@@ -76,10 +81,80 @@ def test_resolve_url(evaluate, src, base, resolved):
     assert evaluate([(src, base)], "s string, b string", urls.resolve_url("s", "b")) == [resolved]
 
 
-def test_registrable_domain(evaluate):
-    hosts = [("blog.site.test",), ("site.test",), ("localhost",), ("10.0.0.1",), ("[::1]",)]
-    assert evaluate(hosts, "h string", urls.registrable_domain(F.col("h"))) == [
-        "site.test", "site.test", "localhost", "10.0.0.1", "[::1]"
+@pytest.mark.parametrize("a, b, same", [
+    ("site.test", "site.test", True), ("blog.site.test", "site.test", True), ("site.test", "a.b.site.test", True),
+    ("bank.co.uk", "shop.co.uk", False), ("a.github.io", "b.github.io", False), ("notsite.test", "site.test", False),
+    ("10.0.0.1", "0.0.1", False), ("10.0.0.1", "10.0.0.1", True), ("", "", False), ("[::1]", "[::1]", True),
+])
+def test_same_site(evaluate, a, b, same):
+    assert evaluate([(a, b)], "a string, b string", urls.same_site(F.col("a"), F.col("b"))) == [same]
+
+
+def seconds(work):
+    start = time.time()
+    work()
+    return time.time() - start
+
+
+def test_very_long_urls(spark):
+    """No input is too long, neither for the stack nor in time."""
+    n = 100_000
+    rows = [
+        ("http://a.b/" + "a/" * n, "http://a.b/" + "a/" * (n - 1) + "a"),
+        ("http://a.b/" + "a/" * n + "../" * (n - 1), "http://a.b/a"),
+        ("http://a.b/" + "a/../" * (n // 2) + "x/.", "http://a.b/x"),
+        ("http://" + "a." * 20_000 + "b/", "http://" + "a." * 20_000 + "b/"),
+        ("http://a.b/?" + "q" * 1_000_000, "http://a.b/?" + "q" * 1_000_000),
+        ("http://a.b/" + "x" * 1_000_000 + "%", "http://a.b/" + "x" * 1_000_000 + "%"),
+    ]
+    frame = spark.createDataFrame(rows, "u string, want string").cache()
+    frame.count()
+    wrong = frame.filter(~urls.normalize_url("u").eqNullSafe(F.col("want")) | ~urls.is_http_url("u"))
+    assert wrong.count() == 0  # starts the code
+    assert seconds(wrong.count) < 6
+    relative = frame.select(F.concat(F.lit("x/"), F.substring("u", 12, 10**9)).alias("s"))
+    resolved = relative.select(F.length(urls.resolve_url("s", F.lit("http://a.b/c/"))).alias("n"))
+    assert resolved.filter("n is null").count() == 0
+
+
+def test_dot_segments_against_brute_force(spark):
+    rng = random.Random(8)
+
+    def plain(path):
+        kept = []
+        for part in path.split("/")[1:]:
+            if part == "..":
+                del kept[-1:]
+            elif part != ".":
+                kept.append(part)
+        last = path.rsplit("/", 1)[1]
+        return "/" + "/".join([*kept, ""] if last in (".", "..") else kept)
+
+    paths = ["/" + "/".join(rng.choices(["a", "b", "..", ".", "", "c"], weights=[3, 3, w, 1, 1, 1], k=rng.choice((3, 10, 900)))) for w in (1, 3, 9) * 60]
+    frame = spark.createDataFrame([(p, plain(p)) for p in paths], "p string, want string")
+    assert frame.filter(urls._resolve_dots(F.col("p")) != F.col("want")).count() == 0
+
+
+def test_trim_and_tags_in_linear_time(spark):
+    cases = [
+        (text.strip_ws, " a" + " " * 1_000_000 + "b\u3000 ", "a" + " " * 1_000_000 + "b"),
+        (text.strip_ws, "\t" * 1_000_000, ""),
+        (text.strip_tags, "<script " * 100_000, "<script " * 100_000),
+        (text.strip_tags, "x<script>1</SCRIPT>" + "<style " * 100_000, "x " + "<style " * 100_000),
+        (text.strip_tags, "<p>a</p>" + "<" * 500_000, " a " + "<" * 500_000),
+        (text.strip_tags, "<script>a</script>b<script>c<b>d", " b c d"),
+    ]
+    for fn, value, want in cases:
+        frame = spark.createDataFrame([(value,)], "t string")
+        start = time.time()
+        assert frame.select(fn("t")).first()[0] == want
+        assert time.time() - start < 5
+
+
+def test_character_references(evaluate):
+    rows = [("a&amp;b&#38;c&#x26;d&quot;&lt;&nbsp;&unknown;&#0;&#xD800;&#x1F600;& &amp",), ("none",), (None,), ("",)]
+    assert evaluate(rows, "t string", text.decode_references(F.col("t"))) == [
+        'a&b&c&d"<\u00a0&unknown;&#0;&#xD800;😀& &amp', "none", None, ""
     ]
 
 
