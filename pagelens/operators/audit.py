@@ -286,28 +286,31 @@ def static_key_check(requests: DataFrame, keys: DataFrame | None) -> DataFrame:
 def rate_limit_audit(requests: DataFrame, limit: int = 100, window: str = "15 minutes") -> DataFrame:
     """Requests beyond ``limit`` per client address and tumbling window.
 
-    ``requests(request_id, ip_address, ts)``. The request that reaches the limit
-    is found with a rank filter, which forwards at most ``limit`` rows per group
-    from each task; every later request of the group is then over the limit. No
-    task ranks a whole busy address.
+    ``requests(request_id, ip_address, ts)``. Requests are counted per second; a running
+    sum over the seconds of a window (at most as many rows as it has seconds) finds the
+    second in which the limit is passed. Only that second's requests are ranked; every
+    later one is over the limit. The plan is the same for every limit, and no task ranks
+    a whole busy address.
     """
+    group = ["ip_address", "window_start"]
     rows = requests.select(
-        "request_id", "ip_address", "ts", F.window("ts", window)["start"].alias("window_start")
+        "request_id", "ip_address", "ts", F.window("ts", window)["start"].alias("window_start"),
+        F.date_trunc("second", "ts").alias("second"),
     )
-    order = Window.partitionBy("ip_address", "window_start").orderBy("ts", "request_id")
-    last_allowed = (
-        rows.withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") == limit)
-        .select("ip_address", "window_start", F.col("ts").alias("last_ts"), F.col("request_id").alias("last_id"))
-    )
-    later = (F.col("ts") > F.col("last_ts")) | (
-        (F.col("ts") == F.col("last_ts")) & (F.col("request_id") > F.col("last_id"))
-    )
-    return (
-        rows.join(last_allowed, ["ip_address", "window_start"])
-        .filter(later)
-        .select("request_id", "ip_address", "ts", "window_start")
+    earlier = Window.partitionBy(*group).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = (
+        rows.groupBy(*group, "second")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     )
+    full = (F.col("before") <= limit) & (F.col("before") + F.col("n") > limit)
+    reached = seconds.filter(full).select(*group, F.col("second").alias("full_second"), "before")
+    beyond = rows.join(reached, group).filter(F.col("second") >= F.col("full_second"))
+    order = Window.partitionBy(*group).orderBy("ts", "request_id")
+    ranked = beyond.filter(F.col("second") == F.col("full_second")).withColumn("n", F.row_number().over(order))
+    kept = ["request_id", "ip_address", "ts", "window_start"]
+    in_second = ranked.filter(F.col("before") + F.col("n") > limit).select(*kept)
+    return beyond.filter(F.col("second") > F.col("full_second")).select(*kept).unionByName(in_second)
 
 
 def rate_limit_windows(requests: DataFrame, limit: int = 100, window: str = "15 minutes") -> DataFrame:

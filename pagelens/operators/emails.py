@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.contacts import emails_for_index
 from pagelens.functions.numbers import loose_number
 from pagelens.functions.text import if_non_blank
 from pagelens.functions.urls import is_http_url, normalize_url
+from pagelens.operators.ranking import spread_rank
 from pagelens.operators.views import record_url
 
-# Words that mark a contact page, and the number of scanned pages.
+# Words that mark a contact page.
 CONTACT_WORDS = ("contact", "about", "info", "support", "help", "team", "company")
-DEFAULT_PAGES = 10
-MAX_PAGES = 25
+# Bits of the filter that keeps pages nobody scans from being searched.
+SLOTS = 1 << 23
 
 
 def is_contact_link(href: Column, text: Column, title: Column) -> Column:
@@ -26,9 +27,9 @@ def is_contact_link(href: Column, text: Column, title: Column) -> Column:
 
 
 def page_limit(c: str | Column) -> Column:
-    """Scanned pages a request asks for: a whole number up to the maximum, else the default."""
+    """Scanned pages a request asks for: a whole number from 1 on; NULL, which is no limit, for anything else."""
     n = F.floor(loose_number(c))
-    return F.when(n >= 1, F.least(n, F.lit(MAX_PAGES))).otherwise(F.lit(DEFAULT_PAGES)).cast("int")
+    return F.when(n >= 1, n).cast("bigint")
 
 
 def seed_links(records: DataFrame) -> DataFrame:
@@ -49,23 +50,19 @@ def contact_pages(links: DataFrame) -> DataFrame:
 
 
 def scanned_pages(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pages to scan per seed: the seed, then its candidates by URL, up to its limit.
+    """Pages to scan per seed: the seed, then its candidates by URL; all of them, or as
+    many as the request names.
 
-    ``seeds(target, max_pages)`` has one row per seed. The rank is capped at the
-    fixed maximum first, so each task forwards at most that many rows per seed
-    and a seed with very many links does not end up in one task.
+    ``seeds(target, max_pages)`` has one row per seed. Places are found without
+    bringing the pages of a seed together.
     """
     own = seeds.select("target", normalize_url("target").alias("page_url"), F.lit(True).alias("is_seed"))
     linked = candidates.select("target", "page_url", F.lit(False).alias("is_seed"))
     pages = own.unionByName(linked).groupBy("target", "page_url").agg(F.max("is_seed").alias("is_seed"))
-    order = Window.partitionBy("target").orderBy(F.col("is_seed").desc(), "page_url")
-    ranked = pages.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MAX_PAGES)
+    ranked = spread_rank(pages, "target", [F.col("is_seed").desc(), F.col("page_url")], "position")
     limits = seeds.select("target", page_limit("max_pages").alias("page_limit"))
-    return (
-        ranked.join(limits, "target")
-        .filter(F.col("position") <= F.col("page_limit"))
-        .select("target", "page_url", "is_seed", "position")
-    )
+    wanted = F.col("page_limit").isNull() | (F.col("position") <= F.col("page_limit"))
+    return ranked.join(limits, "target").filter(wanted).select("target", "page_url", "is_seed", "position")
 
 
 def scanned_coverage(scanned: DataFrame, records: DataFrame) -> DataFrame:
@@ -93,30 +90,54 @@ def _link_targets() -> Column:
 
 
 def record_emails(records: DataFrame) -> DataFrame:
-    """Emails of each record: ``(page_url, source, email)``, found before any shuffle."""
+    """Emails of each record with ``page_url``: ``(page_url, source, email)``, found before any shuffle."""
     scanned = records.select(
-        record_url().alias("source"), _scan_text().alias("scan_text"), _link_targets().alias("hrefs")
+        "page_url", record_url().alias("source"), _scan_text().alias("scan_text"), _link_targets().alias("hrefs")
     )
     found = emails_for_index("scan_text", F.col("hrefs"))
-    return scanned.select("source", F.explode(found).alias("email")).withColumn("page_url", normalize_url("source"))
+    return scanned.select("page_url", "source", F.explode(found).alias("email"))
+
+
+def _slot(url: str) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(SLOTS)) + 1
+
+
+def scanned_filter(scanned: DataFrame) -> DataFrame:
+    """The scanned URLs as a bitmap of ``SLOTS`` bits: rows (bucket, bits), a megabyte at most."""
+    slot = scanned.select(_slot("page_url").alias("slot"))
+    return slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+
+
+def _maybe_scanned(records: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Records whose URL may be a scanned one. They stay where they were read; the bitmap goes to them."""
+    located = records.withColumn("page_url", normalize_url(record_url()))
+    placed = located.filter("page_url IS NOT NULL").withColumn("bucket", F.bitmap_bucket_number(_slot("page_url")))
+    place = F.bitmap_bit_position(_slot("page_url"))
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, CAST(bitmap_bit_position(pmod(xxhash64(page_url), %d) + 1) %% 8 AS INT))" % SLOTS)
+    return placed.join(F.broadcast(scanned_filter(scanned)), "bucket").filter(byte.bitwiseAND(bit) != 0).drop("bits", "bucket")
 
 
 def email_index(scanned: DataFrame, records: DataFrame) -> DataFrame:
     """One row per (target, email, source).
 
-    Emails are pulled out in the scan stage, so only short rows reach the join
-    with the scanned pages; the page text never does.
+    Records that no seed scans are left out before their text is searched, by a bitmap
+    of fixed size. Emails are pulled out in the scan stage, so only short rows reach the
+    join with the scanned pages; the page text never does.
     """
     return (
         scanned.select("target", "page_url")
-        .join(record_emails(records), "page_url")
+        .join(record_emails(_maybe_scanned(records, scanned)), "page_url")
         .select("target", "email", "source")
         .distinct()
     )
 
 
 def email_sources(index: DataFrame) -> DataFrame:
-    """Sorted sources per (target, email); a target has at most ``MAX_PAGES`` pages."""
+    """Sorted sources per (target, email). A list holds the pages that show one address;
+    ``email_index`` has the same in rows, for addresses that stand on very many."""
     return index.groupBy("target", "email").agg(F.array_sort(F.collect_list("source")).alias("sources"))
 
 

@@ -461,15 +461,17 @@ def _run(start, spark: SparkSession, purpose: str) -> DataFrame:
 @query
 def rate_limit_stream(spark, sf_dir):
     rows = S.rate_limit_stream(D.burst_columns(_event_stream(spark, sf_dir)))
-    out = _run(lambda p, c: S.append_stream(rows, p, c, available_now=True), spark, "rate-limit")
-    return out.select("ip_address", _micros("window_start"), "requests")
+    out = _run(lambda p, c: S.update_stream(rows, p, c, available_now=True), spark, "rate-limit")
+    windows = S.latest_updates(out, ["ip_address", "window_start"], "requests")
+    return windows.select("ip_address", _micros("window_start"), "requests")
 
 
 @query
 def usage_rollup_stream(spark, sf_dir):
     rows = S.usage_rollup_stream(D.usage_columns(_event_stream(spark, sf_dir)))
-    out = _run(lambda p, c: S.append_stream(rows, p, c, available_now=True), spark, "rollup")
-    return out.select(_micros("hour"), "endpoint", "status", "requests", "credits")
+    out = _run(lambda p, c: S.update_stream(rows, p, c, available_now=True), spark, "rollup")
+    hours = S.latest_updates(out, ["hour", "endpoint", "status"], "requests", "credits")
+    return hours.select(_micros("hour"), "endpoint", "status", "requests", "credits")
 
 
 @query

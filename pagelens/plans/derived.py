@@ -301,7 +301,7 @@ def payload_records(pages: DataFrame) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw payloads: one envelope form per page number; every 50th is cut in half."""
+    """Raw payloads: one envelope form per page number; every 50th begins with a stray character."""
     p, r = F.col("page_id"), F.col("record")
     noise = F.lit('{"note":"no content"}')
     raw = _by(p % 5, {
@@ -310,10 +310,10 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         2: F.concat(F.lit("[["), r, F.lit("],5,null]")),
         3: F.concat(F.lit('{"success":true,"results":['), r, F.lit(","), noise, F.lit("]}")),
     }, F.concat(F.lit('{"result":{"results":null,"result":['), r, F.lit("]}}")))
-    cut = F.when(p % 50 == 0, F.left(raw, (F.length(raw) / 2).cast("int"))).otherwise(raw)
+    written = F.when(p % 50 == 0, F.concat(F.lit("~"), raw)).otherwise(raw)
     rows = payload_records(table(spark, sf_dir, "pages"))
     urls = F.array("url", F.concat(F.col("url"), F.lit("#second")))
-    return rows.select(p.cast("string").alias("request_id"), urls.alias("target_urls"), cut.alias("raw"))
+    return rows.select(p.cast("string").alias("request_id"), urls.alias("target_urls"), written.alias("raw"))
 
 
 def _typed(frame: DataFrame, **columns: Column) -> DataFrame:

@@ -233,7 +233,7 @@ SITES = f"""
 candidates AS (SELECT target, url AS page_url FROM docs WHERE d % 4 IN (0, 1) OR d % 8 = 2),
 seeds AS (
   SELECT DISTINCT target, CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 5
-    WHEN 0 THEN 7 WHEN 1 THEN 25 ELSE 10 END AS wanted FROM docs),
+    WHEN 0 THEN 7 WHEN 1 THEN 100 END AS wanted FROM docs),
 pool AS (
   SELECT target, target || '/' AS page_url, true AS is_seed FROM seeds
   UNION ALL SELECT target, page_url, false FROM candidates),
@@ -241,7 +241,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY target ORDER BY is_seed DESC, page_url) AS position FROM pool),
 scanned AS (
   SELECT target, page_url, is_seed, CAST(position AS INTEGER) AS position FROM ranked JOIN seeds USING (target)
-  WHERE position <= wanted),
+  WHERE wanted IS NULL OR position <= wanted),
 page_emails AS (
   SELECT url, unnest(list_distinct(list_concat(list_concat(
       list_filter({_written('text')}, lambda e: regexp_full_match(e, '{EMAIL}')),
@@ -298,7 +298,7 @@ _METADATA = (
     "',\"metadata\":{' || CASE p % 4 WHEN 0 THEN '\"title\":\"\",' WHEN 2 THEN '\"title\":\"Meta ' || p || '\",' ELSE '' END "
     "|| '\"description\":\"from service\",\"og\":{\"image\":\"service og ' || p || '\",\"width\":7}}'"
 )
-# Cut payloads have an even number divisible by 50, so their own URL is set and they are not redirected.
+# Unreadable payloads have an even number divisible by 50, so their own URL is set and they are not redirected.
 CUT_JSON = f"""CASE form
   WHEN 0 THEN {_COMMON} || ',"success":true,"status_code":200,' || {_json_field('markdown', 'md')} || {_METADATA}
     || ',"screenshot":"  shot-' || p || ' "}}'
@@ -316,8 +316,6 @@ _SCREENSHOT = """
     WHEN form = 2 AND p % 4 = 3 THEN 'camel-' || p END AS base64
 """
 
-CLOSED_HOUR = "(SELECT max(us) // 1000 * 1000 - 3600000000 FROM ev)"
-
 REFERENCE_SQL: dict[str, str] = {
     "target_list": """
 SELECT CAST(page_id AS VARCHAR) AS request_id, CAST(0 AS INTEGER) AS position, url AS target_url FROM pages
@@ -331,8 +329,7 @@ SELECT CAST(page_id AS VARCHAR) AS request_id, CAST(400 AS INTEGER) AS status,
 FROM pages WHERE page_id % 8 = 1""",
     "payload_scan": f"""
 WITH {RECORDS}, cut AS (SELECT *, {CUT_JSON} AS json_text FROM rec)
-SELECT request_id, p % 50 = 0 AS corrupt,
-  CASE WHEN p % 50 = 0 THEN left(left(json_text, length(json_text) // 2), 8000) END AS corrupt_text FROM cut""",
+SELECT request_id, p % 50 = 0 AS corrupt, CASE WHEN p % 50 = 0 THEN '~' || json_text END AS corrupt_text FROM cut""",
     "record_headers": f"WITH {RECORDS} SELECT {HEAD}, target FROM every",
     "record_headers_by_ordinal": f"""
 WITH {RECORDS} SELECT request_id, CAST(0 AS INTEGER) AS record_pos,
@@ -509,10 +506,9 @@ WITH {USAGE} SELECT ip_address, window_start, count(*) AS requests FROM burst_wi
 GROUP BY ip_address, window_start HAVING count(*) > 100""",
     "rate_limit_stream": f"""
 WITH {USAGE} SELECT ip_address, window_start, count(*) AS requests FROM burst_windows
-GROUP BY ip_address, window_start HAVING count(*) > 100
-  AND window_start + 900000000 <= (SELECT max(ts) // 1000 * 1000 - 3600000000 FROM burst)""",
+GROUP BY ip_address, window_start HAVING count(*) > 100""",
     "usage_rollup_stream": f"""
 WITH {USAGE}, hours AS (SELECT *, us - us % 3600000000 AS hour FROM usage_log)
 SELECT hour, endpoint, response_code AS status, count(*) AS requests, CAST(sum(credit_used) AS DOUBLE) AS credits FROM hours
-GROUP BY hour, endpoint, response_code HAVING hour + 3600000000 <= {CLOSED_HOUR}""",
+GROUP BY hour, endpoint, response_code""",
 }

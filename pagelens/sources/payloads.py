@@ -7,25 +7,20 @@ from pyspark.sql import functions as F
 
 from pagelens.sources import records as R
 
-# Fixed value: how much of an unreadable payload is kept.
-CORRUPT_KEPT_CHARS = 8000
-
-
 def read_payloads(df: DataFrame) -> DataFrame:
     """``payloads(request_id, target_urls, raw)`` with the text read as VARIANT.
 
     Missing or empty text becomes an empty object. Unreadable text becomes an
-    object whose ``raw`` field holds its start, also given in ``corrupt_text``.
+    object whose ``raw`` field holds all of it, also given in ``corrupt_text``.
     """
     text = F.when(F.coalesce(F.length("raw"), F.lit(0)) == 0, F.lit("{}")).otherwise(F.col("raw"))
     parsed = F.try_parse_json(text)
-    start = F.left(F.col("raw"), F.lit(CORRUPT_KEPT_CHARS))
-    corrupt = F.to_variant_object(F.struct(start.alias("raw")))
+    corrupt = F.to_variant_object(F.struct(F.col("raw")))
     # The number of result keys in the text bounds how deep the envelope can nest.
     depth = F.coalesce(F.regexp_count("raw", F.lit('"results?"')), F.lit(0))
     return (
         df.withColumn("parsed", parsed)
-        .withColumn("corrupt_text", F.when(F.col("parsed").isNull(), start))
+        .withColumn("corrupt_text", F.when(F.col("parsed").isNull(), F.col("raw")))
         .withColumn("envelope_depth", depth)
         .withColumn("payload", F.coalesce("parsed", corrupt))
         .drop("parsed")

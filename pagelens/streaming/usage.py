@@ -6,7 +6,7 @@ of each micro-batch, so a busy address or account costs one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +18,11 @@ MONTH_LATENESS = "32 days"
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 100, window: str = "15 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Closed windows in which an address sent more than ``limit`` requests (append mode)."""
+    """Windows in which an address has sent more than ``limit`` requests.
+
+    In append mode a window comes out once it is closed, in update mode with every batch
+    that adds to it, so that the windows still open are delivered too.
+    """
     return (
         requests.withWatermark("ts", lateness)
         .groupBy(F.window("ts", window).alias("w"), "ip_address")
@@ -29,7 +33,7 @@ def rate_limit_stream(requests: DataFrame, limit: int = 100, window: str = "15 m
 
 
 def usage_rollup_stream(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Requests and credits per hour, endpoint and status (append mode)."""
+    """Requests and credits per hour, endpoint and status; append or update mode as above."""
     rows = cleaned(log, keep=("created",))
     return (
         rows.withWatermark("created", lateness)
@@ -89,9 +93,30 @@ def update_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bo
     return _trigger(writer, available_now).start(checkpointLocation=checkpoint)
 
 
-def latest_updates(written: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The newest value of each key of an update table."""
-    return written.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+def latest_updates(written: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """The newest values of each key of an update table."""
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("newest"))
+    return newest.select(*keys, "newest.*")
+
+
+def compact_updates(written: DataFrame, keys: list[str], values: list[str], base: str) -> None:
+    """Write the newest row of each key, with its batch, to a new table ``base``.
+
+    The folders of the batches in it are not read again (``read_updates``), so a table of
+    many batches costs as much as its keys and the batches since.
+    """
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values, "batch_id"), "batch_id").alias("newest"))
+    newest.select(*keys, "newest.*").write.parquet(base)
+
+
+def read_updates(spark: SparkSession, path: str, schema: str, base: str | None = None) -> DataFrame:
+    """The rows of an update table; with a ``base``, its rows and those of later batches only."""
+    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+    if base is None:
+        return rows
+    compacted = spark.read.schema(f"{schema}, batch_id bigint").parquet(base)
+    done = compacted.agg(F.max("batch_id")).first()[0]
+    return compacted.unionByName(rows.filter(F.col("batch_id") > (-1 if done is None else done)))
 
 
 def _trigger(writer, available_now: bool):

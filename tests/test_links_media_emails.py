@@ -111,7 +111,25 @@ def test_locale_order(spark):
 
 def test_page_limit(evaluate):
     asked = [("5",), ("7.9",), ("25",), ("400",), ("0",), ("0.5",), ("-3",), ("abc",), (None,), ("",)]
-    assert evaluate(asked, "n string", emails.page_limit("n")) == [5, 7, 25, 25, 10, 10, 10, 10, 10, 10]
+    assert evaluate(asked, "n string", emails.page_limit("n")) == [5, 7, 25, 400, None, None, None, None, None, None]
+
+
+def test_many_pages_of_one_seed_are_ranked_over_partitions(spark):
+    pages = [(SITE, f"{SITE}/{i * 7919 % 4001}/contact") for i in range(4001)] + [("https://b.test", "https://b.test/help")]
+    found = spark.createDataFrame(pages, "target string, page_url string").repartition(7)
+    seeds = spark.createDataFrame([(SITE, "3000"), ("https://b.test", None)], "target string, max_pages string")
+    rows = emails.scanned_pages(seeds, found).collect()
+    got = sorted((r.position, r.page_url) for r in rows if r.target == SITE)
+    assert got == list(enumerate([SITE + "/", *sorted(u for t, u in pages if t == SITE)], 1))[:3000]
+    assert sorted((r.position, r.is_seed) for r in rows if r.target != SITE) == [(1, True), (2, False)]
+
+
+def test_pages_nobody_scans_are_left_out_before_the_search(spark):
+    scanned = spark.createDataFrame([("t", f"{SITE}/{i}") for i in range(0, 400, 2)], "target string, page_url string")
+    records = build(spark, [(str(i), SITE, [{"url": f"{SITE}/{i}", "markdown": f"m{i}@site.test"}]) for i in range(400)], "emails")
+    kept = emails._maybe_scanned(records, scanned)
+    assert 200 <= kept.count() < 215
+    assert {r.email for r in emails.email_index(scanned, records).collect()} == {f"m{i}@site.test" for i in range(0, 400, 2)}
 
 
 def test_first_records_links_seed_the_search(spark):

@@ -54,9 +54,11 @@ def test_views_read_only_their_columns(spark):
     assert "ReadSchema: struct<user_id:bigint" in plan_of(D.registry(spark, SF)["users"])
 
 
-def test_rank_limits_apply_before_the_shuffle(spark):
-    for plan in (plan_of(audit.rate_limit_audit(D.burst_requests(spark, SF))), plan_of(entry.queries()["scanned_pages"](spark, SF))):
-        assert re.search(r"WindowGroupLimit.*Partial", plan)
+def test_rate_limit_plan_is_the_same_for_every_limit(spark):
+    """Only the requests of a deciding second are ranked, whatever the limit."""
+    requests = D.burst_requests(spark, SF)
+    shapes = [re.findall(r"\b(\w+Join|Window\w*|Exchange|\w*Aggregate)\b", plan_of(audit.rate_limit_audit(requests, n))) for n in (100, 5000)]
+    assert shapes[0] == shapes[1] and "WindowGroupLimit" not in shapes[0]
 
 
 def test_running_credits_read_the_instants_once(spark):
