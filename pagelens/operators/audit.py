@@ -222,8 +222,8 @@ def access_audit(
     """Decision and first failing reason of each request.
 
     ``requests(request_id, api_key, method, endpoint, ts)``. Past usage is read
-    only for requests that have passed so far, cost something and whose account
-    has a limit.
+    beside requests that cost something; it counts for those that have passed so far
+    and whose account has a limit.
     """
     context = key_context(keys, accounts, plans, users, policy)
     asked = requests.select(
@@ -245,7 +245,10 @@ def access_audit(
     has_limit = F.col("plan_limit").isNotNull() | F.col("key_limit").isNotNull()
     metered = F.col("failed").isNull() & (F.col("cost") > 0) & has_limit
     if policy.enforce_monthly_credits:
-        running = running_credits(checked.filter(metered), log)
+        # The account of a key is all that past usage needs, so the other tables are joined once.
+        own = keys.groupBy("key").agg(F.min_by(F.struct(_relation(keys, "account").alias("account_id")), "id").alias("own"))
+        owners = own.select("key", "own.account_id").filter("account_id IS NOT NULL")
+        running = running_credits(asked.filter("cost > 0").join(owners, "key"), log)
         checked = checked.join(running, ["account_id", "ts"], "left")
     else:
         checked = checked.withColumn("used_credits", F.lit(None).cast("double"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import normalize_url
+from pagelens.sources import records as R
 from pagelens.sources.records import LINK_TYPE
 
 KEYS = ("request_id", "target")
@@ -51,12 +52,19 @@ def overlap_free_external(links: DataFrame) -> DataFrame:
     return external.join(internal, [*KEYS, "url"], "left_anti")
 
 
-def link_counts(mapped: DataFrame) -> DataFrame:
-    """Totals per target of a ``link_map``."""
-    return mapped.groupBy(*KEYS).agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("bucket") == "internal").alias("internal"),
-        F.count_if(F.col("bucket") == "external").alias("external"),
+def link_counts(mapped: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Totals per target of a ``link_map``; with its records, zeros for usable ones without a valid link."""
+    rows = mapped.select(
+        *KEYS, *[(F.col("bucket") == b).cast("bigint").alias(b) for b in ("internal", "external")]
+    )
+    if records is not None:
+        zero = F.lit(0).cast("bigint")
+        seen = R.usable(records, R.has_links) if "has_links" in records.columns else records
+        rows = rows.unionByName(seen.select(*KEYS, zero.alias("internal"), zero.alias("external")))
+    return rows.groupBy(*KEYS).agg(
+        F.sum(F.col("internal") + F.col("external")).alias("total"),
+        F.sum("internal").alias("internal"),
+        F.sum("external").alias("external"),
     )
 
 

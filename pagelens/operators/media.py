@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import if_non_blank, non_empty
 from pagelens.functions.urls import resolve_against, url_parts
+from pagelens.operators.ranking import spread_rank
 from pagelens.sources import records as R
 
 KEYS = ("request_id", "target")
@@ -75,17 +76,26 @@ def media_all(inventory: DataFrame) -> DataFrame:
     )
 
 
-def media_counts(inventory: DataFrame) -> DataFrame:
-    """Counts per target: distinct entries over all buckets, and per bucket."""
+def media_counts(inventory: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Counts per target: distinct entries over all buckets, and per bucket; with the
+    records, zeros for those that can hold media but have no entry."""
     # An entry listed in several buckets is counted in total by its first bucket.
     per_entry = inventory.groupBy(*KEYS, "type", "src").agg(
-        *[F.max((F.col("bucket") == b).cast("int")).alias(b) for b, _ in BUCKETS]
-    )
-    return per_entry.groupBy(*KEYS).agg(
-        F.count("*").alias("total"), *[F.sum(b).alias(b) for b, _ in BUCKETS]
+        *[F.max((F.col("bucket") == b).cast("bigint")).alias(b) for b, _ in BUCKETS]
     )
+    rows = per_entry.select(*KEYS, F.lit(1).cast("bigint").alias("total"), *[b for b, _ in BUCKETS])
+    if records is not None:
+        zero = F.lit(0).cast("bigint")
+        seen = R.usable(records, R.has_media)
+        rows = rows.unionByName(seen.select(*KEYS, zero.alias("total"), *[zero.alias(b) for b, _ in BUCKETS]))
+    return rows.groupBy(*KEYS).agg(F.sum("total").alias("total"), *[F.sum(b).alias(b) for b, _ in BUCKETS])
 
 
 def media_listing(items: DataFrame, locale: str = "UNICODE") -> DataFrame:
     """Entries in reading order: by source, then type, in the order of the locale."""
     return items.orderBy(*KEYS, F.collate("src", locale), F.collate("type", locale))
+
+
+def locale_rank(items: DataFrame, column: str, locale: str = "UNICODE") -> DataFrame:
+    """Items with their ``place`` within their request in the order of the locale."""
+    return spread_rank(items, "request_id", [F.collate(column, locale)], "place")

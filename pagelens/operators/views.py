@@ -73,13 +73,20 @@ def text_view(records: DataFrame) -> DataFrame:
 
 def seo_view(records: DataFrame) -> DataFrame:
     """SEO fields: the service's metadata, else the page's tags, else empty text."""
-    html, metadata = F.coalesce("html", F.lit("")), F.col("metadata")
+    html, metadata = F.coalesce("html", F.lit("")), F.col("metadata_value")
+    names = {n: R.truthy_text_at(metadata, f"$.{n}") for n in seo.PLAIN_FIELDS}
+
+    def group(name: str, fields: tuple[str, ...]) -> Column:
+        """The fields of a nested object; text and other values have none."""
+        value = F.try_variant_get(metadata, f"$.{name}", "variant")
+        held = F.struct(*[R.truthy_text_at(metadata, f"$.{name}.{n}").alias(n) for n in fields])
+        return F.when(R.is_object(value), held).alias(name)
+
     scanned = R.usable(records, R.has_seo).select(
         *header(),
-        "metadata",
-        # Nested metadata objects are held as JSON text.
-        F.try_parse_json(metadata["og"]).alias("og"),
-        F.try_parse_json(metadata["twitter"]).alias("twitter"),
+        F.struct(*[c.alias(n) for n, c in names.items()]).alias("service"),
+        group("og", seo.OG_FIELDS),
+        group("twitter", seo.TWITTER_FIELDS),
         seo.page_title(html).alias("page_title"),
         seo.head_tags(html).alias("tags"),
     )
@@ -90,12 +97,12 @@ def seo_view(records: DataFrame) -> DataFrame:
 
     def nested(group: str, names: tuple[str, ...], from_page) -> Column:
         return F.struct(*[
-            merged(R.truthy_text_at(F.col(group), f"$.{n}"), from_page(tags, f"{group}:{n}")).alias(n) for n in names
+            merged(F.col(group)[n], from_page(tags, f"{group}:{n}")).alias(n) for n in names
         ])
 
     page = {"title": F.col("page_title"), "canonical": seo.canonical_link(tags)}
     plain = [
-        merged(metadata[n], page[n] if n in page else seo.meta_named(tags, n)).alias(n) for n in seo.PLAIN_FIELDS
+        merged(F.col("service")[n], page[n] if n in page else seo.meta_named(tags, n)).alias(n) for n in seo.PLAIN_FIELDS
     ]
     og = nested("og", seo.OG_FIELDS, seo.meta_property)
     twitter = nested("twitter", seo.TWITTER_FIELDS, seo.meta_named)
@@ -162,20 +169,26 @@ def owned_jobs(jobs: DataFrame, owner: str) -> DataFrame:
     return jobs.filter(F.col("owner") == owner)
 
 
-def bulk_summary(records: DataFrame, job_id: str = "request_id") -> DataFrame:
-    """Per job: number of items, how many succeeded, failed, and answered 4xx or 5xx."""
+def bulk_summary(records: DataFrame, job_id: str = "request_id", jobs: DataFrame | None = None) -> DataFrame:
+    """Per job: number of items, how many succeeded, failed, and answered 4xx or 5xx; with
+    ``jobs``, zeros for those without an item."""
     failed_status = F.coalesce(F.col("status_code") >= 400, F.lit(False))
-    return bulk_items(records, job_id).groupBy("job_id").agg(
-        F.count("*").alias("count"),
-        F.count_if("success").alias("succeeded"),
-        F.count_if(~F.col("success")).alias("failed"),
-        F.count_if(failed_status).alias("error_status"),
-    )
+    flags = {"count": F.lit(True), "succeeded": F.col("success"), "failed": ~F.col("success"), "error_status": failed_status}
+    rows = bulk_items(records, job_id).select("job_id", *[c.cast("bigint").alias(n) for n, c in flags.items()])
+    if jobs is not None:
+        zero = F.lit(0).cast("bigint")
+        rows = rows.unionByName(jobs.select(F.col(job_id).alias("job_id"), *[zero.alias(n) for n in flags]))
+    return rows.groupBy("job_id").agg(*[F.sum(n).alias(n) for n in flags])
+
+
+def utf16_length(c: str | Column) -> Column:
+    """Characters as the service counts them: those beyond the basic plane are two."""
+    return F.octet_length(F.encode(c, "UTF-16BE")) / 2
 
 
 def view_totals(view: DataFrame, text_column: str) -> DataFrame:
-    """Number of rows and total characters of a view's text column."""
+    """Number of rows and total characters (UTF-16 units) of a view's text column."""
     return view.agg(
         F.count("*").alias("count"),
-        F.coalesce(F.sum(F.length(text_column)), F.lit(0)).cast("bigint").alias("total_characters"),
+        F.coalesce(F.sum(utf16_length(text_column)), F.lit(0)).cast("bigint").alias("total_characters"),
     )

@@ -159,15 +159,23 @@ def text_view_documents(spark, sf_dir):
     return views.text_view(D.document_records(spark, sf_dir)).select("request_id", "url", "text")
 
 
-@query
-def seo_view(spark, sf_dir):
-    view = views.seo_view(_payload_records(spark, sf_dir, "seo"))
+def _flat_seo(view: DataFrame) -> DataFrame:
     plain = [F.col(f"seo.{n}").alias(n) for n in ("title", "description", "keywords", "robots", "canonical")]
     og = [F.col(f"seo.og.{n}").alias(f"og_{n}") for n in ("title", "description", "image", "url", "type")]
     twitter = [F.col(f"seo.twitter.{n}").alias(f"twitter_{n}") for n in ("card", "title", "description", "image")]
     return view.select(*[c for c in view.columns if c != "seo"], *plain, *og, *twitter)
 
 
+@query
+def seo_view(spark, sf_dir):
+    return _flat_seo(views.seo_view(_payload_records(spark, sf_dir, "seo")))
+
+
+@query
+def seo_view_values(spark, sf_dir):
+    return _flat_seo(views.seo_view(_home_records(spark, sf_dir, "seo")))
+
+
 @query
 def extract_fields_documents(spark, sf_dir):
     return views.extract_fields_long(D.document_records(spark, sf_dir), list(views.contacts.FIELDS))
@@ -203,7 +211,8 @@ def bulk_items(spark, sf_dir):
 
 @query
 def bulk_summary(spark, sf_dir):
-    return views.bulk_summary(_payload_records(spark, sf_dir, "bulk"))
+    payloads = D.payloads(spark, sf_dir).unionByName(D.empty_payloads(spark, sf_dir))
+    return views.bulk_summary(P.crawl_records(P.read_payloads(payloads), "bulk"), jobs=payloads)
 
 
 @query
@@ -255,6 +264,44 @@ def link_counts(spark, sf_dir):
     return links.link_counts(links.link_map(D.overlapping_records(spark, sf_dir)))
 
 
+def _home_records(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    return P.crawl_records(P.read_payloads(D.home_payloads(spark, sf_dir)), view)
+
+
+@query
+def link_map_payloads(spark, sf_dir):
+    return links.link_map(_home_records(spark, sf_dir, "map"))
+
+
+@query
+def link_counts_payloads(spark, sf_dir):
+    records = _home_records(spark, sf_dir, "map")
+    return links.link_counts(links.link_map(records), records)
+
+
+@query
+def media_inventory_payloads(spark, sf_dir):
+    kept = ("request_id", "target", "bucket", "type", "src", "alt", "format", "score")
+    return media.media_inventory(_home_records(spark, sf_dir, "media")).select(*kept)
+
+
+@query
+def media_counts_payloads(spark, sf_dir):
+    records = _home_records(spark, sf_dir, "media")
+    return media.media_counts(media.media_inventory(records), records)
+
+
+@query
+def page_media(spark, sf_dir):
+    records = records_from_pages(D.media_pages(spark, sf_dir), R.FIELDS["media"])
+    return media.media_inventory(records).select("request_id", "target", "bucket", "type", "src", "alt", "width")
+
+
+@query
+def locale_listing(spark, sf_dir):
+    return media.locale_rank(D.locale_items(spark, sf_dir), "src").select("request_id", "src", "place")
+
+
 @query
 def link_lists(spark, sf_dir):
     lists = links.link_lists(links.link_map(D.overlapping_records(spark, sf_dir)))
@@ -308,6 +355,15 @@ def email_index(spark, sf_dir):
     return emails.email_index(_scan(spark, sf_dir)[1], D.document_records(spark, sf_dir))
 
 
+@query
+def email_index_payloads(spark, sf_dir):
+    """From the home pages' records to their contact pages and the emails on them."""
+    candidates = emails.contact_pages(emails.seed_links(_home_records(spark, sf_dir, "emails")))
+    scanned = emails.scanned_pages(D.home_seeds(spark, sf_dir), candidates)
+    stored = P.crawl_records(P.read_payloads(D.contact_payloads(spark, sf_dir)), "emails")
+    return emails.email_index(scanned, stored)
+
+
 @query
 def email_sources(spark, sf_dir):
     index = emails.email_index(_scan(spark, sf_dir)[1], D.document_records(spark, sf_dir))

@@ -228,6 +228,17 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("<a href='", F.regexp_replace(url, "#.*$", ""), "#again'>self</a>"),
         _text('<a href="https://', partner, "/p/", p, '/">Über &amp; <b>more</b></a>'),
         _text('<A HREF="HTTPS://', F.upper(partner), ":443/x/../p/", p, '#top" title="Partner">again</A>'),
+        # Without quotes, with the other kind of quote inside, with a reference, without an end.
+        F.lit("""<a href=/plain>plain</a><a href="/o'brien">ob</a><a href='/a&#38;b'>amp</a><a href="/open">open<p>not this"""),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), extra).alias("html"))
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with an image, a video and an audio source after ``<body>``."""
+    extra = _text(
+        "<body><img src=\"/i/", F.col("page_id"), ".png\" alt='A \"q\"' width=30><img src=/i/x.png>",
+        "<video src=v.mp4></video><source src='a.ogg' type='audio/ogg'>",
     )
     return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), extra).alias("html"))
 
@@ -316,6 +327,74 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(p.cast("string").alias("request_id"), urls.alias("target_urls"), written.alias("raw"))
 
 
+def empty_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads without a single record, for every tenth page."""
+    p = F.col("page_id")
+    return table(spark, sf_dir, "pages").filter(p % 10 == 0).select(
+        _text("e", p).alias("request_id"), F.array("url").alias("target_urls"), F.lit("[5,null]").alias("raw")
+    )
+
+
+def home_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload per page number for the home page of a site of its own: links by
+    page_id % 4, media by % 3, metadata by % 6, and no URL in the record for % 5 = 4."""
+    p = F.col("page_id")
+    site, partner = _text("https://s", p, ".test"), _text("partner", p % 7, ".test")
+    links = _by(p % 4, {
+        0: _text(
+            '{"internal":["', site, '/contact/",{"href":"', site, '/contact#form","text":"again"},{"href":"', site,
+            '/p/1","text":"The team"},{"href":"', site, '/blog","text":"Blog"},"mailto:x@y.test"],"external":[{"href":"https://', partner,
+            '/a/"},"not a url",{"text":"no href"},"HTTPS://', F.upper(partner), ':443/a","', site, '/contact"]}',
+        ),
+        1: F.lit('{"internal":[],"external":null}'),
+        2: F.lit('"yes"'),
+    })
+    media = _by(p % 3, {
+        0: _text(
+            '{"images":[{"src":"/img/1.png","alt":"one","score":2},"', site, '/img/1.png#hero",{"href":"b.gif","type":"video"},'
+            '{"alt":"none"}],"videos":[{"url":"/v.mp4","format":"mp4"}],"audios":"text"}',
+        ),
+        1: F.lit("{}"),
+    })
+    metadata = _by(p % 6, {
+        0: F.lit('{"title":0,"keywords":false,"description":null,"og":{"title":"svc"},"twitter":{"card":0}}'),
+        1: F.lit("[]"),
+        2: F.lit('{"og":"{\\"title\\":\\"x\\"}","title":"Svc"}'),
+        3: F.lit('{"title":"Svc","robots":"noindex","canonical":7}'),
+        4: F.lit('"text"'),
+    })
+    html = _text(
+        "<title> T", p, " </title><meta name='keywords' content='k", p, "'><meta property='og:title' content='og", p, "'>"
+    )
+    members = [
+        _text('"html":"', html, '"'),
+        F.when(p % 5 != 4, _text('"url":"', site, '"')),
+        F.concat(F.lit('"links":'), links), F.concat(F.lit('"media":'), media), F.concat(F.lit('"metadata":'), metadata),
+    ]
+    raw = F.concat(F.lit('{"results":[{'), F.concat_ws(",", *members), F.lit("}]}"))
+    return table(spark, sf_dir, "pages").select(p.cast("string").alias("request_id"), F.array(site).alias("target_urls"), raw.alias("raw"))
+
+
+def contact_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contact page of each such site; every third record has no URL of its own."""
+    p = F.col("page_id")
+    page = _text("https://s", p, ".test/contact")
+    own = F.when(p % 3 != 0, _text('"url":"', page, '/",')).otherwise("")
+    raw = F.concat(F.lit("{"), own, _text('"markdown":"mail m', p, '@site.test"}'))
+    return table(spark, sf_dir, "pages").select(_text("c", p).alias("request_id"), F.array(page).alias("target_urls"), raw.alias("raw"))
+
+
+def home_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(_text("https://s", F.col("page_id"), ".test").alias("target"), null_text().alias("max_pages"))
+
+
+def locale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words per brand whose order depends on the locale."""
+    words = F.array(*[F.lit(w) for w in ("zebra", "Äpfel", "apfel", "Apfel", "öl", "Zebra")])
+    word = F.get(words, (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("request_id"), word.alias("src")).distinct()
+
+
 def _typed(frame: DataFrame, **columns: Column) -> DataFrame:
     """Crawl records with the given columns; the other fields are empty."""
     no_text = null_text()

@@ -178,6 +178,11 @@ def _clean(c: str) -> str:
     return f"trim({out}, ' ')"
 
 
+def _units(c: str) -> str:
+    """UTF-16 units: characters beyond the basic plane are two."""
+    return f"(length({c}) + length(regexp_replace({c}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 OBFUSCATED = (
     r"([A-Za-z0-9._%+-]+)W*(?:\[[aA][tT]\]|\([aA][tT]\)|W[aA][tT]W)W*([A-Za-z0-9.-]+)"
@@ -268,10 +273,18 @@ found AS (
   SELECT request_id, url AS target, 'internal' AS bucket, href, text, '' AS title FROM nav_links
   UNION ALL SELECT request_id, url, 'internal', regexp_replace(url, '#.*$', ''), 'self', '' FROM site
   UNION ALL SELECT request_id, url, 'external', 'https://partner' || (p % 7) || '.test/p/' || p || '/', 'Über &amp;  more', '' FROM site
-  UNION ALL SELECT request_id, url, 'external', 'https://partner' || (p % 7) || '.test/p/' || p, 'again', 'Partner' FROM site),
+  UNION ALL SELECT request_id, url, 'external', 'https://partner' || (p % 7) || '.test/p/' || p, 'again', 'Partner' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/plain', 'plain', '' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/o''brien', 'ob', '' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/a&b', 'amp', '' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/open', 'open', '' FROM site),
 mapped AS (SELECT DISTINCT request_id, target, bucket, regexp_replace(href, '([^/])/$', '\\1') AS url FROM found)
 """
 
+HOMES = """
+homes AS (SELECT page_id AS p, CAST(page_id AS VARCHAR) AS request_id, 'https://s' || page_id || '.test' AS target FROM pages)
+"""
+
 MEDIA = """
 m AS (
   SELECT p_brand AS request_id, 'https://shop.test/brand/' || regexp_extract(p_brand, '([0-9]+)', 1) AS target,
@@ -391,15 +404,16 @@ SELECT {HEAD}, screenshot, shot_url, base64 FROM shots""",
     "bulk_items": f"WITH {RECORDS} SELECT {HEAD.replace('request_id', 'request_id AS job_id', 1)} FROM every",
     "bulk_summary": f"""
 WITH {RECORDS} SELECT request_id AS job_id, count(*) AS count, count(*) FILTER (success) AS succeeded,
-  count(*) FILTER (NOT success) AS failed, count(*) FILTER (status_code >= 400) AS error_status FROM every GROUP BY request_id""",
+  count(*) FILTER (NOT success) AS failed, count(*) FILTER (status_code >= 400) AS error_status FROM every GROUP BY request_id
+UNION ALL SELECT 'e' || page_id, 0, 0, 0, 0 FROM pages WHERE page_id % 10 = 0""",
     "owned_bulk_items": f"""
 WITH {RECORDS} SELECT {HEAD.replace('request_id', 'request_id AS job_id', 1)}, 'owner1' AS owner FROM every WHERE p % 3 = 1""",
     "view_totals_html": f"""
-WITH {RECORDS} SELECT count(*) AS count, CAST(coalesce(sum(length(html)), 0) AS BIGINT) AS total_characters FROM ok WHERE html IS NOT NULL""",
+WITH {RECORDS} SELECT count(*) AS count, CAST(coalesce(sum({_units('html')}), 0) AS BIGINT) AS total_characters FROM ok WHERE html IS NOT NULL""",
     "view_totals_markdown": f"""
-WITH {RECORDS} SELECT count(*) AS count, CAST(coalesce(sum(length({MARKDOWN})), 0) AS BIGINT) AS total_characters FROM ok""",
+WITH {RECORDS} SELECT count(*) AS count, CAST(coalesce(sum({_units(MARKDOWN)}), 0) AS BIGINT) AS total_characters FROM ok""",
     "view_totals_text": f"""
-SELECT count(*) AS count, CAST(coalesce(sum(length({_clean(_strip_tags('html'))})), 0) AS BIGINT) AS total_characters FROM pages""",
+SELECT count(*) AS count, CAST(coalesce(sum({_units(_clean(_strip_tags('html')))}), 0) AS BIGINT) AS total_characters FROM pages""",
     "request_quality": f"""
 WITH {RECORDS}, good AS (SELECT request_id FROM ok WHERE form < 2 OR html IS NOT NULL)
 SELECT request_id, CAST(2 AS BIGINT) AS targets, CASE WHEN request_id IN (SELECT request_id FROM good) THEN CAST(1 AS BIGINT) ELSE 0 END AS records,
@@ -413,6 +427,44 @@ WITH {LINKS} SELECT request_id, target, count(*) AS total, count(*) FILTER (buck
 WITH {LINKS} SELECT request_id, target, string_agg(url, ' ' ORDER BY url) FILTER (bucket = 'internal') AS internal,
   string_agg(url, ' ' ORDER BY url) FILTER (bucket = 'external') AS external, string_agg(url, ' ' ORDER BY url) AS "all"
 FROM mapped GROUP BY request_id, target""",
+    "link_map_payloads": f"""
+WITH {HOMES} SELECT request_id, target, target || path AS url, 'internal' AS bucket
+  FROM homes, (VALUES ('/contact'), ('/p/1'), ('/blog')) t(path) WHERE p % 4 = 0
+UNION ALL SELECT request_id, target, 'https://partner' || (p % 7) || '.test/a', 'external' FROM homes WHERE p % 4 = 0""",
+    "link_counts_payloads": f"""
+WITH {HOMES} SELECT request_id, target, CAST(CASE WHEN p % 4 = 0 THEN 4 ELSE 0 END AS BIGINT) AS total,
+  CAST(CASE WHEN p % 4 = 0 THEN 3 ELSE 0 END AS BIGINT) AS internal, CAST(CASE WHEN p % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS external
+FROM homes WHERE p % 4 <> 3""",
+    "media_inventory_payloads": f"""
+WITH {HOMES} SELECT request_id, target, bucket, type, target || path AS src, alt, format, CAST(score AS DOUBLE) AS score
+FROM homes, (VALUES ('images', 'image', '/img/1.png', 'one', NULL, 2), ('images', 'video', '/b.gif', NULL, NULL, NULL),
+  ('videos', 'video', '/v.mp4', NULL, 'mp4', NULL)) t(bucket, type, path, alt, format, score) WHERE p % 3 = 0""",
+    "media_counts_payloads": f"""
+WITH {HOMES} SELECT request_id, target, CAST(CASE WHEN p % 3 = 0 THEN 3 ELSE 0 END AS BIGINT) AS total,
+  CAST(CASE WHEN p % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS images, CAST(CASE WHEN p % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS videos,
+  CAST(0 AS BIGINT) AS audios FROM homes WHERE p % 3 < 2""",
+    "page_media": """
+WITH s AS (
+  SELECT CAST(page_id AS VARCHAR) AS request_id, url AS target, page_id AS p, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin,
+    regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS folder FROM pages)
+SELECT request_id, target, 'images' AS bucket, 'image' AS type, origin || '/i/' || p || '.png' AS src, 'A "q"' AS alt, CAST(30 AS DOUBLE) AS width FROM s
+UNION ALL SELECT request_id, target, 'images', 'image', origin || '/i/x.png', NULL, NULL FROM s
+UNION ALL SELECT request_id, target, 'videos', 'video', folder || 'v.mp4', NULL, NULL FROM s
+UNION ALL SELECT request_id, target, 'audios', 'audio', folder || 'a.ogg', NULL, NULL FROM s""",
+    "locale_listing": """
+WITH w AS (
+  SELECT DISTINCT p_brand AS request_id, list_extract(['zebra', 'Äpfel', 'apfel', 'Apfel', 'öl', 'Zebra'], p_partkey % 6 + 1) AS src FROM part)
+SELECT request_id, src, CAST(row_number() OVER (PARTITION BY request_id
+  ORDER BY list_position(['apfel', 'Apfel', 'Äpfel', 'öl', 'zebra', 'Zebra'], src)) AS INTEGER) AS place FROM w""",
+    "email_index_payloads": f"""
+WITH {HOMES} SELECT target, 'm' || p || '@site.test' AS email, target || '/contact' || CASE WHEN p % 3 = 0 THEN '' ELSE '/' END AS source
+FROM homes WHERE p % 4 = 0""",
+    "seo_view_values": f"""
+WITH {HOMES} SELECT request_id, CAST(0 AS INTEGER) AS record_pos, target AS url, CAST(NULL AS VARCHAR) AS redirected_url, false AS success,
+  CAST(NULL AS INTEGER) AS status_code, CASE WHEN p % 6 IN (2, 3) THEN 'Svc' ELSE 'T' || p END AS title, '' AS description,
+  'k' || p AS keywords, CASE WHEN p % 6 = 3 THEN 'noindex' ELSE '' END AS robots, CASE WHEN p % 6 = 3 THEN '7' ELSE '' END AS canonical,
+  CASE WHEN p % 6 = 0 THEN 'svc' ELSE 'og' || p END AS og_title, '' AS og_description, '' AS og_image, '' AS og_url, '' AS og_type,
+  '' AS twitter_card, '' AS twitter_title, '' AS twitter_description, '' AS twitter_image FROM homes""",
     "overlap_free_external": f"WITH {LINKS} SELECT request_id, target, url FROM mapped WHERE bucket = 'external'",
     "media_inventory": f"WITH {MEDIA} SELECT request_id, target, bucket, type, src, alt, score FROM inventory",
     "media_all": f"""

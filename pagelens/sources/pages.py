@@ -108,6 +108,7 @@ _READERS = {
     "markdown_text": _no_text,
     "markdown": lambda: F.struct(*[_no_text().alias(k) for k in MARKDOWN_KEYS]),
     "metadata": lambda: F.lit(None).cast("map<string,string>"),
+    "metadata_value": lambda: F.lit(None).cast("variant"),
     "has_metadata": lambda: F.lit(False),
     "has_links": lambda: F.lit(True),
     "internal_links": lambda: _bucket(internal=True),

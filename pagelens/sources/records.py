@@ -144,6 +144,7 @@ _READERS: dict[str, Callable[[Column], Column]] = {
     "markdown_text": lambda v: string_at(v, "$.markdown"),
     "markdown": lambda v: F.struct(*[string_at(v, f"$.markdown.{k}").alias(k) for k in MARKDOWN_KEYS]),
     "metadata": _metadata,
+    "metadata_value": lambda v: _get(v, "$.metadata"),
     "has_metadata": lambda v: is_object(_get(v, "$.metadata")) | is_array(_get(v, "$.metadata")),
     "has_links": _has_links,
     "internal_links": lambda v: _entries(v, "$.links.internal", _link_entry, LINK_TYPE),
@@ -162,7 +163,7 @@ FIELDS = {
     "html": ("html",),
     "markdown": ("markdown_text", "markdown"),
     "text": ("markdown_text", "markdown", "html"),
-    "seo": ("has_metadata", "metadata", "html"),
+    "seo": ("has_metadata", "metadata_value", "html"),
     "extract": ("markdown_text", "markdown", "html"),
     "screenshot": ("screenshot",),
     "media": ("has_media", "images", "videos", "audios"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -126,17 +127,21 @@ def with_month(rows: DataFrame) -> DataFrame:
 
 
 def _accepts_extended(spark: SparkSession, path: str) -> bool:
-    """Whether the log at ``path`` has the extended columns; a new log does."""
+    """Whether the log at ``path`` has the extended columns; a log that does not exist yet does."""
     try:
         return set(EXTENDED_COLUMNS) <= set(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return True
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return True
+        raise
 
 
-def append_usage(requests: DataFrame, path: str) -> None:
+def append_usage(requests: DataFrame, path: str, columns: Collection[str] | None = None) -> None:
     """Append finished requests to the month-partitioned log.
 
-    A log without the extended columns gets the short record.
+    A log without the extended columns gets the short record. ``columns`` names the
+    log's columns, so that they needn't be looked up in its files.
     """
-    extended = _accepts_extended(requests.sparkSession, path)
+    known = None if columns is None else set(EXTENDED_COLUMNS) <= set(columns)
+    extended = _accepts_extended(requests.sparkSession, path) if known is None else known
     with_month(usage_records(requests, extended)).write.mode("append").partitionBy("month").parquet(path)
