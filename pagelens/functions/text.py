@@ -62,44 +62,53 @@ def collapse_ws(c: str | Column) -> Column:
     return F.regexp_replace(as_column(c), f"[{WS}]+", " ")
 
 
-def up_to_last(c: Column, end: str) -> Column:
-    """The text up to its last match of ``end`` (a short pattern), which is included; empty without one."""
-    return F.regexp_extract(c, rf"^([\s\S]*{end})", 1)
+def _behind_last_tag(c: Column) -> Column:
+    """The text behind the last ``>``; all of it without one."""
+    return F.substring_index(c, ">", -1)
 
 
-def _cut_at(end: str, mark: str, body: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """Apply ``body`` up to the last ``end``; behind it, or without ``mark``, nothing can match.
+def _without_element(text: Column, pattern: str, end: str) -> Column:
+    """Replace an element up to the text's last end tag; behind it none can be complete.
 
-    So every search that begins also ends at some ``end``, and no start is tried in vain.
+    So every search that begins finds an end, and no start is tried in vain.
     """
+    closed = F.regexp_extract(text, rf"(?i)^([\s\S]*{end})", 1)
+
+    def both(head: Column) -> Column:
+        return F.concat(F.regexp_replace(head, pattern, " "), F.substring(text, F.length(head) + 1, F.length(text)))
+
+    return F.when(text.rlike(rf"(?i){end}"), let(closed, both)).otherwise(text)
 
-    def apply(text: Column) -> Column:
-        def both(head: Column) -> Column:
-            return F.concat(body(head), F.substring(text, F.length(head) + 1, F.length(text)))
 
-        return F.when(text.rlike(mark), let(up_to_last(text, end), both)).otherwise(text)
+def _without_tags(text: Column) -> Column:
+    """Replace tags; behind the last ``>`` none can be complete, so that part is not searched."""
 
-    return apply
+    def both(tail: Column) -> Column:
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+        return F.concat(F.regexp_replace(head, TAG, " "), tail)
+
+    hopeless = let(_behind_last_tag(text), both)
+    return F.when(F.contains(_behind_last_tag(text), F.lit("<")), hopeless).otherwise(F.regexp_replace(text, TAG, " "))
 
 
 def strip_tags(html: str | Column) -> Column:
     """Replace scripts, styles and tags by a space. Entities are kept as they are."""
-    out = as_column(html)
-    for pattern, end, mark in (
-        (SCRIPT, "(?i:</script>)", "(?i)</script>"), (STYLE, "(?i:</style>)", "(?i)</style>"), (TAG, ">", ">"),
-    ):
-        out = let(out, _cut_at(end, mark, lambda t, pattern=pattern: F.regexp_replace(t, pattern, " ")))
-    return out
+    html = as_column(html)
+    elements = let(
+        let(html, lambda t: _without_element(t, SCRIPT, "</script>")), lambda t: _without_element(t, STYLE, "</style>")
+    )
+    shown = F.when(html.rlike("(?i)</(?:script|style)>"), elements).otherwise(html)
+    return let(shown, _without_tags)
 
 
 def without_open_tags(html: Column) -> Column:
     """The text with every ``<`` behind the last ``>`` replaced by a space: no tag can begin there."""
 
-    def both(head: Column) -> Column:
-        tail = F.substring(html, F.length(head) + 1, F.length(html))
-        return F.concat(head, F.translate(tail, "<", " "))
+    def both(tail: Column) -> Column:
+        head = F.substring(html, F.lit(1), F.length(html) - F.length(tail))
+        return F.when(F.contains(tail, F.lit("<")), F.concat(head, F.translate(tail, "<", " "))).otherwise(html)
 
-    return let(up_to_last(html, ">"), both)
+    return let(_behind_last_tag(html), both)
 
 
 # Named character references that occur in addresses.

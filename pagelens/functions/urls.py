@@ -49,40 +49,28 @@ def _is_plain(url: Column, pattern: str) -> Column:
 
 def _number(label: Column) -> Column:
     """A label of a numeric host: decimal, octal (0...) or hexadecimal (0x...); NULL if it is none."""
-    hexadecimal = F.regexp_extract(label, "^0[xX]([0-9a-fA-F]{0,8})\\z", 1)
-    is_hex = label.rlike("^0[xX][0-9a-fA-F]{0,8}\\z")
-    value = (
-        F.when(is_hex, F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10))
+    return (
+        F.when(label.rlike("^0[xX][0-9a-fA-F]{0,8}\\z"), F.conv(F.concat(F.lit("0"), F.substring(label, 3, 8)), 16, 10))
         .when(label.rlike("^0[0-7]{1,14}\\z"), F.conv(label, 8, 10))
         .when(label.rlike("^(?:0|[1-9][0-9]{0,14})\\z"), label)
+        .cast("bigint")
     )
-    return value.try_cast("bigint")
 
 
 def _dotted(host: Column) -> Column:
     """A host whose last label is a number as four numbers; NULL if it isn't an address."""
-    labels = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.", -1)
 
-    def address(parts: Column) -> Column:
-        numbers = F.transform(parts, _number)
+    def printed(n: Column) -> Column:
+        # The last of up to four numbers fills the bytes that the others leave.
+        size = F.size(n)
+        first, last, room = F.slice(n, 1, size - 1), F.element_at(n, -1), F.pow(F.lit(256), 5 - size).cast("bigint")
+        whole = F.aggregate(first, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x) * room + last
+        # A label that is no number is NULL, and so is every comparison with it.
+        fits = (size <= 4) & (last < room) & F.forall(first, lambda x: x < 256)
+        steps = F.array(*[F.lit(256**k) for k in (3, 2, 1, 0)])
+        return F.when(fits, F.array_join(F.transform(steps, lambda s: F.floor(whole / s) % 256), "."))
 
-        def printed(n: Column) -> Column:
-            size = F.size(n)
-            room = F.element_at(F.array(*[F.lit(256**k).cast("bigint") for k in (4, 3, 2, 1)]), size)
-            last = F.element_at(n, size)
-            fits = F.forall(F.slice(n, 1, size - 1), lambda x: x < 256) & (last < room)
-            high = F.aggregate(
-                F.slice(n, 1, size - 1), F.struct(F.lit(3).alias("at"), F.lit(0).cast("bigint").alias("sum")),
-                lambda a, x: F.struct((a["at"] - 1).alias("at"), (a["sum"] + x * F.pow(F.lit(256), a["at"]).cast("bigint")).alias("sum")),
-            )["sum"]
-            whole = high + last
-            quads = [(F.shiftright(whole, 8 * k).bitwiseAND(255)).cast("string") for k in (3, 2, 1, 0)]
-            ok = (size <= 4) & F.forall(n, lambda x: x.isNotNull())
-            return F.when(ok & fits, F.concat_ws(".", *quads))
-
-        return F.when(F.size(parts) <= 4, let(numbers, printed))
-
-    return let(labels, address)
+    return let(F.transform(F.split(F.regexp_replace(host, r"\.\z", ""), r"\."), _number), printed)
 
 
 def _host(raw: Column) -> Column:
@@ -93,7 +81,9 @@ def _host(raw: Column) -> Column:
         return F.when(host.rlike(_HOST_UNSAFE) & ~host.startswith("["), None).when(numeric, _dotted(host)).otherwise(host)
 
     decoded = F.when(F.contains(raw, F.lit("%")), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
-    return let(F.lower(decoded), printed)
+    # Most hosts are names that end with a letter.
+    name = raw.rlike(r"^[A-Za-z0-9.-]*\.[A-Za-z][A-Za-z0-9-]*\z")
+    return F.when(name, F.lower(raw)).otherwise(let(F.lower(decoded), printed))
 
 
 def is_ascii_host(c: str | Column) -> Column:
@@ -124,9 +114,8 @@ def url_parts(c: str | Column) -> Column:
 
     def checked(p: Column) -> Column:
         # The third group becomes the printed host; without one the URL isn't valid.
-        host = let(F.when(F.size(p) == _GROUPS, _host(F.get(p, F.lit(2)))), lambda h: h)
         return let(
-            host,
+            F.when(F.size(p) == _GROUPS, _host(F.get(p, F.lit(2)))),
             lambda h: F.when(h.isNotNull(), F.concat(F.slice(p, 1, 2), F.array(h), F.slice(p, 4, _GROUPS - 3))).otherwise(F.array(F.lit(""))),
         )
 

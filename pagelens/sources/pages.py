@@ -32,8 +32,8 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _anchor_text(tag: Column) -> Column:
-    closed = tag.rlike(r"(?i)</a>\z")
-    return strip_ws(strip_tags(F.when(closed, F.regexp_replace(tag, r"(?i)</a>\z", "")).otherwise(F.regexp_replace(tag, _BLOCK_TAG, ""))))
+    closed = F.lower(F.right(tag, F.lit(4))) == "</a>"
+    return strip_ws(strip_tags(F.when(closed, tag).otherwise(F.regexp_replace(tag, _BLOCK_TAG, ""))))
 
 
 def _number(text: Column) -> Column:

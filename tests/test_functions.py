@@ -16,7 +16,7 @@ def test_white_space_class_is_exact(spark):
     assert chars.filter(~F.col("c").rlike(rf"^[^{text.WS}]\z")).count() == len(expected)
 
 
-@pytest.mark.parametrize("raw, printed", [
+PRINTED = [
     ("https://site.test/docs/", "https://site.test/docs"),
     ("https://site.test/docs#part", "https://site.test/docs"),
     ("HTTP://Site.TEST:80", "http://site.test/"),
@@ -38,11 +38,15 @@ def test_white_space_class_is_exact(spark):
     ("http://010.1.2.3", "http://8.1.2.3/"), ("http://1.2.3.4:80", "http://1.2.3.4/"), ("http://1.2.3.256/", None),
     ("http://1.2.3.4.5/", None), ("http://a.1/", None), ("http://4294967295", "http://255.255.255.255/"), ("http://4294967296", None),
     ("http://a..b/", "http://a..b/"), ("http://ü.test/", "http://ü.test/"), ("http://h.test/.well-known/x", "http://h.test/.well-known/x"),
-])
-def test_normalize_url(evaluate, raw, printed):
-    rows = [(raw,)]
-    assert evaluate(rows, "u string", urls.normalize_url("u")) == [printed]
-    assert evaluate(rows, "u string", urls.is_http_url("u")) == [printed is not None]
+]
+
+
+def test_normalize_url(spark):
+    rows = spark.createDataFrame(PRINTED, "raw string, printed string").select(
+        "raw", "printed", urls.normalize_url("raw").alias("got"), urls.is_http_url("raw").alias("valid")
+    ).collect()
+    assert [(r.raw, r.got) for r in rows] == PRINTED
+    assert [r.valid for r in rows] == [printed is not None for _, printed in PRINTED]
 
 
 def test_plain_urls_take_a_short_way_to_the_same_result(spark):
@@ -60,7 +64,7 @@ def test_plain_urls_take_a_short_way_to_the_same_result(spark):
     assert twice.filter("a <> again").collect() == []
 
 
-@pytest.mark.parametrize("src, base, resolved", [
+RESOLVED = [
     ("/i/a.png", "https://site.test/list", "https://site.test/i/a.png"),
     ("https://SITE.test/i/a.png#top", "not a url", "https://site.test/i/a.png"),
     ("../b?x#y", "http://site.test/a/b/c?d", "http://site.test/a/b?x"),
@@ -76,18 +80,24 @@ def test_plain_urls_take_a_short_way_to_the_same_result(spark):
     ("foo/", "http://site.test", "http://site.test/foo/"),
     ("http://bad host/", "http://site.test", "http://bad host/"),
     ("\\a\\b", "http://site.test/c", "http://site.test/a/b"),
-])
-def test_resolve_url(evaluate, src, base, resolved):
-    assert evaluate([(src, base)], "s string, b string", urls.resolve_url("s", "b")) == [resolved]
+]
 
 
-@pytest.mark.parametrize("a, b, same", [
+def test_resolve_url(spark):
+    frame = spark.createDataFrame([r[:2] for r in RESOLVED], "s string, b string")
+    assert [tuple(r) for r in frame.select("s", "b", urls.resolve_url("s", "b")).collect()] == RESOLVED
+
+
+SITES = [
     ("site.test", "site.test", True), ("blog.site.test", "site.test", True), ("site.test", "a.b.site.test", True),
     ("bank.co.uk", "shop.co.uk", False), ("a.github.io", "b.github.io", False), ("notsite.test", "site.test", False),
     ("10.0.0.1", "0.0.1", False), ("10.0.0.1", "10.0.0.1", True), ("", "", False), ("[::1]", "[::1]", True),
-])
-def test_same_site(evaluate, a, b, same):
-    assert evaluate([(a, b)], "a string, b string", urls.same_site(F.col("a"), F.col("b"))) == [same]
+]
+
+
+def test_same_site(spark):
+    frame = spark.createDataFrame([r[:2] for r in SITES], "a string, b string")
+    assert [tuple(r) for r in frame.select("a", "b", urls.same_site(F.col("a"), F.col("b"))).collect()] == SITES
 
 
 def seconds(work):

@@ -35,6 +35,13 @@ def test_link_map_merges_records_and_keeps_internal(spark):
     assert [r.url for r in links.overlap_free_external(links.link_rows(records)).collect()] == ["https://o.test/x"]
 
 
+def test_records_without_entries_count_zero(spark):
+    records = build(spark, [("none", SITE, {"links": {"internal": ["mailto:x@y.test"]}}), ("unusable", SITE, {"html": "x"})], "map")
+    assert [tuple(r) for r in links.link_counts(links.link_map(records), records).collect()] == [("none", SITE, 0, 0, 0)]
+    records = build(spark, [("none", SITE, {"media": {"images": [{"alt": "x"}]}}), ("unusable", SITE, {"media": 1})], "media")
+    assert [tuple(r) for r in media.media_counts(media.media_inventory(records), records).collect()] == [("none", SITE, 0, 0, 0, 0)]
+
+
 def test_media_keeps_the_first_entry(spark):
     payload = [
         {"url": SITE + "/list", "media": {

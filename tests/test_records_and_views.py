@@ -209,6 +209,40 @@ def test_page_adapter(spark):
     assert R.usable(records_from_pages(spark.createDataFrame([(1, SITE, " ")], "page_id long, url string, html string")), R.has_html).count() == 0
 
 
+def test_page_adapter_reads_awkward_tags(spark):
+    html = (
+        """<a href="/o'brien" title='say "hi"'>ob</a><a href=/plain>plain</a><a href='/a&#38;b&amp;c'>amp</a>"""
+        "<a href=\"/open\">open<p>not this</p><a href='/last'>last <b>words</b>" + "<a " * 50_000
+    )
+    row = records_from_pages(spark.createDataFrame([(1, SITE + "/x", html)], "page_id long, url string, html string")).first()
+    assert [(x.href, x.text, x.title) for x in row.internal_links] == [
+        (SITE + "/o'brien", "ob", 'say "hi"'), (SITE + "/plain", "plain", ""), (SITE + "/a&b&c", "amp", ""),
+        (SITE + "/open", "open", ""), (SITE + "/last", "last  words  a" + "  a" * 49_999, ""),
+    ]
+
+
+def test_seo_values_of_other_kinds(records):
+    html = "<title>Page</title><meta name='keywords' content='k'><meta property='og:title' content='og'>"
+    payload = [
+        {"html": html, "metadata": {"title": 0, "keywords": False, "og": '{"title":"text"}', "robots": 5}},
+        {"html": html, "metadata": [{"title": "in a list"}]}, {"html": html, "metadata": {"og": ["x"], "title": None}},
+    ]
+    rows = [r.seo for r in views.seo_view(records(payload, view="seo")).orderBy("record_pos").collect()]
+    assert [(s.title, s.keywords, s.og.title) for s in rows] == [("Page", "k", "og")] * 3
+    assert rows[0].robots == "5"
+
+
+def test_totals_count_utf16_units(spark):
+    frame = spark.createDataFrame([("a😀b",), (None,), ("é",)], "t string")
+    assert tuple(views.view_totals(frame, "t").first()) == (3, 5)
+
+
+def test_jobs_without_items_are_counted(spark, records):
+    jobs = spark.createDataFrame([("0",), ("none",)], "request_id string")
+    rows = {r.job_id: tuple(r)[1:] for r in views.bulk_summary(records([{"success": True, "status_code": 500}]), jobs=jobs).collect()}
+    assert rows == {"0": (1, 1, 0, 1), "none": (0, 0, 0, 0)}
+
+
 def test_write_view(spark, records, tmp_path):
     view = views.html_view(records({"html": "x"}, view="html"))
     write_view(view, str(tmp_path / "v"))

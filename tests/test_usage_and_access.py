@@ -112,6 +112,16 @@ def test_append_and_short_record(spark, tmp_path):
     assert spark.read.parquet(short).count() == 6
 
 
+def test_append_fails_for_a_log_that_cannot_be_read(spark, tmp_path):
+    """Only a missing log counts as new."""
+    path = tmp_path / "log" / "month=2024-01"
+    path.mkdir(parents=True)
+    (path / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        L._accepts_extended(spark, str(tmp_path / "log"))
+    assert L._accepts_extended(spark, str(tmp_path / "missing"))
+
+
 def test_credits_before_against_brute_force(spark):
     random.seed(7)
     rows, asked = [], []
