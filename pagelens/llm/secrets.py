@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.words import small_batches
+from pagelens.llm.toxicity import logistic
+from pagelens.llm.words import small_batches, written
 
 TRAINING_DOCS = 20_000
 FINDINGS = 2_000
@@ -178,8 +179,6 @@ class Model:
 
 def calibrated(network: Network, x: np.ndarray, y: np.ndarray) -> Model:
     """Platt's logistic curve, and the highest threshold up to one half that keeps RECALL of the secrets."""
-    from pagelens.llm.toxicity import logistic
-
     score = network.score(x).astype(float)
     slope, shift = logistic(score, y.astype(float))
     model = Model(network, slope, shift, 0.5, 0.0, 0.0)
@@ -266,7 +265,7 @@ def labelled_findings(docs: DataFrame, training_docs: int, findings_kept: int) -
     share = min(1.0, training_docs / total)
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003))
-    found = small_batches(texts).mapInArrow(scan, "text string, start int, end int, label int").distinct()
+    found = written(small_batches(texts).mapInArrow(scan, "text string, start int, end int, label int").distinct(), "findings")
     kept = [found.filter(F.col("label") == v).orderBy(F.xxhash64("text"), "text", "start").limit(findings_kept) for v in (0, 1)]
     return [tuple(r) for r in kept[0].unionByName(kept[1]).collect()]
 
