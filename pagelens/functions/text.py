@@ -67,17 +67,16 @@ def _behind_last_tag(c: Column) -> Column:
     return F.substring_index(c, ">", -1)
 
 
-def _without_element(text: Column, pattern: str, end: str) -> Column:
-    """Replace an element up to the text's last end tag; behind it none can be complete.
-
-    So every search that begins finds an end, and no start is tried in vain.
-    """
-    closed = F.regexp_extract(text, rf"(?i)^([\s\S]*{end})", 1)
+def _without_element(text: Column, pattern: str, name: str) -> Column:
+    """Replace an element. A start tag behind the last end tag would be searched to the end
+    of the text in vain, each one again; so a text that has some is searched up to there only."""
+    closed = F.regexp_extract(text, rf"(?i)^([\s\S]*</{name}>)", 1)
 
     def both(head: Column) -> Column:
         return F.concat(F.regexp_replace(head, pattern, " "), F.substring(text, F.length(head) + 1, F.length(text)))
 
-    return F.when(text.rlike(rf"(?i){end}"), let(closed, both)).otherwise(text)
+    hopeless = F.contains(F.substring_index(F.lower(text), f"</{name}>", -1), F.lit(f"<{name}"))
+    return F.when(hopeless, let(closed, both)).otherwise(F.regexp_replace(text, pattern, " "))
 
 
 def _without_tags(text: Column) -> Column:
@@ -95,7 +94,7 @@ def strip_tags(html: str | Column) -> Column:
     """Replace scripts, styles and tags by a space. Entities are kept as they are."""
     html = as_column(html)
     elements = let(
-        let(html, lambda t: _without_element(t, SCRIPT, "</script>")), lambda t: _without_element(t, STYLE, "</style>")
+        let(html, lambda t: _without_element(t, SCRIPT, "script")), lambda t: _without_element(t, STYLE, "style")
     )
     shown = F.when(html.rlike("(?i)</(?:script|style)>"), elements).otherwise(html)
     return let(shown, _without_tags)

@@ -36,6 +36,8 @@ def local_session(cpus: int | str = "*", app: str = "pagelens", memory: str = "8
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        # Call sites of expressions are kept for error messages only, and cost most of a large plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagelens-"))
         .getOrCreate()
     )
