@@ -12,6 +12,8 @@ tells such hosts apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,15 +133,15 @@ def _encode(text: Column, unsafe: str) -> Column:
     return F.when(text.rlike(unsafe), F.array_join(encoded, "")).otherwise(text)
 
 
-# Segments that are resolved together before they meet the others.
-_SEGMENT_BLOCK = 256
+# Segments that are resolved together before they meet the others, and such blocks.
+_SEGMENT_BLOCK = 64
 
 
 def _resolve_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of a path that starts with a slash.
 
     Blocks of segments are resolved by themselves to the folders they go up and the
-    segments they keep, then joined, so that no long array is copied once a segment.
+    segments they keep, then joined in two steps, so that no long array is copied often.
     """
     # A closing dot segment names a folder, so its slash is kept.
     closed = F.when(path.rlike(r"/(?:\.|%2[eE]){1,2}\z"), F.concat(path, F.lit("/"))).otherwise(path)
@@ -159,15 +161,19 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(state(done["ups"], F.concat(kept, F.array(seg))))
         )
 
+    def join(done: Column, block: Column) -> Column:
+        size = F.size(done["kept"])
+        above = F.greatest(block["ups"] - size, F.lit(0))
+        left = F.slice(done["kept"], 1, F.greatest(size - block["ups"], F.lit(0)))
+        return state(done["ups"] + above, F.concat(left, block["kept"]))
+
+    def in_blocks(items: Column, merge: Callable[[Column, Column], Column]) -> Column:
+        starts = F.sequence(F.lit(1), F.size(items), F.lit(_SEGMENT_BLOCK))
+        return F.transform(starts, lambda at: F.aggregate(F.slice(items, at, _SEGMENT_BLOCK), state(F.lit(0), nothing), merge))
+
     def joined(segments: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(segments), F.lit(_SEGMENT_BLOCK))
-        blocks = F.transform(
-            starts, lambda at: F.aggregate(F.slice(segments, at, _SEGMENT_BLOCK), state(F.lit(0), nothing), step)
-        )
-        return F.aggregate(
-            blocks, nothing,
-            lambda done, b: F.concat(F.slice(done, 1, F.greatest(F.size(done) - b["ups"], F.lit(0))), b["kept"]),
-        )
+        groups = let(in_blocks(segments, step), lambda blocks: in_blocks(blocks, join))
+        return F.aggregate(groups, state(F.lit(0), nothing), join)["kept"]
 
     kept = let(F.split(F.substring(closed, 2, 2147483647), "/", -1), joined)
     return F.when(path.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
