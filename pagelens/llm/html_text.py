@@ -2,7 +2,7 @@
 
 A page becomes a tree of its elements. Elements that never are article text (menus, page
 headers, footers, sidebars, forms, scripts, adverts, notices, reader comments; known by tag,
-role or by words of class and id) are cut off. Every other node gets its characters per tag,
+role or by words of class and id) are cut off, but no form that wraps the page. Every other node gets its characters per tag,
 adjusted for links: text inside links counts against a node, the more so the fewer links the
 page has on the whole. The node whose children have the largest sum of densities holds the
 main text; the smallest density on the way from the body to it is the threshold for what
@@ -32,10 +32,10 @@ BLOCK = frozenset(
 )
 CELLS = frozenset("td th".split())
 CUT_TAGS = frozenset(
-    "head nav aside footer form button select option input iframe svg canvas object embed audio video dialog menu search "
+    "head nav aside footer button select option input iframe svg canvas object embed audio video dialog menu search "
     "script style textarea title noscript template noembed noframes".split()
 )
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav "
     "navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices newsletter "
@@ -50,16 +50,17 @@ FENCES = frozenset("ul ol dl table body article section div main".split())
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+)>|<[!?/][^>]*+>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# Name and value; what stands in a value is never a name.
+_ATTRIBUTE = re.compile(r"""(=?+[^\s/=>]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class Page:
-    """Elements in page order: tag, parent, contents (texts and numbers of child elements), cut or not."""
+    """Elements in page order: tag, parent, contents (texts and numbers of child elements), cut, hinted, form or not."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.contents, self.cut, self.hinted = ["body"], [0], [[]], [False], [False]
+        self.tag, self.parent, self.contents, self.cut, self.hinted, self.form = ["body"], [0], [[]], [False], [False], [False]
         self._open = [0]
         self._parse(source)
 
@@ -80,18 +81,26 @@ class Page:
         self.parent.append(opened[-1])
         self.contents.append([])
         self.contents[opened[-1]].append(number)
-        cut, hinted = tag in CUT_TAGS, False
+        cut, hinted, form = tag in CUT_TAGS, False, tag == "form"
         if attributes and not cut:
+            known = set()
             for name, *values in _ATTRIBUTE.findall(attributes):
-                name, words = name.lower(), _WORD.findall("".join(values).lower())
+                name = name.lower()
+                if name not in ("class", "id", "role", "hidden") or name in known:
+                    continue
+                known.add(name)  # of a repeated attribute the first one counts
+                words = _WORD.findall("".join(values).lower())
                 if name == "hidden" or (name == "role" and not CUT_ROLES.isdisjoint(words)):
                     cut = True
-                elif name in ("class", "id") and not CUT_WORDS.isdisjoint(words):
+                elif name == "role":
+                    form = form or "form" in words
+                elif not CUT_WORDS.isdisjoint(words):
                     hinted = True
         if tag == "header" and not any(self.tag[o] in ("article", "main") for o in opened):
             hinted = True
         self.cut.append(cut)
         self.hinted.append(hinted)
+        self.form.append(form)
         if tag not in VOID:
             opened.append(number)
 
@@ -144,16 +153,48 @@ class Page:
                 at = close + 1 if close >= 0 else len(source)
                 self._open.pop()
 
+    def _prose(self, out: list[bool]) -> list[int]:
+        """Characters outside links and cut elements, of every node with all below it."""
+        n = len(self.tag)
+        chars, inside = [0] * n, [False] * n
+        for i in range(1, n):
+            inside[i] = self.tag[i] == "a" or inside[self.parent[i]]
+        for i in range(n - 1, -1, -1):
+            if out[i]:
+                continue
+            if not inside[i]:
+                chars[i] += sum(len("".join(t.split())) for t in self.contents[i] if isinstance(t, str))
+            if i:
+                chars[self.parent[i]] += chars[i]
+        return chars
+
+    def _below(self, cut: list[bool]) -> list[bool]:
+        out = [False] * len(cut)
+        for n in range(1, len(cut)):
+            out[n] = out[self.parent[n]] or cut[n]
+        return out
+
     def cut_off(self) -> list[bool]:
-        """Elements that are cut, with all below them. A hint doesn't count for what holds a heading or an article."""
+        """Elements that are cut, with all below them.
+
+        A hint doesn't count for what holds a heading or an article, nor if the hints leave no
+        text at all. A form is cut unless it holds a heading, an article or most of the text.
+        """
         holds = [t in ("h1", "article", "main") for t in self.tag]
         for n in range(len(self.tag) - 1, 0, -1):
             if holds[n]:
                 holds[self.parent[n]] = True
-        out = [False] * len(self.tag)
-        for n in range(1, len(self.tag)):
-            out[n] = out[self.parent[n]] or self.cut[n] or (self.hinted[n] and not holds[n])
-        return out
+        cut = self.cut
+        hints = [hint and not h for hint, h in zip(self.hinted, holds, strict=True)]
+        if any(hints):
+            left = self._prose(self._below([c or h for c, h in zip(cut, hints, strict=True)]))
+            if not left[0]:
+                hints = [False] * len(hints)
+        cut = [c or h for c, h in zip(cut, hints, strict=True)]
+        if any(self.form):
+            chars = self._prose(self._below(cut))
+            cut = [c or (f and not h and 2 * k <= chars[0]) for c, f, h, k in zip(cut, self.form, holds, chars, strict=True)]
+        return self._below(cut)
 
 
 def densities(page: Page, cut: list[bool]) -> list[float]:

@@ -34,6 +34,33 @@ def test_small_pages(source, want):
     assert main_text(source) == want
 
 
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', "style='visibility: hidden'", 'aria-hidden="false"', 'title="the hidden valley"', "data-hidden=1",
+    'data-id="comments"', 'data-x="a" data-role="banner"', "title=\"id='menu'\"", "data-url=/x?id=menu", "title='a' class='page'/",
+    'class="page" class="sidebar"', '"hidden"',
+])
+def test_only_real_attributes_count(attributes):
+    for inner in (f"<article><h1>Head</h1><p>{LONG}</p></article>", f"<div><p>{LONG}</p><p>{LONG}</p></div>"):
+        want = main_text(f"<body><div>{inner}</div></body>")
+        assert LONG in want and main_text(f"<body><div {attributes}>{inner}</div></body>") == want
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "hidden/", "x=1 hidden", "role=banner", "a='1'class=sidebar", "id = 'menu'"])
+def test_real_attributes_cut(attributes):
+    assert main_text(f"<div><p>{LONG}</p></div><div {attributes}><p>{LONG} two</p></div>") == LONG
+
+
+def test_forms_and_hinted_elements_that_wrap_the_page():
+    bodies = (f"<article><h1>Head</h1><p>{LONG}</p></article>", f"<div><h1>Head</h1><p>{LONG}</p></div>", f"<div><p>{LONG}</p><p>{LONG}</p></div>")
+    for inner in bodies:
+        page = f"<nav><a href=/>Menu</a></nav>{inner}<form>Name <input></form><footer>us</footer>"
+        want = main_text(page)
+        assert LONG in want and "Name" not in want
+        for wrapper in ("form id=aspnetForm", "div role=form", "div class=has-sidebar"):
+            assert main_text(f"<body><{wrapper}>{page.replace('form>', 'fieldset role=form>')}</{wrapper.split()[0]}></body>") == want, wrapper
+    assert main_text(f"<div><p>{LONG}</p><form>Name <input></form></div>") == LONG
+
+
 def test_sections_beside_the_densest_one():
     body = "".join(f"<div><p>{LONG} {i}</p><p>{LONG}</p></div>" for i in range(3))
     links = "<div>" + "".join(f"<a href='{i}'>link {i}</a> " for i in range(40)) + "</div>"
