@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents:
 toxic documents go, one document of each near-duplicate group stays, documents with
 benchmark passages go, secrets are masked; the last stage packs what is left into sequences.
-Null texts are empty, repeated rows of a doc_id become one in the second stage, and an empty
+Null texts are empty, the second stage keeps one row of each group whatever its doc_ids (rows
+with equal texts become one, different texts under one doc_id or none all stay), and an empty
 table gives an empty result.
 """
 

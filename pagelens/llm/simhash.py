@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.words import as_bytes, blank_words, narrow_batches, rows_of, small_batches, written
@@ -64,16 +64,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for every row."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the named bigint columns for every row."""
 
     def scan(batches):
         for batch in batches:
             prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *keys])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes("text"))
-    return small_batches(texts).mapInArrow(scan, "doc_id bigint, fp bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes("text"), *(F.col(f"`{k}`") for k in keys))
+    return small_batches(texts).mapInArrow(scan, ", ".join(["doc_id bigint, fp bigint", *(f"{k} bigint" for k in keys)]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -310,6 +311,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
 
 
+def members(rows: DataFrame, least: Column) -> DataFrame:
+    """fp, least (an aggregate over its rows) and root of every fingerprint; a root is the smallest fp of a component."""
+    prints = written(rows.groupBy("fp").agg(least.alias("least")), "prints")
+    roots = components(links(prints)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id.
 
@@ -319,22 +327,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own with the fingerprint of their text. No rows, no result rows.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "prints")
-    roots = components(links(prints)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    members = prints.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = members.join(smallest, "root").select("fp", "component_id")
+    prints = members(rows, F.min("doc_id"))
+    smallest = prints.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = prints.join(smallest, "root").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, with all columns of docs.
 
-    A doc_id names one document: of rows that repeat it one stays, and so does one of all
-    rows without doc_id if a component has no other.
+    A component keeps one row, whatever its doc_ids: of rows that share the smallest one any,
+    and one without doc_id only if it has no other. So a doc_id that names texts of several
+    components stays in each of them whose smallest one it is.
     """
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    matched = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k.kept_id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     names = docs.columns
-    return matched.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "doc_id", place.alias("place")).filter("place = 1").select("row.*")
+    key = "row_key"
+    while key.lower() in (n.lower() for n in names):
+        key += "_"
+    # Read from the written table only: a key made anew in another scan could name another row.
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    rows = written(fingerprints(keyed, key), "fingerprints")
+    prints = members(rows, F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key)))
+    kept = prints.groupBy("root").agg(F.min("least").alias("least")).select(F.col(f"least.{key}").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*[F.col(f"`{n}`") for n in names])

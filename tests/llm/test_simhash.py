@@ -99,3 +99,19 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 7]
     empty = frame.limit(0)
     assert S.near_duplicates(empty).count() == 0 and S.one_of_each(empty).count() == 0
+
+
+def test_one_document_of_each_component_stays_whatever_its_doc_id(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "der die das und oder aber",
+             "uno dos tres cuatro cinco seis", "red green blue black white grey", "un deux trois quatre cinq"]
+    # Four components without doc_id; id 5 names two texts and is the smallest of the first one's only.
+    docs = [(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[1], "b2"), (None, texts[2], "c"), (None, texts[3], "d"),
+            (5, texts[4], "e"), (5, texts[5], "f"), (3, texts[5], "g"), (5, texts[4], "e2"), (None, texts[4], "e3")]
+    prints = [plain_fingerprint(t) for _, t, _ in docs]
+    assert len(set(plain_components(set(prints)).values())) == len(texts)
+    kept = S.one_of_each(spark.createDataFrame(docs, "doc_id long, text string, row_key string")).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    assert {r.text: r.doc_id for r in kept} == dict(zip(texts, [None, None, None, None, 5, 3], strict=True))
+    # A doc_id that is the smallest of two components stays in both.
+    both = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[0])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in S.one_of_each(both).collect()) == [(1, texts[0]), (1, texts[1])]
