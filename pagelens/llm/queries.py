@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagelens.llm import chat, decontaminate, host_quality, html_text, licenses, packing, secrets, simhash, toxicity, url_filter
+from pagelens.llm import (
+    chat, clusters, decontaminate, host_quality, html_text, licenses, packing, secrets, simhash, toxicity, url_filter, vector_codes,
+)
 from pagelens.llm.words import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +84,19 @@ def op2_url_filter(spark, sf_dir):
 @query
 def op3_license_scan(spark, sf_dir):
     return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+LLM_SQL["op11_vector_codes"] = vector_codes.sql()
+
+
+@query
+def op13_centroid_clusters(spark, sf_dir):
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+LLM_SQL["op13_centroid_clusters"] = clusters.sql()
