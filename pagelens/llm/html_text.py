@@ -2,11 +2,15 @@
 
 A page becomes a tree of its elements. Elements that never are article text (menus, page
 headers, footers, sidebars, forms, scripts, adverts, notices, reader comments; known by tag,
-role or by words of class and id) are cut off, but no form that wraps the page. Every other node gets its characters per tag,
+role or by class and id) are cut off, but no form that wraps the page. Every other node gets its characters per tag,
 adjusted for links: text inside links counts against a node, the more so the fewer links the
 page has on the whole. The node whose children have the largest sum of densities holds the
-main text; the smallest density on the way from the body to it is the threshold for what
-stands beside it. An article (or main) element around it, or the only one in it, is taken whole.
+main text. What stands beside it is main text too, but for blocks that are mostly links and
+less dense than any node on the way from the body to it. An article (or main) element around it, or the only one in it,
+is taken whole.
+
+The time is in proportion to the page's length: the parser knows where the last open element
+of each name is, so it never looks for one that isn't open.
 """
 
 from __future__ import annotations
@@ -42,6 +46,13 @@ CUT_WORDS = frozenset(
     "subscribe subscription comment comments disqus respond replies related recommended share sharing social popup modal "
     "overlay login signup toolbar pagination pager skip".split()
 )
+# Words that name a box, not what is in it: beside them a word above still says what the box holds.
+BOX_WORDS = frozenset(
+    "area bar block bottom box button buttons container content fixed footer form group header inner item items left link links list main "
+    "outer page post posts reader right section site sticky text top unit user widget wrap wrapper".split()
+)
+# Words above that also occur in names of article parts: inside an article they cut what is mostly links.
+WEAK_WORDS = frozenset("pager recommended related replies respond share sharing skip social".split())
 # Start tags that end an open element of the same row.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
@@ -56,22 +67,36 @@ _WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
+def hints(names: str) -> set[str]:
+    """Words of CUT_WORDS that name a box; a name with other words (related-work, has-sidebar) means something else."""
+    found = set()
+    for name in names.split():
+        words = {w for w in _WORD.findall(name) if not w.isdigit()}
+        if words <= CUT_WORDS | BOX_WORDS:
+            found |= words & CUT_WORDS
+    return found
+
+
 class Page:
     """Elements in page order: tag, parent, contents (texts and numbers of child elements), cut, hinted, form or not."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.contents, self.cut, self.hinted, self.form = ["body"], [0], [[]], [False], [False], [False]
+        self.weak, self.within = [False], [False]  # hinted by weak words only; inside an article or main element
         self._open = [0]
+        # Places in _open of each name, and of all blocks; the body's is 0.
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
         self._parse(source)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
             if tag == "body":
-                del self._open[1:]
+                self._close_from(1)
             return
         opened = self._open
         if self.tag[opened[-1]] == "head" and tag not in HEAD:
-            opened.pop()
+            self._close_from(len(opened) - 1)
         if tag in BLOCK:
             self._close_within({"p"}, FENCES)
         if tag in ENDS:
@@ -81,7 +106,7 @@ class Page:
         self.parent.append(opened[-1])
         self.contents.append([])
         self.contents[opened[-1]].append(number)
-        cut, hinted, form = tag in CUT_TAGS, False, tag == "form"
+        cut, hinted, weak, form = tag in CUT_TAGS, False, True, tag == "form"
         if attributes and not cut:
             known = set()
             for name, *values in _ATTRIBUTE.findall(attributes):
@@ -89,43 +114,56 @@ class Page:
                 if name not in ("class", "id", "role", "hidden") or name in known:
                     continue
                 known.add(name)  # of a repeated attribute the first one counts
-                words = _WORD.findall("".join(values).lower())
+                value = "".join(values).lower()
+                words = _WORD.findall(value)
                 if name == "hidden" or (name == "role" and not CUT_ROLES.isdisjoint(words)):
                     cut = True
                 elif name == "role":
                     form = form or "form" in words
-                elif not CUT_WORDS.isdisjoint(words):
-                    hinted = True
-        if tag == "header" and not any(self.tag[o] in ("article", "main") for o in opened):
-            hinted = True
+                else:
+                    found = hints(value)
+                    hinted = hinted or bool(found)
+                    weak = weak and found <= WEAK_WORDS
+        within = bool(self._places.get("article") or self._places.get("main"))
+        if tag == "header" and not within:
+            hinted, weak = True, False
         self.cut.append(cut)
         self.hinted.append(hinted)
+        self.weak.append(weak)
+        self.within.append(within)
         self.form.append(form)
         if tag not in VOID:
+            self._places.setdefault(tag, []).append(len(opened))
+            if tag in BLOCK:
+                self._blocks.append(len(opened))
             opened.append(number)
 
+    def _close_from(self, place: int) -> None:
+        """Close the open elements from this place on."""
+        for number in self._open[place:]:
+            self._places[self.tag[number]].pop()
+        del self._open[place:]
+        while self._blocks and self._blocks[-1] >= place:
+            self._blocks.pop()
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element with one of these names; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self._places.get(t))), default=0)
+
     def _close_within(self, tags: set[str], fences: frozenset[str]) -> None:
-        for place in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[place]]
-            if tag in tags:
-                del self._open[place:]
-                return
-            if tag in fences:
-                return
+        place = self._last(tags)
+        if place and place > self._last(fences):
+            self._close_from(place)
 
     def _end(self, tag: str) -> None:
-        inline = tag not in BLOCK and tag not in CELLS
-        for place in range(len(self._open) - 1, 0, -1):
-            own = self.tag[self._open[place]]
-            if own == tag:
-                del self._open[place:]
-                return
-            if inline and own in BLOCK:
-                return
+        place = self._last((tag,))
+        fenced = tag not in BLOCK and tag not in CELLS and self._blocks and self._blocks[-1] > place
+        if place and not fenced:
+            self._close_from(place)
 
     def _text(self, text: str) -> None:
         if self.tag[self._open[-1]] == "head" and text.strip():
-            self._open.pop()
+            self._close_from(len(self._open) - 1)
         self.contents[self._open[-1]].append(html.unescape(text) if "&" in text else text)
 
     def _parse(self, source: str) -> None:
@@ -151,22 +189,22 @@ class Page:
                 end = _RAW_END[tag].search(source, at)
                 close = source.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else len(source)
-                self._open.pop()
+                self._close_from(len(self._open) - 1)
 
-    def _prose(self, out: list[bool]) -> list[int]:
-        """Characters outside links and cut elements, of every node with all below it."""
+    def sizes(self, out: list[bool]) -> tuple[list[int], list[int]]:
+        """Characters outside and inside links, cut elements left out, of every node with all below it."""
         n = len(self.tag)
-        chars, inside = [0] * n, [False] * n
+        prose, linked, inside = [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             inside[i] = self.tag[i] == "a" or inside[self.parent[i]]
         for i in range(n - 1, -1, -1):
             if out[i]:
                 continue
-            if not inside[i]:
-                chars[i] += sum(len("".join(t.split())) for t in self.contents[i] if isinstance(t, str))
+            (linked if inside[i] else prose)[i] += sum(len("".join(t.split())) for t in self.contents[i] if isinstance(t, str))
             if i:
-                chars[self.parent[i]] += chars[i]
-        return chars
+                prose[self.parent[i]] += prose[i]
+                linked[self.parent[i]] += linked[i]
+        return prose, linked
 
     def _below(self, cut: list[bool]) -> list[bool]:
         out = [False] * len(cut)
@@ -178,7 +216,8 @@ class Page:
         """Elements that are cut, with all below them.
 
         A hint doesn't count for what holds a heading or an article, nor if the hints leave no
-        text at all. A form is cut unless it holds a heading, an article or most of the text.
+        text at all; a weak one inside an article only for what is mostly links. A form is cut
+        unless it holds a heading, an article or most of the text.
         """
         holds = [t in ("h1", "article", "main") for t in self.tag]
         for n in range(len(self.tag) - 1, 0, -1):
@@ -187,12 +226,16 @@ class Page:
         cut = self.cut
         hints = [hint and not h for hint, h in zip(self.hinted, holds, strict=True)]
         if any(hints):
-            left = self._prose(self._below([c or h for c, h in zip(cut, hints, strict=True)]))
+            prose, linked = self.sizes(self._below(cut))
+            for n, hint in enumerate(hints):
+                if hint and self.weak[n] and self.within[n]:
+                    hints[n] = linked[n] > prose[n]
+            left, _ = self.sizes(self._below([c or h for c, h in zip(cut, hints, strict=True)]))
             if not left[0]:
                 hints = [False] * len(hints)
         cut = [c or h for c, h in zip(cut, hints, strict=True)]
         if any(self.form):
-            chars = self._prose(self._below(cut))
+            chars, _ = self.sizes(self._below(cut))
             cut = [c or (f and not h and 2 * k <= chars[0]) for c, f, h, k in zip(cut, self.form, holds, chars, strict=True)]
         return self._below(cut)
 
@@ -255,8 +298,9 @@ def main_nodes(page: Page, cut: list[bool]) -> list[int]:
             return inner
     if best == 0:
         return [0]
+    prose, linked = page.sizes(cut)
     beside = [i for i in page.contents[page.parent[best]] if not isinstance(i, str) and not cut[i]]
-    return [i for i in beside if i == best or density[i] >= threshold or page.tag[i] == "h1"]
+    return [i for i in beside if i == best or density[i] >= threshold or linked[i] <= prose[i]]
 
 
 def main_text(source: str) -> str:

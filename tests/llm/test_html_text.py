@@ -76,6 +76,37 @@ def test_long_and_hostile_pages_take_linear_time():
     assert time.time() - start < 60
 
 
+@pytest.mark.parametrize("source", [
+    "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<h2>" * 100_000, "<header>" * 100_000, "<li><b>" * 100_000, "<td><i>" * 100_000 + "</a>" * 100_000,
+])
+def test_ends_of_what_is_not_open_take_linear_time(source):
+    start = time.time()
+    main_text(source)
+    assert time.time() - start < 5
+
+
+def test_blocks_beside_the_densest_node_stay():
+    dense = f"<div><p>{LONG}</p><p>{LONG} two</p><p>{LONG} three</p></div>"
+    blocks = ["Title", LONG, f"{LONG} two", f"{LONG} three", "Tail of the article.", "End."]
+    page = f"<body><nav><a href=/>Home</a></nav><div><h1>Title</h1></div>{dense}<section>Tail of the article.</section><div><p>End.</p></div><footer>us</footer>"
+    assert main_text(page).split("\n\n") == blocks
+    assert main_text(page.replace("<body>", "<body><div>").replace("<h1>", "<h3>").replace("</h1>", "</h3>")).split("\n\n") == blocks
+
+
+@pytest.mark.parametrize(("attributes", "kept"), [
+    ("id=related-work", True), ("class=skip-lines", True), ("class='share-price chart'", True), ("class=related", True), ("class=has-sidebar", True),
+    ("id=comment-on-method", True), ("class=advert", False), ("class=comments", False), ("id=ad-1", False), ("class=cookie-notice", False),
+    ("class='box newsletter-form'", False), ("class=reader-comments", False), ("id=site-footer", False),
+])
+def test_names_inside_an_article(attributes, kept):
+    part = "Part of the text or not, which its name tells."
+    for tag in ("section", "div", "p"):
+        got = main_text(f"<article><h1>Head</h1><p>{LONG}</p><{tag} {attributes}>{part}</{tag}><p>End.</p></article>")
+        assert got.split("\n\n") == ["Head", LONG, *([part] if kept else []), "End."]
+    links = "<ul class=related>" + "".join(f"<li><a href={i}>Other article {i}</a>" for i in range(5)) + "</ul>"
+    assert "Other" not in main_text(f"<article><p>{LONG}</p>{links}<p>End.</p></article>")
+
+
 def plain_article(source):
     """The test pages hold one article; their blocks begin with a tag."""
     inner = source.split("<article>")[1].split("</article>")[0]
