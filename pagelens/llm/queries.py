@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagelens.llm import (
-    chat, clusters, decontaminate, host_quality, html_text, licenses, packing, secrets, simhash, toxicity, url_filter, vector_codes,
+    chat, clusters, decontaminate, host_quality, html_text, language, licenses, packing, secrets, simhash, toxicity, url_filter, vector_codes,
 )
 from pagelens.llm.words import table
 
@@ -100,3 +100,8 @@ def op13_centroid_clusters(spark, sf_dir):
 
 
 LLM_SQL["op13_centroid_clusters"] = clusters.sql()
+
+
+@query
+def op12_language_id(spark, sf_dir):
+    return language.language_id(table(spark, sf_dir, "documents"))
