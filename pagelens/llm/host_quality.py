@@ -1,10 +1,12 @@
 """Quality rules judged by host: failures counted by domain, shrunken, and joined back.
 
 Every document gets the counts that the rules read. A document that breaks any rule is a
-failure of its host. A host's failure rate is drawn towards the rate of all hosts by a beta
-prior whose two parameters are fitted to the hosts (method of moments, less the spread that
-sampling alone explains). Hosts whose shrunken rate exceeds ``HOST_LIMIT`` are rejected with
-all their documents: a host of a few bad documents is not, a large one of mostly bad ones is.
+failure of its host. A host's failure rate is drawn towards the mean rate of hosts by a beta
+prior that is fitted to the hosts by moments, every host counting once, so one host with very
+many documents moves neither parameter: the mean of rates, and the mean of
+f (f - 1) / (n (n - 1)), which is free of the spread that sampling adds. Hosts whose shrunken
+rate exceeds ``HOST_LIMIT`` are rejected with all their documents. The prior weighs at least as
+much as an even one, so one or two bad documents alone never condemn a host of mostly good company.
 
 The documents' counts are written once, narrow; hosts are summed on the map side, and a row
 for each host is joined back, so a host with a third of all rows is no task of its own.
@@ -22,8 +24,8 @@ from pagelens.llm.words import as_bytes, blank_words, small_batches, written
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 HOST_LIMIT = 0.6
-# Bounds of the prior's weight in documents.
-LEAST_WEIGHT, MOST_WEIGHT = 10.0, 1000.0
+# Bounds of the prior's weight in documents; the least is that of the even prior.
+LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1000.0
 
 _SPACES = bytes((0x20, *range(0x09, 0x0E)))
 _NOT_COUNTED = _SPACES + bytes(range(0x80, 0xC0))  # and the later bytes of a character
@@ -78,8 +80,8 @@ def base_failed() -> Column:
 
 
 def rule_failed() -> Column:
-    """Any rule: the base ones, symbols above a tenth of the words' characters, half the words on repeated lines' account,
-    or words that are too short or too long on average."""
+    """Any rule: the base ones, symbols above a tenth of the words' characters, more repeated lines than a tenth of the
+    words, or words that are too short or too long on average."""
     words = F.col("n_words")
     return (
         base_failed() | (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > words)
@@ -91,14 +93,15 @@ def host_rates(rows: DataFrame) -> DataFrame:
     """host, n, failures, rate (shrunken) of rows with host and failed."""
     hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("bigint")).alias("failures")), "hosts")
     raw = F.col("failures") / F.col("n")
+    pairs = F.when(F.col("n") > 1, F.col("failures") * (F.col("failures") - 1) / (F.col("n") * (F.col("n") - 1)))
     # One row, whatever the number of hosts.
     s = hosts.agg(
-        F.sum("failures").alias("f"), F.sum("n").alias("n"), F.avg(raw).alias("centre"),
-        F.var_pop(raw).alias("spread"), F.avg(1 / F.col("n")).alias("chance"),
+        F.sum(raw).alias("rates"), F.count(F.lit(1)).alias("hosts"),
+        F.avg(F.when(F.col("n") > 1, raw)).alias("centre"), F.avg(pairs).alias("square"),
     ).first()
-    mean = (s.f + 0.5) / (s.n + 1) if s.n else 0.5
-    own = (s.spread or 0.0) - mean * (1 - mean) * (s.chance or 0.0)
-    weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, mean * (1 - mean) / own - 1)) if own > 0 else MOST_WEIGHT
+    mean = ((s.rates or 0.0) + 0.5) / (s.hosts + 1)
+    spread = s.square - s.centre**2 if s.square is not None else 0.0
+    weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, s.centre * (1 - s.centre) / spread - 1)) if spread > 0 else MOST_WEIGHT
     return hosts.withColumn("rate", (F.col("failures") + mean * weight) / (F.col("n") + weight))
 
 
@@ -136,10 +139,11 @@ judged AS (
       OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM counted),
 hosts AS (SELECT source, count(*) AS n, sum(failed::INT) AS failures FROM judged GROUP BY source),
 fitted AS (
-  SELECT (sum(failures) + 0.5) / (sum(n) + 1) AS mean, var_pop(failures / n) AS spread, avg(1 / n) AS chance FROM hosts),
+  SELECT (sum(failures / n) + 0.5) / (count(*) + 1) AS mean, avg(failures / n) FILTER (n > 1) AS centre,
+    avg(failures * (failures - 1) / (n * (n - 1))) FILTER (n > 1) AS square FROM hosts),
 prior AS (
-  SELECT mean, CASE WHEN spread - mean * (1 - mean) * chance > 0
-    THEN least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, mean * (1 - mean) / (spread - mean * (1 - mean) * chance) - 1))
+  SELECT mean, CASE WHEN square - centre * centre > 0
+    THEN least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, centre * (1 - centre) / (square - centre * centre) - 1))
     ELSE {MOST_WEIGHT} END AS weight FROM fitted),
 bad AS (SELECT source, true AS rejected FROM hosts, prior WHERE (failures + mean * weight) / (n + weight) > {HOST_LIMIT})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -44,3 +44,37 @@ def test_hosts_are_judged_together(spark):
     assert by[201].kept and by[600].host_kept and not by[600].kept  # one failure doesn't condemn a host
     assert by[601].kept and by[604].kept and by[603].n_repeat_words == 200_000
     assert H.host_quality(frame.limit(0)).count() == 0
+
+
+def judged(spark, hosts):
+    """rate of each host, from (name, documents, failures), by the operator and by its SQL."""
+    import duckdb
+
+    frame = spark.createDataFrame(hosts, "host string, n long, failures long")
+    rows = frame.selectExpr("host", "explode(sequence(1, n)) AS i", "failures").selectExpr("host", "i <= failures AS failed")
+    rates = {r.host: r.rate for r in H.host_rates(rows).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE hosts (source VARCHAR, n BIGINT, failures BIGINT)")
+    con.executemany("INSERT INTO hosts VALUES (?, ?, ?)", hosts)
+    fit = H.SQL[H.SQL.index("fitted AS (") : H.SQL.index("bad AS (")].strip().rstrip(",")
+    sql = f"WITH {fit} SELECT source, (failures + mean * weight) / (n + weight) FROM hosts, prior"
+    assert {h: round(r, 9) for h, r in con.execute(sql).fetchall()} == {h: round(r, 9) for h, r in rates.items()}
+    return rates
+
+
+def test_a_hot_bad_host_does_not_condemn_clean_ones(spark):
+    hosts = [("hot", 20_000, 18_000)] + [(f"bad{i}", 100, 100) for i in range(20)] + [(f"clean{i}", 5, 0) for i in range(2_000)]
+    rates = judged(spark, hosts)
+    assert all((rate > H.HOST_LIMIT) == (not host.startswith("clean")) for host, rate in rates.items())
+
+
+def test_a_hot_bad_host_does_not_hide_bad_ones(spark):
+    hosts = [("hot", 100_000, 90_000)] + [(f"bad{i}", n, n) for i, n in enumerate([20, 50, 300] * 33)]
+    hosts += [(f"good{i}", 10, int(i % 2 == 0)) for i in range(9_900)]
+    rates = judged(spark, hosts)
+    assert all((rate > H.HOST_LIMIT) == (not host.startswith("good")) for host, rate in rates.items())
+
+
+def test_few_or_single_documents_condemn_no_host(spark):
+    assert max(judged(spark, [(f"h{i}", 1, int(i == 0)) for i in range(50)]).values()) < H.HOST_LIMIT
+    assert judged(spark, [("a", 2, 2)] + [(f"h{i}", 9, 0) for i in range(50)])["a"] < H.HOST_LIMIT
