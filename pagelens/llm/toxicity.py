@@ -1,10 +1,10 @@
 """Toxic passages by maximum-scoring segment search.
 
 * Every word has features: itself, and its first and last four to six bytes, each hashed to
-  one of ``BUCKETS`` buckets, so the model has the same size for any corpus. The training
-  documents' buckets are counted by label in Spark.
+  one of ``BUCKETS`` buckets, so the model has the same size for any corpus. Spark counts
+  the buckets of the training documents by label, and those of all documents.
 * A feature's score is its log-odds between toxic and clean documents under an informative
-  Dirichlet prior (the prior's weights follow the whole corpus), drawn towards zero by its
+  Dirichlet prior (its weights follow the counts of all documents), drawn towards zero by its
   standard error. A word takes its strongest feature, less a drift that makes the expected
   score of a clean word negative.
 * One linear pass over the words finds all maximal-scoring segments. A segment's score is
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +67,9 @@ class Features:
         return found
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Log-odds of each bucket, drawn towards zero by two standard errors."""
-    prior = PRIOR_MASS * (toxic + clean + 0.01) / (toxic + clean + 0.01).sum()
+def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Log-odds of each bucket, drawn towards zero by two standard errors; corpus: counts of all documents."""
+    prior = PRIOR_MASS * (corpus + 0.01) / (corpus + 0.01).sum()
     a, b = toxic + prior, clean + prior
     odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
     error = np.sqrt(1 / a + 1 / b)
@@ -177,28 +178,54 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(weights[0], 0.0)), float(weights[1])
 
 
-def _fitted(counts: np.ndarray, score) -> Model:
-    """counts: fold, label, bucket. score: rows (fold, label, n, segment scores) under the models of the other folds."""
-    total = counts.sum(axis=0)
+def word_model(clean: np.ndarray, toxic: np.ndarray, corpus: np.ndarray) -> Model:
+    """Bucket scores and drift from the counts of each label and of all documents."""
+    odds = log_odds(toxic, clean, corpus)
+    share = clean / max(clean.sum(), 1.0)
+    # Clean words lose at least half a unit each.
+    return Model(odds, drift=0.5 + max(0.0, float((share * odds).sum())))
 
-    def model(counted) -> Model:
-        odds = log_odds(counted[1], counted[0])
-        share = counted[0] / max(counted[0].sum(), 1.0)
-        # Clean words lose at least half a unit each.
-        return Model(odds, drift=0.5 + max(0.0, float((share * odds).sum())))
 
-    rows = score([model(total - counts[fold]) for fold in range(FOLDS)])
-    clean = [(max(s, default=0.0), n) for _, label, n, s in rows if not label]
-    decay, scale = extreme_value_law(np.array([b for b, _ in clean]), np.array([n for _, n in clean]))
-    final = model(total)
-    law = Model(final.odds, final.drift, decay, scale)
-    x = np.array([law.evidence([(0, 0, s) for s in scores], n) for _, _, n, scores in rows])
-    y = np.array([label for _, label, _, _ in rows], dtype=float)
-    if len(x) and 0 < y.sum() < len(y):
-        slope, shift = logistic(x, y)
-    else:  # one label only: its share, whatever the text
-        slope, shift = 0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
-    return Model(final.odds, final.drift, decay, scale, slope, shift)
+def _curve(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    if len(evidence) and 0 < label.sum() < len(label):
+        return logistic(evidence, label)
+    # One label only: its share, whatever the text.
+    return 0.0, math.log((label.sum() + 0.5) / (len(label) - label.sum() + 1.5))
+
+
+def _bucket_rows(counts: np.ndarray) -> pa.RecordBatch:
+    """Counts other than zero as place, bucket, n."""
+    place, bucket = np.nonzero(counts)
+    columns = [pa.array(c) for c in (place.astype(np.int32), bucket.astype(np.int32), counts[place, bucket])]
+    return pa.RecordBatch.from_arrays(columns, names=["place", "bucket", "n"])
+
+
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """In how many documents a word of each bucket occurs, words counted one by one; whole table, no labels."""
+
+    def count(batches):
+        counts, words, find = np.zeros((1, BUCKETS), dtype=np.int64), Counter(), Features()
+
+        def enter():
+            found = [find.of(w) for w in words]
+            times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(f) for f in found])
+            np.add.at(counts[0], np.fromiter(chain.from_iterable(found), dtype=np.int64, count=len(times)), times)
+            words.clear()
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words.update(set(plain_words(text)))
+            if len(words) > CACHE_WORDS:
+                enter()
+        enter()
+        yield _bucket_rows(counts)
+
+    found = small_batches(docs.select(as_bytes("text"))).mapInArrow(count, "place int, bucket int, n bigint")
+    # At most BUCKETS rows, whatever the corpus.
+    sums = found.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    corpus = np.zeros(BUCKETS)
+    corpus[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return corpus
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -225,7 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     chosen = training_rows(docs, labels, rows).groupBy(F.xxhash64("text").alias("h")).agg(
         F.min("fold").alias("fold"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), F.first("text").alias("text")
     )
-    texts = written(chosen.filter("toxic = most").select("fold", "toxic", "text"), "training-texts")
+    texts = written(chosen.filter("toxic = most").select("h", "fold", "toxic", "text"), "training-texts")
+    # Many texts may share a doc_id; as many as were asked for, about, are used.
+    share = min(1.0, 2 * rows / max(1, texts.count()))
+    texts = texts.filter(F.pmod(F.shiftright("h", 24), F.lit(1_000_003)) < math.ceil(share * 1_000_003)).drop("h")
 
     def count(batches):
         counts = np.zeros((FOLDS * 2, BUCKETS), dtype=np.int64)
@@ -234,9 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
             for fold, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for word in set(plain_words(text)):
                     counts[2 * fold + label][find.of(word)] += 1
-        place, bucket = np.nonzero(counts)
-        columns = [pa.array(c) for c in (place.astype(np.int32), bucket.astype(np.int32), counts[place, bucket])]
-        yield pa.RecordBatch.from_arrays(columns, names=["place", "bucket", "n"])
+        yield _bucket_rows(counts)
 
     counted = small_batches(texts).mapInArrow(count, "place int, bucket int, n bigint")
     # At most 2 FOLDS BUCKETS rows, whatever the corpus.
@@ -244,27 +272,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     counts = np.zeros((FOLDS * 2, BUCKETS))
     counts[sums.column("place").to_numpy(), sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
 
-    def score(models: list[Model]) -> Iterator[tuple]:
-        sent = spark.sparkContext.broadcast(models)
-
-        def rate(batches):
-            known: list[dict] = [{} for _ in range(FOLDS)]
-            for batch in batches:
-                rows = []
-                for fold, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    words = plain_words(text)
-                    best = sorted((s[2] for s in sent.value[fold].segments(words, known[fold])), reverse=True)
-                    rows.append((fold, label, len(words), best[:64]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)]
-                    if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))],
-                    names=["fold", "label", "n", "scores"],
-                )
-
-        found = small_batches(texts).mapInArrow(rate, "fold int, label int, n bigint, scores array<double>").toArrow()
-        return list(zip(*(c.to_pylist() for c in found.columns), strict=True))
-
-    return _fitted(counts.reshape(FOLDS, 2, BUCKETS), score)
+    counts = counts.reshape(FOLDS, 2, BUCKETS)
+    total, corpus = counts.sum(axis=0), corpus_counts(docs)
+    # Texts are scored by models that did not count them.
+    others = spark.sparkContext.broadcast([word_model(*(total - counts[fold]), corpus) for fold in range(FOLDS)])
+
+    def rate(batches):
+        known: list[dict] = [{} for _ in range(FOLDS)]
+        for batch in batches:
+            n, scores = [], []
+            for fold, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = plain_words(text)
+                n.append(len(words))
+                scores.append([s[2] for s in others.value[fold].segments(words, known[fold])])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic"), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["toxic", "n", "scores"]
+            )
+
+    # All segments of the training texts, of which there are about ``rows``, stay in Spark; a few numbers of each text leave it.
+    segments = written(small_batches(texts).mapInArrow(rate, "toxic int, n bigint, scores array<double>"), "segments")
+    clean = segments.filter("toxic = 0").select("n", F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best")).toArrow()
+    decay, scale = extreme_value_law(clean.column("best").to_numpy(), clean.column("n").to_numpy())
+    model = word_model(*total, corpus)
+    law = Model(np.zeros(0), model.drift, decay, scale)
+
+    def weigh(batches):
+        for batch in batches:
+            columns = batch.column("scores").to_pylist(), batch.column("n").to_pylist()
+            found = [law.evidence([(0, 0, s) for s in scores], n) for scores, n in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "evidence"])
+
+    weighed = small_batches(segments).mapInArrow(weigh, "toxic int, evidence double").toArrow()
+    slope, shift = _curve(weighed.column("evidence").to_numpy(), weighed.column("toxic").to_numpy().astype(float))
+    return Model(model.odds, model.drift, decay, scale, slope, shift)
 
 
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
