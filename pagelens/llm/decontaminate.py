@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.words import as_bytes, plain_words, rows_of, small_batches
+from pagelens.llm.words import as_bytes, place_of, plain_words, rows_of, small_batches
 
 WINDOW = 10
 PART = 100_000
@@ -167,8 +167,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> DataFrame:
     """docs, all columns, without the rows in which a window occurs."""
-    names = docs.columns
-    text = names.index("text")
+    text = place_of(docs, "text")
     for sent in pattern_parts(benchmark, part):
 
         def keep(batches, sent=sent):

@@ -1,15 +1,19 @@
 """Secrets in text: fixed rules, and a character convolutional network over every candidate.
 
-A candidate is a run of 16 or more characters of keys and tokens that holds a letter and a
-digit. The network reads it with 24 characters before and 8 after; longer candidates are
+A candidate is nominated by its look or by its context: a run of 16 or more characters of keys
+and tokens that holds a letter and a digit, or any run of 8 or more characters other than blanks
+behind a colon, an equals sign or a word for credentials. What the base rules leave over of a
+candidate is one too, if 8 or more characters remain.
+The network reads a candidate with 24 characters before and 8 after; longer candidates are
 read in pieces of 64 characters, each with its surroundings, and the highest score counts.
 It is a small network in numpy (character vectors, one convolution, pooling over the
 candidate and over what stands before it, one hidden layer), so a task scores a batch of
 candidates with a few matrix products.
 
 It is trained on labelled findings: candidates of a sample of about ``TRAINING_DOCS``
-documents, labelled by the fixed rules (at most ``FINDINGS`` of either label), and generated
-findings of other kinds of credentials and of harmless look-alikes. Scores are calibrated on
+documents, labelled by the fixed rules (at most ``FINDINGS`` of either label), and
+``GENERATED`` findings each of other kinds of credentials and of harmless look-alikes, told by
+their look or by what stands before them. Scores are calibrated on
 findings that were set aside; the threshold is a probability of one half, or the highest one
 below it that keeps ``RECALL`` of the secrets among them.
 """
@@ -25,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.toxicity import logistic
-from pagelens.llm.words import small_batches, written
+from pagelens.llm.words import place_of, small_batches, written
 
 TRAINING_DOCS = 20_000
 FINDINGS = 2_000
+GENERATED = 4_000
 RECALL = 0.98
 BEFORE, PIECE, AFTER = 24, 64, 8
 VECTOR, WIDTH, FILTERS, HIDDEN = 8, 5, 24, 16
@@ -46,10 +51,48 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 # Matches of the access and hex rules lie inside such runs.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+# What stands behind such marks and words is a candidate whatever it is made of.
+CREDENTIAL_WORDS = "bearer|basic|pass(?:word|wd|phrase)?|pwd|secret|token|auth|authorization|credentials?|key"
+CONTEXT = re.compile(rf"""(?:[:=]|\b(?:{CREDENTIAL_WORDS})\b)["']?\x20*[:=]?\x20*["']?([^\s"']\S{{7,}})""", re.IGNORECASE | re.ASCII)
+LEAST = 8
+_CLOSING = "\"'.,;:)]}>"
+# Pieces scored together.
+SCORED_PIECES = 4096
+
+
+def nominated(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Candidates by context that overlap none of the runs; runs in order."""
+    found, k = [], 0
+    for m in CONTEXT.finditer(text):
+        start, end = m.span(1)
+        end = start + len(m[1].rstrip(_CLOSING))
+        while k < len(runs) and runs[k][1] <= start:
+            k += 1
+        if end - start >= LEAST and (k == len(runs) or end <= runs[k][0]):
+            found.append((start, end))
+    return found
+
+
+def left_over(candidates: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans leave of the candidates; both in order."""
+    out, first = [], 0
+    for start, end in candidates:
+        # Spans of several kinds may overlap, so an earlier one can reach further than a later one.
+        while first < len(base) and base[first][2] <= start:
+            first += 1
+        at, k = start, first
+        while k < len(base) and base[k][1] < end:
+            if base[k][1] - at >= LEAST:
+                out.append((at, base[k][1]))
+            at = max(at, base[k][2])
+            k += 1
+        if at == start or end - at >= LEAST:
+            out.append((at, end))
+    return out
 
 
 def findings(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
-    """Spans of the base rules by start and kind, and the candidates."""
+    """Spans of the base rules by start and kind, and the candidates in order."""
     base, candidates = [], []
     if ":" in text or "=" in text:
         for m in ASSIGN.finditer(text):
@@ -64,7 +107,7 @@ def findings(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int
         if len(word) >= 16 and _LETTER.search(word) and _DIGIT.search(word):
             candidates.append((at, at + len(word)))
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return base, candidates
+    return base, sorted(candidates + nominated(text, candidates))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -145,7 +188,7 @@ class Network:
         g["vectors"][0] = 0
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, seed: int = 11) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 11) -> None:
         """Adam on the logistic loss."""
         rng, step = np.random.default_rng(seed), 0
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -198,6 +241,17 @@ PREFIXES = (("ghp_", 36), ("gho_", 36), ("github_pat_", 40), ("glpat-", 20), ("x
 BEFORE_SECRET = ("client_secret: ", "Authorization: Bearer ", "bearer ", "access_key=", "private key ", "credential: ",
                  "auth=", "pwd=", "passphrase: ", "export KEY=", "signing key: ", "")
 BEFORE_OTHER = ("see ", "file ", "host ", "mail ", "call ", "order no. ", "at ", "version ", "image ", "doi:", "id ", "ref. ", "")
+# Words in front of passwords that a person chose, and of other text behind the same marks.
+BEFORE_PASSWORD = ("pwd=", "pwd: ", "pass: ", "pass=", "db_pass: ", "db_pwd=", "passphrase: ", "passphrase=", "Authorization: Bearer ", "Authorization: Basic ",
+                   "bearer ", "auth=", "auth: ", "credential: ", "credentials=", "login key: ", "user_pass=", "my pwd is: ", "key: ", "key=")
+BEFORE_TEXT = ("note: ", "name=", "title: ", "see: ", "http:", "https:", "date: ", "example: ", "author=", "subject: ", "city: ", "the following: ", "from: ",
+               "id=", "page=", "lang: ", "re: ", "time: ", "color=", "style=", "class=", "ref=", "width: ", "e.g.: ", "as follows: ")
+
+
+# Frequent syllables and letter groups of several languages.
+SYLLABLES = ("the an in er on re he at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+             "au ber ble blea cion che con des die ein est eur gen haus ich ier ion ja keit kon la lich lo mai man mento mit nde nou ntth per pro que rro schen ser sie "
+             "son sta ten tion tra tth tre tro un ung ver vie von wh win zu zo").split()
 
 
 def generated(n: int, words: list[str], seed: int = 5) -> tuple[list[tuple[str, int, int]], list[int]]:
@@ -211,7 +265,9 @@ def generated(n: int, words: list[str], seed: int = 5) -> tuple[list[tuple[str,
         return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), low if high is None else int(rng.integers(low, high))))
 
     def word():
-        return re.sub(r"[^A-Za-z]", "", pick(words)).lower() or "word"
+        # Half of the words are put together from syllables, so that no word is learned by heart.
+        made = "".join(pick(SYLLABLES) for _ in range(int(rng.integers(1, 4)))) if rng.random() < 0.5 else pick(words)
+        return re.sub(r"[^A-Za-z]", "", made).lower() or "word"
 
     def secret():
         prefix, length = pick(PREFIXES)
@@ -234,14 +290,34 @@ def generated(n: int, words: list[str], seed: int = 5) -> tuple[list[tuple[str,
             lambda: f"10.{drawn(DIGITS, 4)}/{word()}.{drawn(DIGITS, 4)}.{drawn(DIGITS, 3)}", lambda: f"{word()}={word()}{pick(DIGITS)}={word()}",
         ))()
 
+    def password():
+        return pick((
+            lambda: drawn(LETTERS + DIGITS, 8, 16), lambda: word() + drawn(DIGITS, 2, 6) + word(), lambda: word() + word() + word() + word(),
+            lambda: drawn(LETTERS + DIGITS + "@!#$%&*?-_", 8, 20), lambda: word().title() + pick("@!#$%&*?") + word() + drawn(DIGITS, 1, 4),
+            lambda: drawn(LOWER, 8, 24), lambda: drawn(DIGITS, 8, 20), lambda: word() + pick("-_.@") + word() + pick("!?#") + drawn(DIGITS, 2, 4),
+        ))()
+
+    def text():
+        return pick((
+            lambda: word() + word(), lambda: word().title() + word() + word(), lambda: f"//www.{word()}.com/{word()}", lambda: f"//{word()}.example.org/{drawn(DIGITS, 1, 5)}",
+            lambda: f"2024-0{pick('123456789')}-1{pick(DIGITS)}", lambda: f"{drawn(DIGITS, 2)}:{drawn(DIGITS, 2)}:{drawn(DIGITS, 2)}", lambda: f"{word()}-{word()}-{word()}",
+            lambda: f"{word()}@{word()}.com", lambda: f"{word()},{word()},{word()}", lambda: f"{word()}_{word()}", lambda: f"({word()}{word()})", lambda: drawn(DIGITS, 8, 12),
+            lambda: f"{word()}/{word()}/{word()}",
+        ))()
+
     rows, labels = [], []
     while len(labels) < 2 * n:
-        label = len(labels) % 2
-        string = secret() if label else other()
-        if RUN.fullmatch(string) and _LETTER.search(string) and _DIGIT.search(string):
-            front = f"{pick(words)} {pick(words)} {pick(BEFORE_SECRET if label else BEFORE_OTHER)}{pick(('', '', chr(34)))}"
-            rows.append((f"{front}{string}{pick((' ', '. ', ', ', chr(34)))}{pick(words)}", len(front), len(front) + len(string)))
-            labels.append(label)
+        label, chosen = len(labels) % 2, rng.random() < 0.5
+        # Half of them are told by their context rather than by their look.
+        string = (password() if label else text()) if chosen else (secret() if label else other())
+        before = (BEFORE_PASSWORD if label else BEFORE_TEXT) if chosen else (BEFORE_SECRET if label else BEFORE_OTHER)
+        front = f"{pick(words)} {pick(words)} {pick(before)}{pick(('', '', chr(34)))}"
+        whole = f"{front}{string}{pick((' ', '. ', ', ', chr(34)))}{pick(words)}"
+        for start, end in findings(whole)[1]:
+            if start <= len(front) < end:
+                rows.append((whole, start, end))
+                labels.append(label)
+                break
     return rows, labels
 
 
@@ -278,7 +354,7 @@ FILLER = ("the", "of", "and", "is", "value", "for", "sind", "der", "wurde", "pou
 def train(docs: DataFrame, training_docs: int = TRAINING_DOCS, findings_kept: int = FINDINGS) -> Model:
     """The network of the docs' own findings and of the generated ones; four fifths train, the rest calibrates."""
     own = sorted(labelled_findings(docs, training_docs, findings_kept))
-    made, labels = generated(findings_kept, list(FILLER))
+    made, labels = generated(GENERATED, list(FILLER))
     rows = [*own, *((*r, v) for r, v in zip(made, labels, strict=True))]
     x = np.stack([windows(t, a, min(b, a + PIECE))[0] for t, a, b, _ in rows])
     y = np.array([v for *_, v in rows], dtype=np.float32)
@@ -292,21 +368,31 @@ def train(docs: DataFrame, training_docs: int = TRAINING_DOCS, findings_kept: in
 
 def scan_texts(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]:
     """All spans of each text: the base rules' and the network's beside them, by start and kind."""
-    out, rows, owner = [], [], []
+    out, rows, owner, secret = [], [], [], set()
+
+    def score():
+        if rows:
+            p = model.probability(model.network.score(np.stack(rows)))
+            secret.update(owner[k] for k in np.flatnonzero(p >= model.threshold))
+            rows.clear()
+            owner.clear()
+
     for i, text in enumerate(texts):
         base, candidates = findings(text)
         out.append(base)
-        for start, end in candidates:
-            if not any(a < end and start < b for _, a, b in base):
-                pieces = windows(text, start, end)
+        for start, end in left_over(candidates, base):
+            # A long candidate is cut in parts, so that few pieces are held at a time.
+            for at in range(start, end, PIECE * SCORED_PIECES):
+                pieces = windows(text, at, min(end, at + PIECE * SCORED_PIECES))
                 rows += pieces
                 owner += [(i, start, end)] * len(pieces)
-    if rows:
-        secret = model.probability(model.network.score(np.stack(rows))) >= model.threshold
-        for i, start, end in sorted({owner[k] for k in np.flatnonzero(secret)}):
-            out[i].append(("network", start, end))
-        for spans in out:
-            spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+                if len(rows) >= SCORED_PIECES:
+                    score()
+    score()
+    for i, start, end in sorted(secret):
+        out[i].append(("network", start, end))
+    for spans in out:
+        spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return out
 
 
@@ -365,7 +451,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with secrets masked in text and n_chars (if there) counted anew in texts that changed."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
     names = docs.columns
-    at = names.index("text")
+    at = place_of(docs, "text")
 
     def mask(batches):
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.words import as_bytes, plain_words, small_batches, written
+from pagelens.llm.words import as_bytes, place_of, plain_words, small_batches, written
 
 BUCKETS = 1 << 18
 EDGES = (4, 5, 6)
@@ -346,7 +346,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the rows whose score is 0.5 or more."""
-    text = docs.columns.index("text")
+    text = place_of(docs, "text")
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def keep(batches):

@@ -44,6 +44,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place_of(df: DataFrame, column: str) -> int:
+    """Place of a column, found as Spark finds it: whatever the case of its name, but an equal name first."""
+    names = df.columns
+    return names.index(column) if column in names else [n.lower() for n in names].index(column.lower())
+
+
 def as_bytes(column: str, alias: str | None = None):
     """A text column as UTF-8 bytes; null is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary").alias(alias or column)
