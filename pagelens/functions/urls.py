@@ -1,13 +1,15 @@
 """URL checks, printing and resolution with built-in functions.
 
 A URL is taken apart by one regular expression and printed again the way a
-browser prints it: lower-case scheme and host, percent-decoded host, numeric
-hosts as four numbers, no default port, resolved dot segments, percent-encoded
-path and query, no fragment. No pattern repeats a group, so a URL of any length
-takes constant stack and time in proportion to its length.
-
-Not covered: punycode. A host beyond ASCII is kept as it is; ``is_ascii_host``
-tells such hosts apart.
+browser prints it: lower-case scheme, host as in ``hosts``, no default port,
+resolved dot segments, percent-encoded path and query, no fragment. No pattern
+repeats a group, so a URL of any length takes constant stack and time in
+proportion to its length.
+
+Hosts beyond ASCII, encoded ones and IPv6 addresses are rewritten by
+``with_plain_host``, a step of its own: the others take hosts as they are but for
+case and numbers. Jobs run it as a column of its own, so its expression is built
+and analysed once.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelens.functions import hosts
 from pagelens.functions.text import as_column, let, strip_ws
 
 _HOST = r"[^\x00-\x20#/:<>?@\[\\\]^|\x7f]+|\[[0-9a-fA-F:.]+\]"
@@ -49,38 +52,12 @@ def _is_plain(url: Column, pattern: str) -> Column:
     return url.rlike(pattern) & ~F.contains(url, F.lit("/."))
 
 
-def _number(label: Column) -> Column:
-    """A label of a numeric host: decimal, octal (0...) or hexadecimal (0x...); NULL if it is none."""
-    return (
-        F.when(label.rlike("^0[xX][0-9a-fA-F]{0,8}\\z"), F.conv(F.concat(F.lit("0"), F.substring(label, 3, 8)), 16, 10))
-        .when(label.rlike("^0[0-7]{1,14}\\z"), F.conv(label, 8, 10))
-        .when(label.rlike("^(?:0|[1-9][0-9]{0,14})\\z"), label)
-        .cast("bigint")
-    )
-
-
-def _dotted(host: Column) -> Column:
-    """A host whose last label is a number as four numbers; NULL if it isn't an address."""
-
-    def printed(n: Column) -> Column:
-        # The last of up to four numbers fills the bytes that the others leave.
-        size = F.size(n)
-        first, last, room = F.slice(n, 1, size - 1), F.element_at(n, -1), F.pow(F.lit(256), 5 - size).cast("bigint")
-        whole = F.aggregate(first, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x) * room + last
-        # A label that is no number is NULL, and so is every comparison with it.
-        fits = (size <= 4) & (last < room) & F.forall(first, lambda x: x < 256)
-        steps = F.array(*[F.lit(256**k) for k in (3, 2, 1, 0)])
-        return F.when(fits, F.array_join(F.transform(steps, lambda s: F.floor(whole / s) % 256), "."))
-
-    return let(F.transform(F.split(F.regexp_replace(host, r"\.\z", ""), r"\."), _number), printed)
-
-
 def _host(raw: Column) -> Column:
-    """The host in printed form; NULL if it isn't a valid one."""
+    """The host in printed form, but for what ``with_plain_host`` does; NULL if it isn't a valid one."""
 
     def printed(host: Column) -> Column:
         numeric = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z")
-        return F.when(host.rlike(_HOST_UNSAFE) & ~host.startswith("["), None).when(numeric, _dotted(host)).otherwise(host)
+        return F.when(host.rlike(_HOST_UNSAFE) & ~host.startswith("["), None).when(numeric, hosts.dotted(host)).otherwise(host)
 
     decoded = F.when(F.contains(raw, F.lit("%")), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
     # Most hosts are names that end with a letter.
@@ -88,9 +65,22 @@ def _host(raw: Column) -> Column:
     return F.when(name, F.lower(raw)).otherwise(let(F.lower(decoded), printed))
 
 
-def is_ascii_host(c: str | Column) -> Column:
-    """False for a URL whose printed host would need punycode to be compared with others."""
-    return ~printed_host(c).rlike(r"[^\x00-\x7f]")
+# Scheme, slashes and user, in front of a host that has another printed form than its lower case.
+_BEFORE_HOST = r"^[\x00-\x20]*[hH][tT][tT][pP][sS]?:[/\\]*(?:[^/\\?#]*@)?"
+_SPECIAL_HOST = rf"{_BEFORE_HOST}(?:\[|[^/\\?#:\[]*[^\x00-\x24\x26-\x7f])"
+
+
+def with_plain_host(c: str | Column) -> Column:
+    """The URL with its host in ASCII, or as a compressed IPv6 address; not valid if that can't be."""
+
+    def rewritten(url: Column) -> Column:
+        # Line ends and tabs count for nothing anywhere in a URL.
+        clean = F.regexp_replace(url, r"[\t\n\r]", "")
+        before, host = F.regexp_extract(clean, f"({_BEFORE_HOST})", 1), F.regexp_extract(clean, f"{_BEFORE_HOST}({_HOST})", 1)
+        rest = F.substring(clean, F.length(before) + F.length(host) + 1, F.length(clean))
+        return F.when(host == "", url).otherwise(F.concat(before, F.coalesce(hosts.printed(host), F.lit(" ")), rest))
+
+    return let(as_column(c), lambda url: F.when(url.rlike(_SPECIAL_HOST), rewritten(url)).otherwise(url))
 
 
 def is_http_url(c: str | Column) -> Column:
@@ -102,7 +92,7 @@ def is_http_url(c: str | Column) -> Column:
         fits = F.when(special, _host(host).isNotNull()).otherwise(F.lit(True))
         return _is_plain(url, _PLAIN_URL) | (url.rlike(_HTTP_URL) & fits)
 
-    return F.coalesce(let(_clean(as_column(c)), valid), F.lit(False))
+    return F.coalesce(let(_clean(with_plain_host(c)), valid), F.lit(False))
 
 
 def url_parts(c: str | Column) -> Column:
@@ -209,6 +199,11 @@ def _print(p: Column, drop_trailing_slash: bool) -> Column:
 def normalize_url(c: str | Column) -> Column:
     """The form URLs are compared in: printed, without fragment and without one
     trailing slash. NULL where the URL is not a valid http(s) URL."""
+    return normalize_plain(with_plain_host(c))
+
+
+def normalize_plain(c: str | Column) -> Column:
+    """``normalize_url`` of what ``with_plain_host`` gave."""
 
     def normalize(url: Column) -> Column:
         parsed = let(url_parts(url), lambda p: _print(p, drop_trailing_slash=True))
@@ -256,6 +251,20 @@ def _absolute(src: Column, base: Column) -> Column:
     return F.when(has_scheme & ~(base_ok & repeated), src).when(base_ok, relative)
 
 
+def written_out(src: Column, base_parts: Column) -> Column:
+    """``src`` as an absolute URL, not printed; as it is if that can't be."""
+    return F.coalesce(_absolute(_clean(strip_ws(src)), base_parts), src)
+
+
+def base_parts(named: Column, own: Column) -> Column:
+    """Parts of the address that a page with the parts ``own`` names as its base; ``own`` if that is none.
+
+    Its dot segments stay, as those of what is resolved against it are resolved anyway.
+    """
+    parts = url_parts(_absolute(_clean(named), own))
+    return let(parts, lambda p: F.when(F.size(p) == _GROUPS, p).otherwise(own))
+
+
 def _print_other(url: Column) -> Column:
     """A URL of another scheme: scheme in lower case, fragment dropped."""
     scheme = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
@@ -264,7 +273,7 @@ def _print_other(url: Column) -> Column:
 
 
 def resolve_against(src: str | Column, base_parts: Column) -> Column:
-    """``resolve_url`` for a base taken apart before, once for all its sources."""
+    """``resolve_url`` for a base taken apart before, once for all its sources, and without ``with_plain_host``."""
 
     def resolve(raw: Column) -> Column:
         printed = let(
@@ -286,6 +295,7 @@ def resolve_url(src: str | Column, base: str | Column) -> Column:
     """``src`` as an absolute URL without fragment, seen from the page ``base``.
 
     ``data:`` sources and those that cannot be resolved stay as they are; blank
-    ones are NULL.
+    ones are NULL. Jobs take ``with_plain_host`` of the base before and of the result behind it,
+    as columns of their own: all in one expression would be nested too deeply for the analyzer.
     """
     return let(url_parts(as_column(base)), lambda parts: resolve_against(src, parts))

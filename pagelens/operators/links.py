@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.urls import normalize_url
+from pagelens.functions.urls import normalize_plain, with_plain_host
 from pagelens.sources import records as R
 from pagelens.sources.records import LINK_TYPE
 
@@ -26,12 +26,11 @@ def link_rows(records: DataFrame) -> DataFrame:
     http(s) URLs are left out while still in their array: a filter behind the
     projection would be moved below it and normalise every URL twice.
     """
-    printed = F.transform(
-        F.concat(_tagged("internal"), _tagged("external")),
-        lambda x: F.struct(x["bucket"].alias("bucket"), normalize_url(x["href"]).alias("url")),
-    )
+    tagged = records.select(*KEYS, F.concat(_tagged("internal"), _tagged("external")).alias("links"))
+    plain = tagged.withColumn("links", F.transform("links", lambda x: x.withField("href", with_plain_host(x["href"]))))
+    printed = F.transform("links", lambda x: F.struct(x["bucket"].alias("bucket"), normalize_plain(x["href"]).alias("url")))
     found = F.filter(printed, lambda x: x["url"].isNotNull())
-    return records.select(*KEYS, F.explode(found).alias("link")).select(*KEYS, "link.*")
+    return plain.select(*KEYS, F.explode(found).alias("link")).select(*KEYS, "link.*")
 
 
 def link_map(records: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import if_non_blank, non_empty
-from pagelens.functions.urls import resolve_against, url_parts
+from pagelens.functions.urls import resolve_against, url_parts, with_plain_host
 from pagelens.operators.ranking import spread_rank
 from pagelens.sources import records as R
 
@@ -44,9 +44,10 @@ def media_rows(records: DataFrame) -> DataFrame:
     are left out while still in their array.
     """
     page = F.coalesce(non_empty("url"), non_empty("redirected_url"), F.col("target"))
-    located = R.usable(records, R.has_media).withColumn("page", url_parts(page))
+    located = R.usable(records, R.has_media).withColumn("page", url_parts(with_plain_host(page)))
     items = F.transform(F.concat(*[_tagged(n, b, k) for n, (b, k) in enumerate(BUCKETS)]), _item)
-    found = F.filter(items, lambda m: m["src"].isNotNull())
+    located = located.select(*KEYS, "record_pos", F.filter(items, lambda m: m["src"].isNotNull()).alias("items"))
+    found = F.transform("items", lambda m: m.withField("src", with_plain_host(m["src"])))
     return located.select(*KEYS, "record_pos", F.explode(found).alias("m")).select(*KEYS, "record_pos", "m.*")
 
 

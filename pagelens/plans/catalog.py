@@ -389,6 +389,10 @@ def url_forms(spark, sf_dir):
         F.concat(F.lit("http://h.test:80/"), p.cast("string"), F.lit("//")),
         F.concat(F.lit("https://h.test:8443?"), p.cast("string")),
         F.concat(F.lit("ftp://h.test/"), p.cast("string")),
+        F.concat(F.lit("http://www.B\u00dcCHER\u3002test/"), p.cast("string")),
+        F.concat(F.lit("http://[0:0:0:2::FFFF:1.2.3.4]:80/"), p.cast("string"), F.lit("/")),
+        F.concat(F.lit("http://[1::2::3]/"), p.cast("string")),
+        F.concat(F.lit("http://"), F.repeat(F.lit("\u00e9"), F.lit(64)), F.lit(".test/"), p.cast("string")),
     )
     sources = F.array(
         F.lit("/img/a.jpg#hero"), F.lit("b.png?x=1"), F.lit("../c.gif"), F.lit("//cdn.test/d"), F.lit("?only=query"),
@@ -397,9 +401,10 @@ def url_forms(spark, sf_dir):
     pages = D.table(spark, sf_dir, "pages")
     forms = pages.select("page_id", F.lit("normalize").alias("form"), F.lit("").alias("base"), F.explode(written).alias("raw"))
     resolved = pages.select("page_id", F.lit("resolve").alias("form"), url.alias("base"), F.explode(sources).alias("raw"))
-    raw = F.col("raw")
-    result = F.when(F.col("form") == "normalize", normalize_url(raw)).otherwise(resolve_url(raw, "base"))
-    return forms.unionByName(resolved).select("page_id", "form", "raw", is_http_url(raw).alias("valid"), result.alias("result"))
+    written_forms = forms.unionByName(resolved)
+    found = written_forms.withColumn("normal", F.when(F.col("form") == "normalize", normalize_url("raw")))
+    result = F.when(F.col("form") == "normalize", F.col("normal")).otherwise(resolve_url("raw", "base"))
+    return found.select("page_id", "form", "raw", is_http_url("raw").alias("valid"), result.alias("result"))
 
 
 # Usage and access

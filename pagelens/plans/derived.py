@@ -220,7 +220,7 @@ def target_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with three more anchors: to themselves, and twice to a partner site."""
+    """Pages with more anchors: to themselves, twice to a partner site, and in awkward markup; every third has a base address."""
     p, url = F.col("page_id"), F.col("url")
     partner = _text("partner", p % 7, ".test")
     extra = F.concat(
@@ -229,16 +229,25 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text('<a href="https://', partner, "/p/", p, '/">Über &amp; <b>more</b></a>'),
         _text('<A HREF="HTTPS://', F.upper(partner), ":443/x/../p/", p, '#top" title="Partner">again</A>'),
         # Without quotes, with the other kind of quote inside, with a reference, without an end.
-        F.lit("""<a href=/plain>plain</a><a href="/o'brien">ob</a><a href='/a&#38;b'>amp</a><a href="/open">open<p>not this"""),
+        F.lit("""<a href=/plain>plain</a><a href="/o'brien">ob</a><a href='/a&#38;b'>amp</a>"""),
+        # A tag's end inside a value, an attribute inside another one, links that are none, an area.
+        F.lit("""<a title="a > b" href="/z">z</a><a data-x=" href=/bad" href="/good">good <!-- </a> -->one</a><!-- <a href="/dead">dead</a> -->"""),
+        F.lit("""<script>var s = '<a href="/dead">x</a>';</script><textarea><a href=/dead></textarea><map><AREA alt=Area href=/area></map>"""),
+        F.when(p % 3 == 0, F.lit("<base target=top><base href=/deep/er/page><base href=/other/>")).otherwise(""),
+        F.lit("""<a href=rel>rel</a><a href="/open">open<p>not this"""),
     )
     return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), extra).alias("html"))
 
 
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with an image, a video and an audio source after ``<body>``."""
+    """Pages with images, videos and an audio source after ``<body>``; every third has a base address."""
     extra = _text(
         "<body><img src=\"/i/", F.col("page_id"), ".png\" alt='A \"q\"' width=30><img src=/i/x.png>",
         "<video src=v.mp4></video><source src='a.ogg' type='audio/ogg'>",
+        "<img alt=\"see src=foo\" src=\"/x.jpg\"><!-- <img src=/dead.png> --><script>'<img src=/dead.png>'</script><i title='<img src=/dead.png>'>i</i>",
+        "<img data-src=/lazy.png srcset='/s1.png 480w, /s2,2.png 2x'><video poster=/poster.png></video>",
+        "<picture><source srcset=/pic.webp type=image/webp></picture>",
+        F.when(F.col("page_id") % 3 == 1, F.lit("<base href='/deep/x'>")).otherwise(""),
     )
     return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), extra).alias("html"))
 

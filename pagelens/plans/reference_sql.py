@@ -277,7 +277,12 @@ found AS (
   UNION ALL SELECT request_id, url, 'internal', origin || '/plain', 'plain', '' FROM site
   UNION ALL SELECT request_id, url, 'internal', origin || '/o''brien', 'ob', '' FROM site
   UNION ALL SELECT request_id, url, 'internal', origin || '/a&b', 'amp', '' FROM site
-  UNION ALL SELECT request_id, url, 'internal', origin || '/open', 'open', '' FROM site),
+  UNION ALL SELECT request_id, url, 'internal', origin || '/open', 'open', '' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/z', 'z', 'a > b' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/good', 'good  one', '' FROM site
+  UNION ALL SELECT request_id, url, 'internal', origin || '/area', 'Area', '' FROM site
+  UNION ALL SELECT request_id, url, 'internal', CASE WHEN p % 3 = 0 THEN origin || '/deep/er/'
+    ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') END || 'rel', 'rel', '' FROM site),
 mapped AS (SELECT DISTINCT request_id, target, bucket, regexp_replace(href, '([^/])/$', '\\1') AS url FROM found)
 """
 
@@ -446,9 +451,15 @@ WITH {HOMES} SELECT request_id, target, CAST(CASE WHEN p % 3 = 0 THEN 3 ELSE 0 E
     "page_media": """
 WITH s AS (
   SELECT CAST(page_id AS VARCHAR) AS request_id, url AS target, page_id AS p, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin,
-    regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS folder FROM pages)
+    CASE WHEN page_id % 3 = 1 THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/deep/'
+      ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') END AS folder FROM pages),
+pictures AS (SELECT unnest([
+  {'path': '/x.jpg', 'alt': 'see src=foo', 'width': NULL}, {'path': '/lazy.png', 'alt': NULL, 'width': NULL},
+  {'path': '/s1.png', 'alt': NULL, 'width': 480}, {'path': '/s2,2.png', 'alt': NULL, 'width': NULL},
+  {'path': '/poster.png', 'alt': NULL, 'width': NULL}, {'path': '/pic.webp', 'alt': NULL, 'width': NULL}]) AS i)
 SELECT request_id, target, 'images' AS bucket, 'image' AS type, origin || '/i/' || p || '.png' AS src, 'A "q"' AS alt, CAST(30 AS DOUBLE) AS width FROM s
 UNION ALL SELECT request_id, target, 'images', 'image', origin || '/i/x.png', NULL, NULL FROM s
+UNION ALL SELECT request_id, target, 'images', 'image', origin || i.path, i.alt, CAST(i.width AS DOUBLE) FROM s, pictures
 UNION ALL SELECT request_id, target, 'videos', 'video', folder || 'v.mp4', NULL, NULL FROM s
 UNION ALL SELECT request_id, target, 'audios', 'audio', folder || 'a.ogg', NULL, NULL FROM s""",
     "locale_listing": """
@@ -500,6 +511,10 @@ UNION ALL SELECT page_id, 'normalize', bare || '/café x?q=ü''&r=%C3', true, ba
 UNION ALL SELECT page_id, 'normalize', 'http://h.test:80/' || page_id || '//', true, 'http://h.test/' || page_id || '/' FROM x
 UNION ALL SELECT page_id, 'normalize', 'https://h.test:8443?' || page_id, true, 'https://h.test:8443/?' || page_id FROM x
 UNION ALL SELECT page_id, 'normalize', 'ftp://h.test/' || page_id, false, NULL FROM x
+UNION ALL SELECT page_id, 'normalize', 'http://www.BÜCHER。test/' || page_id, true, 'http://www.xn--bcher-kva.test/' || page_id FROM x
+UNION ALL SELECT page_id, 'normalize', 'http://[0:0:0:2::FFFF:1.2.3.4]:80/' || page_id || '/', true, 'http://[::2:0:ffff:102:304]/' || page_id FROM x
+UNION ALL SELECT page_id, 'normalize', 'http://[1::2::3]/' || page_id, false, NULL FROM x
+UNION ALL SELECT page_id, 'normalize', 'http://' || repeat('é', 64) || '.test/' || page_id, false, NULL FROM x
 UNION ALL SELECT page_id, 'resolve', '/img/a.jpg#hero', false, origin || '/img/a.jpg' FROM x
 UNION ALL SELECT page_id, 'resolve', 'b.png?x=1', false, folder || 'b.png?x=1' FROM x
 UNION ALL SELECT page_id, 'resolve', '../c.gif', false, parent || 'c.gif' FROM x

@@ -1,7 +1,8 @@
 """A crawled page table (page_id, url, html) as crawl records.
 
-Links and media are read from the page's tags. A link is internal when its host is
-the page's, a sub-domain of it, or the domain above it.
+Links are read from the page's anchors and areas, media from its image, video, audio and
+source tags, seen from the page's base address if it names one. A link is internal when its
+host is the page's, a sub-domain of it, or the domain above it.
 """
 
 from __future__ import annotations
@@ -9,71 +10,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import decode_references, let, non_empty, strip_tags, strip_ws, without_open_tags
-from pagelens.functions.urls import printed_host, resolve_against, same_site, url_parts
+from pagelens.functions.markup import anchors, attribute, source_set, start_tags
+from pagelens.functions.text import let, non_empty
+from pagelens.functions.urls import base_parts, printed_host, resolve_against, same_site, url_parts, with_plain_host, written_out
 from pagelens.sources.records import ALL_FIELDS, HEADER_FIELDS, LINK_TYPE, MARKDOWN_KEYS, MEDIA_TYPE
 
-# An anchor runs to its end tag; where that is missing, to the next anchor or block tag.
-ANCHOR = r"(?i)<a\s[^>]*>[\s\S]*?(?:</a>|(?=<a\s)|\z)"
-_BLOCK_TAG = (
-    r"(?i)</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|"
-    r"nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)(?=[\s/>])[\s\S]*"
-)
-IMAGE = r"(?i)<img\s[^>]*>"
-VIDEO = r"(?i)<(?:video|source)\s[^>]*>"
-AUDIO = r"(?i)<(?:audio|source)\s[^>]*>"
+MEDIA_FIELDS = ("images", "videos", "audios")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, in quotes of either kind or without any; empty if it is missing."""
-    written = F.regexp_extract(tag, rf"""(?i)^<[a-z]+[^>]*?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    value = let(written, lambda w: F.when(w.rlike("^[\"']"), F.substring(w, F.lit(2), F.length(w) - 2)).otherwise(w))
-    return decode_references(value)
+def _number(text: Column) -> Column:
+    return F.regexp_extract(text, r"^([0-9]+)(?:px)?\z", 1).try_cast("double")
 
 
-def _anchor_text(tag: Column) -> Column:
-    closed = F.lower(F.right(tag, F.lit(4))) == "</a>"
-    return strip_ws(strip_tags(F.when(closed, tag).otherwise(F.regexp_replace(tag, _BLOCK_TAG, ""))))
+def _base(tags: Column) -> Column:
+    """The page's own idea of its address: the first ``base`` tag with one; NULL without."""
+    named = F.filter(tags, lambda t: (t["tag"] == "base") & (attribute(t, "href") != ""))
+    return let(F.get(named, F.lit(0)), lambda t: F.when(t.isNotNull(), attribute(t, "href")))
 
 
-def _number(text: Column) -> Column:
-    return F.regexp_extract(text, r"^([0-9]+)(?:px)?\z", 1).try_cast("double")
+def _with_base(source: DataFrame) -> DataFrame:
+    """``tags`` seen from ``base``, the parts of the base address or of the page's."""
+    # In steps, as the analyzer goes over nested lambdas again for each level.
+    located = source.withColumn("plain", with_plain_host("url")).withColumn("own", url_parts("plain")).withColumn("named", _base(F.col("tags")))
+    return located.withColumn("base", F.when(F.col("named").isNull(), F.col("own")).otherwise(base_parts(F.col("named"), F.col("own"))))
 
 
-def _link(tag: Column, base_parts: Column) -> Column:
+def _link(tag: Column) -> Column:
+    area = tag["tag"] == "area"
     return F.struct(
-        resolve_against(_attribute(tag, "href"), base_parts).alias("href"),
-        _anchor_text(tag).alias("text"),
-        _attribute(tag, "title").alias("title"),
+        resolve_against(attribute(tag, "href"), F.col("base")).alias("href"),
+        F.when(area, attribute(tag, "alt")).otherwise(tag["text"]).alias("text"),
+        attribute(tag, "title").alias("title"),
     )
 
 
-def _media(tags: Column, kind: str) -> Column:
-    def entry(tag: Column) -> Column:
-        null = F.lit(None).cast("string")
-        return F.struct(
-            _attribute(tag, "src").alias("src"),
-            null.alias("type"),
-            non_empty(_attribute(tag, "alt")).alias("alt"),
-            null.alias("format"),
-            F.lit(None).cast("double").alias("score"),
-            _number(_attribute(tag, "width")).alias("width"),
-            _number(_attribute(tag, "height")).alias("height"),
-            F.lit(None).cast("double").alias("group_id"),
-        )
+def _entry(tag: Column, src: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    null, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    return F.struct(
+        # The inventory resolves addresses against the page; what a base tag says is put in front of them here.
+        F.when(F.col("named").isNotNull() & (src != ""), written_out(src, F.col("base"))).otherwise(src).alias("src"),
+        null.alias("type"),
+        non_empty(attribute(tag, "alt")).alias("alt"),
+        null.alias("format"),
+        no_number.alias("score"),
+        (no_number if width is None else width).alias("width"),
+        (no_number if height is None else height).alias("height"),
+        no_number.alias("group_id"),
+    )
 
-    # A source tag belongs to the kind its type attribute names; video if it names none.
-    def belongs(tag: Column) -> Column:
-        is_audio = F.lower(_attribute(tag, "type")).startswith("audio")
-        return ~tag.rlike("(?i)^<source") | (is_audio if kind == "audio" else ~is_audio)
 
-    if kind != "image":
-        tags = F.filter(tags, belongs)
-    return F.filter(F.transform(tags, entry), lambda m: m["src"] != "").cast(MEDIA_TYPE)
+def _own_source(tag: Column) -> Column:
+    """``src``, or the address that a script puts there later."""
+    return let(attribute(tag, "src"), lambda s: F.when(s != "", s).otherwise(attribute(tag, "data-src")))
 
 
-def _all(html: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+def _images(tag: Column) -> Column:
+    """Entries of one tag: an image and its variants, a picture's sources, a video's poster."""
+    name, sized = tag["tag"], (_number(attribute(tag, "width")), _number(attribute(tag, "height")))
+    kind = F.lower(attribute(tag, "type"))
+    variants = F.concat(source_set(attribute(tag, "srcset")), source_set(attribute(tag, "data-srcset")))
+    own = F.when(name == "img", F.struct(_own_source(tag).alias("src"), sized[0].alias("width"), sized[1].alias("height"))).when(
+        name == "video", F.struct(attribute(tag, "poster").alias("src"), F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"))
+    )
+    others = F.when((name == "img") | ((name == "source") & ~kind.rlike("^(?:audio|video)")), variants)
+    every = F.concat(
+        F.array_compact(F.array(own)),
+        F.transform(F.coalesce(others, F.array().cast("array<struct<src:string,width:double>>")),
+                    lambda v: F.struct(v["src"].alias("src"), v["width"].alias("width"), F.lit(None).cast("double").alias("height"))),
+    )
+    return F.transform(every, lambda e: _entry(tag, e["src"], e["width"], e["height"]))
+
+
+def _media(kind: str) -> Column:
+    if kind == "image":
+        entries = F.flatten(F.transform("tags", _images))
+    else:
+        # A source tag belongs to the kind its type attribute names; video if it names none.
+        def belongs(tag: Column) -> Column:
+            is_audio = F.lower(attribute(tag, "type")).startswith("audio")
+            return (tag["tag"] == kind) | ((tag["tag"] == "source") & (is_audio if kind == "audio" else ~is_audio))
+
+        entries = F.transform(
+            F.filter("tags", belongs), lambda t: _entry(t, _own_source(t), _number(attribute(t, "width")), _number(attribute(t, "height")))
+        )
+    return F.filter(entries, lambda m: m["src"] != "").cast(MEDIA_TYPE)
 
 
 def _placed(links: Column, host: Column) -> Column:
@@ -114,9 +134,9 @@ _READERS = {
     "internal_links": lambda: _bucket(internal=True),
     "external_links": lambda: _bucket(internal=False),
     "has_media": lambda: F.lit(True),
-    "images": lambda: _media(_all(without_open_tags(F.col("html")), IMAGE), "image"),
-    "videos": lambda: _media(_all(without_open_tags(F.col("html")), VIDEO), "video"),
-    "audios": lambda: _media(_all(without_open_tags(F.col("html")), AUDIO), "audio"),
+    "images": lambda: F.col("images"),
+    "videos": lambda: F.col("videos"),
+    "audios": lambda: F.col("audios"),
     "screenshot": lambda: F.lit(None).cast("struct<screenshot:string,url:string,base64:string>"),
 }
 
@@ -125,12 +145,18 @@ def records_from_pages(pages: DataFrame, fields: tuple[str, ...] = ALL_FIELDS) -
     """Typed crawl records of a page table; each page is its own target. Row-local."""
     wanted = dict.fromkeys((*HEADER_FIELDS, *fields))
     source = pages.select(F.col("page_id").cast("string").alias("request_id"), "url", "html")
+    kept = ["request_id", "url", "html"]
     if {"internal_links", "external_links"} & set(wanted):
         # The page's own URL is taken apart once for all its links.
-        located = source.withColumn("base", url_parts("url"))
-        links = F.transform(_all(without_open_tags(F.col("html")), ANCHOR), lambda tag: _link(tag, F.col("base")))
-        host = F.get("base", F.lit(2))
-        source = located.select("request_id", "url", "html", _placed(links, host).alias("links"))
+        located = _with_base(source.withColumn("tags", anchors(F.col("html"), "area", "base")))
+        located = located.withColumn("links", F.transform(F.filter("tags", lambda t: t["tag"] != "base"), _link))
+        located = located.withColumn("links", F.transform("links", lambda x: x.withField("href", with_plain_host(x["href"]))))
+        source = located.select(*kept, _placed(F.col("links"), F.get("own", F.lit(2))).alias("links"))
+        kept.append("links")
+    media = [m for m in MEDIA_FIELDS if m in wanted]
+    if media:
+        located = _with_base(source.withColumn("tags", start_tags(F.col("html"), "img", "video", "audio", "source", "base")))
+        source = located.select(*kept, *[_media(m.removesuffix("s")).alias(m) for m in media])
     return source.select(
         "request_id",
         F.col("url").alias("target"),

@@ -37,7 +37,7 @@ PRINTED = [
     ("http://1", "http://0.0.0.1/"), ("http://256/x/", "http://0.0.1.0/x"), ("http://0x7f.1/", "http://127.0.0.1/"),
     ("http://010.1.2.3", "http://8.1.2.3/"), ("http://1.2.3.4:80", "http://1.2.3.4/"), ("http://1.2.3.256/", None),
     ("http://1.2.3.4.5/", None), ("http://a.1/", None), ("http://4294967295", "http://255.255.255.255/"), ("http://4294967296", None),
-    ("http://a..b/", "http://a..b/"), ("http://ü.test/", "http://ü.test/"), ("http://h.test/.well-known/x", "http://h.test/.well-known/x"),
+    ("http://a..b/", "http://a..b/"), ("http://ü.test/", "http://xn--tda.test/"), ("http://h.test/.well-known/x", "http://h.test/.well-known/x"),
 ]
 
 
@@ -56,7 +56,7 @@ def test_plain_urls_take_a_short_way_to_the_same_result(spark):
         (random.choice(["http://h.test", "https://a-b.c.test", "https://h.test/"]) + "".join(random.choices(pieces, k=random.randint(0, 6))),)
         for _ in range(4000)
     ]
-    parsed = urls.let(urls.url_parts("u"), lambda p: urls._print(p, drop_trailing_slash=True))
+    parsed = urls.let(urls.url_parts(urls.with_plain_host("u")), lambda p: urls._print(p, drop_trailing_slash=True))
     both = spark.createDataFrame(rows, "u string").select("u", urls.normalize_url("u").alias("a"), parsed.alias("b"))
     assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
     # One slash is removed each time, so a path that still ends with one is left out.
