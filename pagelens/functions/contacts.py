@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import WS, as_column, collapse_ws, let, strip_ws
+from pagelens.functions.text import WS, as_column, collapse_ws, let, sort_by_code_unit, strip_ws
 
 # What counts as an email, phone number and URL in text.
 LOCAL = r"[A-Za-z0-9._%+-]+"
@@ -76,7 +76,7 @@ def mailto_emails(text: str | Column) -> Column:
 
 def emails_in_text(text: str | Column) -> Column:
     """Sorted distinct emails for the field extraction job."""
-    return F.array_sort(F.array_distinct(_written_emails(as_column(text))))
+    return sort_by_code_unit(F.array_distinct(_written_emails(as_column(text))))
 
 
 def emails_for_index(text: str | Column, hrefs: Column | None = None) -> Column:
@@ -101,7 +101,7 @@ def urls_in_text(text: str | Column) -> Column:
     none = F.array().cast("array<string>")
     written = F.when(F.contains(text, F.lit("://")), _matches(text, URL)).otherwise(none)
     found = F.transform(written, lambda m: F.regexp_replace(m, TRAILING_PUNCTUATION, ""))
-    return F.array_sort(F.array_distinct(found))
+    return sort_by_code_unit(F.array_distinct(found))
 
 
 EXTRACTORS = {"emails": emails_in_text, "phones": phones_in_text, "urls": urls_in_text}

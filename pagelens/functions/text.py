@@ -62,6 +62,16 @@ def collapse_ws(c: str | Column) -> Column:
     return F.regexp_replace(as_column(c), f"[{WS}]+", " ")
 
 
+def sort_by_code_unit(values: Column) -> Column:
+    """Texts in the order of their UTF-16 units; Spark's own differs where characters beyond U+FFFF meet U+E000 to U+FFFF."""
+
+    def sorted_(v: Column) -> Column:
+        keyed = F.array_sort(F.transform(v, lambda x: F.struct(F.encode(x, "UTF-16BE").alias("k"), x.alias("x"))))
+        return F.when(F.exists(v, lambda x: x.rlike(r"[\x{10000}-\x{10FFFF}]")), F.transform(keyed, lambda s: s["x"])).otherwise(F.array_sort(v))
+
+    return let(values, sorted_)
+
+
 def _behind_last_tag(c: Column) -> Column:
     """The text behind the last ``>``; all of it without one."""
     return F.substring_index(c, ">", -1)

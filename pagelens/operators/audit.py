@@ -286,34 +286,38 @@ def static_key_check(requests: DataFrame, keys: DataFrame | None) -> DataFrame:
     return checked.select("request_id", code.alias("code"))
 
 
+def _cut(counts: DataFrame, group: list[str], unit: str, limit: int, name: str) -> DataFrame:
+    """The unit of time in which each group passes the limit, as ``name``, and the requests ``before`` it.
+
+    counts: group, unit, n, and before: the group's requests before all of its units.
+    """
+    earlier = Window.partitionBy(*group).orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    running = counts.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    full = (F.col("before") <= limit) & (F.col("before") + F.col("n") > limit)
+    return running.filter(full).select(*group, F.col(unit).alias(name), "before")
+
+
 def rate_limit_audit(requests: DataFrame, limit: int = 100, window: str = "15 minutes") -> DataFrame:
     """Requests beyond ``limit`` per client address and tumbling window.
 
-    ``requests(request_id, ip_address, ts)``. Requests are counted per second; a running
-    sum over the seconds of a window (at most as many rows as it has seconds) finds the
-    second in which the limit is passed. Only that second's requests are ranked; every
-    later one is over the limit. The plan is the same for every limit, and no task ranks
-    a whole busy address.
+    ``requests(request_id, ip_address, ts)``. Requests are counted per instant and per second.
+    A running sum over the seconds of a window finds the one in which the limit is passed, a
+    running sum over that second's instants the deciding instant; either has a fixed number of
+    rows at most. Only the requests of that instant are ranked; every later one is over the
+    limit. The plan is the same for every limit, and no task ranks a whole busy address or second.
     """
     group = ["ip_address", "window_start"]
-    rows = requests.select(
-        "request_id", "ip_address", "ts", F.window("ts", window)["start"].alias("window_start"),
-        F.date_trunc("second", "ts").alias("second"),
-    )
-    earlier = Window.partitionBy(*group).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
-    seconds = (
-        rows.groupBy(*group, "second")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    )
-    full = (F.col("before") <= limit) & (F.col("before") + F.col("n") > limit)
-    reached = seconds.filter(full).select(*group, F.col("second").alias("full_second"), "before")
-    beyond = rows.join(reached, group).filter(F.col("second") >= F.col("full_second"))
-    order = Window.partitionBy(*group).orderBy("ts", "request_id")
-    ranked = beyond.filter(F.col("second") == F.col("full_second")).withColumn("n", F.row_number().over(order))
+    rows = requests.select("request_id", "ip_address", "ts", F.window("ts", window)["start"].alias("window_start"))
+    instants = rows.groupBy(*group, "ts").agg(F.count(F.lit(1)).alias("n")).withColumn("second", F.date_trunc("second", "ts"))
+    seconds = instants.groupBy(*group, "second").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("bigint"))
+    within = instants.join(_cut(seconds, group, "second", limit, "full_second"), group).filter(F.col("second") == F.col("full_second"))
+    reached = _cut(within, group, "ts", limit, "full_ts")
+    beyond = rows.join(reached, group).filter(F.col("ts") >= F.col("full_ts"))
+    ranked = beyond.filter(F.col("ts") == F.col("full_ts"))
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("request_id")))
     kept = ["request_id", "ip_address", "ts", "window_start"]
-    in_second = ranked.filter(F.col("before") + F.col("n") > limit).select(*kept)
-    return beyond.filter(F.col("second") > F.col("full_second")).select(*kept).unionByName(in_second)
+    in_instant = ranked.filter(F.col("before") + F.col("n") > limit).select(*kept)
+    return beyond.filter(F.col("ts") > F.col("full_ts")).select(*kept).unionByName(in_instant)
 
 
 def rate_limit_windows(requests: DataFrame, limit: int = 100, window: str = "15 minutes") -> DataFrame:

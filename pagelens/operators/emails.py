@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.contacts import emails_for_index
 from pagelens.functions.numbers import loose_number
-from pagelens.functions.text import if_non_blank
+from pagelens.functions.text import if_non_blank, sort_by_code_unit
 from pagelens.functions.urls import is_http_url, normalize_url
 from pagelens.operators.ranking import spread_rank
 from pagelens.operators.views import record_url
@@ -16,6 +16,8 @@ from pagelens.operators.views import record_url
 CONTACT_WORDS = ("contact", "about", "info", "support", "help", "team", "company")
 # Bits of the filter that keeps pages nobody scans from being searched.
 SLOTS = 1 << 23
+# Sources of an address in one list.
+CHUNK = 10_000
 
 
 def is_contact_link(href: Column, text: Column, title: Column) -> Column:
@@ -137,8 +139,22 @@ def email_index(scanned: DataFrame, records: DataFrame) -> DataFrame:
 
 def email_sources(index: DataFrame) -> DataFrame:
     """Sorted sources per (target, email). A list holds the pages that show one address;
-    ``email_index`` has the same in rows, for addresses that stand on very many."""
-    return index.groupBy("target", "email").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    ``email_source_chunks`` is for addresses that stand on very many."""
+    lists = index.groupBy("target", "email").agg(F.collect_list("source").alias("sources"))
+    return lists.withColumn("sources", sort_by_code_unit(F.col("sources")))
+
+
+def email_source_chunks(index: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``email_sources`` in lists of at most ``size`` sources: (target, email, chunk from 0, sources).
+
+    The chunks of an address, one behind the other, are its list. Sources are placed over
+    range partitions, so no task holds more of an address than one partition or one chunk.
+    """
+    keyed = index.select(F.struct("target", "email").alias("address"), "source", F.encode("source", "UTF-16BE").alias("unit"))
+    placed = spread_rank(keyed, "address", [F.col("unit")], "place")
+    chunk = F.floor((F.col("place") - 1) / size).cast("int").alias("chunk")
+    lists = placed.groupBy("address", chunk).agg(F.array_sort(F.collect_list(F.struct("place", "source"))).alias("found"))
+    return lists.select("address.target", "address.email", "chunk", F.col("found.source").alias("sources"))
 
 
 def email_counts(scanned: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.text import sort_by_code_unit
 from pagelens.functions.urls import normalize_plain, with_plain_host
 from pagelens.sources import records as R
 from pagelens.sources.records import LINK_TYPE
@@ -70,7 +71,8 @@ def link_counts(mapped: DataFrame, records: DataFrame | None = None) -> DataFram
 def link_lists(mapped: DataFrame) -> DataFrame:
     """Sorted URL lists per target. A list holds what one payload or page held."""
     def listed(bucket: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("bucket") == bucket, F.col("url"))))
+        return F.collect_list(F.when(F.col("bucket") == bucket, F.col("url")))
 
     lists = mapped.groupBy(*KEYS).agg(listed("internal").alias("internal"), listed("external").alias("external"))
-    return lists.withColumn("all", F.array_sort(F.concat("internal", "external")))
+    every = {"internal": F.col("internal"), "external": F.col("external"), "all": F.concat("internal", "external")}
+    return lists.select(*KEYS, *[sort_by_code_unit(c).alias(n) for n, c in every.items()])

@@ -117,6 +117,17 @@ def usage_append(spark, sf_dir):
     return spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).select(*_log_columns())
 
 
+@query
+def usage_append_again(spark, sf_dir):
+    """Two batches, each of them appended twice."""
+    path = scratch_dir(spark, "usage-log")
+    requests = D.finished_requests(spark, sf_dir)
+    first = F.pmod(F.xxhash64("finished_at"), F.lit(2)) == 0
+    for name, rows in (("a", first), ("b", ~first), ("a", first), ("b", ~first)):
+        L.append_usage(requests.filter(rows), path, batch=name)
+    return spark.read.parquet(path).withColumn("month", F.col("month").cast("string")).select(*_log_columns())
+
+
 @query
 def view_sink(spark, sf_dir):
     path = scratch_dir(spark, "markdown-view")
@@ -302,6 +313,13 @@ def locale_listing(spark, sf_dir):
     return media.locale_rank(D.locale_items(spark, sf_dir), "src").select("request_id", "src", "place")
 
 
+@query
+def email_source_chunks(spark, sf_dir):
+    index = emails.email_index(_scan(spark, sf_dir)[1], D.document_records(spark, sf_dir))
+    chunks = emails.email_source_chunks(index, size=3)
+    return chunks.select("target", "email", "chunk", _joined("sources"))
+
+
 @query
 def link_lists(spark, sf_dir):
     lists = links.link_lists(links.link_map(D.overlapping_records(spark, sf_dir)))

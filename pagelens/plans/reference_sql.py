@@ -361,6 +361,7 @@ WHERE account_id = 'a3' AND us >= epoch_us(TIMESTAMP '2024-01-01')""",
 WITH {USAGE} SELECT request_id, endpoint, response_code, credit_used, us AS created FROM usage_log
 WHERE api_key = 'k8' AND month = '2024-01'""",
     "usage_append": FINISHED,
+    "usage_append_again": FINISHED,
     "usage_append_stream": FINISHED,
     "view_sink": f"""
 WITH {RECORDS} SELECT request_id, CAST(record_pos AS INTEGER) AS record_pos, url, success, status_code, {MARKDOWN} AS markdown FROM ok""",
@@ -492,6 +493,10 @@ WITH {SITES} SELECT target, page_url, is_seed, position, CASE WHEN is_seed THEN
     "email_index": f"WITH {SITES} SELECT target, email, source FROM email_rows",
     "email_sources": f"""
 WITH {SITES} SELECT target, email, string_agg(source, ' ' ORDER BY source) AS sources FROM email_rows GROUP BY target, email""",
+    "email_source_chunks": f"""
+WITH {SITES}, placed AS (
+  SELECT target, email, source, CAST((row_number() OVER (PARTITION BY target, email ORDER BY source) - 1) // 3 AS INTEGER) AS chunk FROM email_rows)
+SELECT target, email, chunk, string_agg(source, ' ' ORDER BY source) AS sources FROM placed GROUP BY target, email, chunk""",
     "email_counts": f"""
 WITH {SITES} SELECT target, (SELECT count(*) FROM scanned s WHERE s.target = seeds.target) AS pages_scanned,
   (SELECT count(*) FROM candidates c WHERE c.target = seeds.target) AS candidate_pages,

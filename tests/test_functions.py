@@ -41,6 +41,12 @@ PRINTED = [
 ]
 
 
+def test_lists_are_sorted_by_code_unit(evaluate):
+    lists = [["\uff21", "\U0001f600", "a", "\ue000"], ["b", "a", "é"], [], None, ["\uffee", "\U0001f600a", "\U0001f600"]]
+    got = evaluate([(x,) for x in lists], "v array<string>", text.sort_by_code_unit(F.col("v")))
+    assert got == [x and sorted(x, key=lambda s: s.encode("utf-16-be")) for x in lists]
+
+
 def test_normalize_url(spark):
     rows = spark.createDataFrame(PRINTED, "raw string, printed string").select(
         "raw", "printed", urls.normalize_url("raw").alias("got"), urls.is_http_url("raw").alias("valid")

@@ -131,6 +131,17 @@ def test_many_pages_of_one_seed_are_ranked_over_partitions(spark):
     assert sorted((r.position, r.is_seed) for r in rows if r.target != SITE) == [(1, True), (2, False)]
 
 
+def test_chunks_of_sources_are_the_list(spark):
+    rows = [("t", "a@b.test", f"https://s.test/{i * 7919 % 1009}") for i in range(1009)] + [("t", "c@d.test", "https://s.test/x"), ("u", "a@b.test", "https://s.test/y")]
+    index = spark.createDataFrame(rows, "target string, email string, source string").repartition(6)
+    chunks = emails.email_source_chunks(index, size=100).orderBy("target", "email", "chunk").collect()
+    assert max(len(r.sources) for r in chunks) == 100 and [r.chunk for r in chunks[:11]] == list(range(11))
+    joined = {}
+    for r in chunks:
+        joined[r.target, r.email] = joined.get((r.target, r.email), []) + r.sources
+    assert joined == {(r.target, r.email): r.sources for r in emails.email_sources(index).collect()}
+
+
 def test_pages_nobody_scans_are_left_out_before_the_search(spark):
     scanned = spark.createDataFrame([("t", f"{SITE}/{i}") for i in range(0, 400, 2)], "target string, page_url string")
     records = build(spark, [(str(i), SITE, [{"url": f"{SITE}/{i}", "markdown": f"m{i}@site.test"}]) for i in range(400)], "emails")

@@ -159,6 +159,17 @@ def test_rate_limit_against_brute_force(spark):
     assert sum(r.requests - 50 for r in windows) == len(expected)
 
 
+def test_rate_limit_of_copies_and_of_a_burst_in_one_second(spark):
+    rows = [(i // 3, "a", START + timedelta(microseconds=i // 10)) for i in range(400)] + [(7, "b", START)] * 9 + [(1, None, START)] * 9
+    requests = spark.createDataFrame(rows, "request_id int, ip_address string, ts timestamp").repartition(5)
+    for limit in (0, 1, 5, 100, 5000):
+        over = sorted((r.ip_address, r.ts.replace(tzinfo=None), r.request_id) for r in audit.rate_limit_audit(requests, limit=limit).collect())
+        expected = []
+        for ip in ("a", "b"):
+            expected += sorted((t.replace(tzinfo=None), i) for i, who, t in rows if who == ip)[limit:]
+        assert [o[1:] for o in over] == expected
+
+
 KEY = {"status": "active", "revoked_at": None, "expires": False, "expiration_date": None, "account": "acc", "rules": [], "own": None}
 ACCOUNT = {"user": "usr", "plan": None, "stripe_sub_status": "active"}
 PLAN = {"id": "p", "allowed_endpoints": None, "monthly_credits": None}
