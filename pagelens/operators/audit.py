@@ -12,6 +12,7 @@ from pagelens.functions.endpoints import CREDIT_EXEMPT, audit_cost, audit_endpoi
 from pagelens.functions.numbers import positive_or_null
 from pagelens.functions.text import non_empty, strip_ws
 from pagelens.operators.usage import positive_credit
+from pagelens.session import scratch_dir
 
 # Reason, status code and message of each decision, in the order they are checked.
 DECISIONS = (
@@ -320,6 +321,74 @@ def rate_limit_audit(requests: DataFrame, limit: int = 100, window: str = "15 mi
     return beyond.filter(F.col("ts") > F.col("full_ts")).select(*kept).unionByName(in_instant)
 
 
+def _next_starts(instants: DataFrame, micros: int) -> DataFrame:
+    """instants (ip_address, at) with ``next``: the address's first instant ``micros`` or more later, NULL if there is none.
+
+    Time is cut in spans of that length, so the instant asked for lies in the next span, or
+    is the first one of a later span. A task sees one span of an address at a time.
+    """
+    span = F.floor(F.col("at") / micros)
+    points = instants.withColumn("span", span)
+    firsts = points.groupBy("ip_address", "span").agg(F.min("at").alias("first"))
+    # The first instant of a later span than the next one; one row for each span of an address.
+    after = Window.partitionBy("ip_address").orderBy("span").rowsBetween(1, 2)
+    spans = firsts.select("ip_address", F.col("span").alias("own"), F.collect_list(F.struct("span", "first")).over(after).alias("ahead"))
+    beyond = F.filter("ahead", lambda x: x["span"] > F.col("own") + 1)
+    spans = spans.select("ip_address", "own", F.get(beyond, F.lit(0))["first"].alias("beyond"))
+    # Points and questions of a span in one order, latest first: a question takes the last point before it there.
+    asked = instants.select("ip_address", (F.col("at") + micros).alias("place"), F.col("at").alias("asks"), F.lit(None).cast("bigint").alias("point"))
+    given = instants.select("ip_address", F.col("at").alias("place"), F.lit(None).cast("bigint").alias("asks"), F.col("at").alias("point"))
+    both = asked.unionByName(given).withColumn("span", F.floor(F.col("place") / micros))
+    order = Window.partitionBy("ip_address", "span").orderBy(F.desc("place"), F.col("point").desc_nulls_last())
+    found = both.withColumn("near", F.last("point", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    answers = found.filter("asks IS NOT NULL").select("ip_address", F.col("asks").alias("at"), (F.col("span") - 1).alias("own"), "near")
+    joined = answers.join(spans, ["ip_address", "own"])
+    return joined.select("ip_address", "at", F.coalesce("near", "beyond").alias("next"))
+
+
+def client_windows(requests: DataFrame, limit: int = 100, minutes: int = 15) -> DataFrame:
+    """Windows that begin with an address's first request, and the next ones with its first request after they end.
+
+    (ip_address, window_start, requests, over) for every window; ``over`` counts what is
+    beyond the limit. Where the next window would begin is known for every instant; which
+    instants begin one is found by pointer jumping: reached instants jump on, and jumps are
+    doubled, so a chain of n windows takes log2(n) rounds, whatever an address sends within them.
+    Each round's pointers are written once. A window of an address ends at the next one's start.
+    """
+    micros = minutes * 60_000_000
+    counts = requests.filter("ip_address IS NOT NULL AND ts IS NOT NULL").groupBy("ip_address", F.unix_micros("ts").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    instants = _written(counts, "instants")
+    jumps = _written(_next_starts(instants.select("ip_address", "at"), micros), "jumps")
+    starts = _written(instants.groupBy("ip_address").agg(F.min("at").alias("at")), "starts")
+    known, size = starts.count(), 0
+    while known > size:
+        size = known
+        reached = starts.join(jumps, ["ip_address", "at"]).select("ip_address", F.col("next").alias("at")).filter("at IS NOT NULL")
+        starts = _written(starts.unionByName(reached).distinct(), "starts")
+        known = starts.count()
+        second = jumps.select("ip_address", F.col("at").alias("next"), F.col("next").alias("then"))
+        jumps = _written(jumps.join(second, ["ip_address", "next"]).select("ip_address", "at", F.col("then").alias("next")).filter("next IS NOT NULL"), "jumps")
+    # Every instant belongs to the latest start up to it: in its own span or, at the earliest, the one before.
+    span = F.floor(F.col("at") / micros)
+    begun = starts.withColumn("span", span).groupBy("ip_address", "span").agg(F.max("at").alias("start"))
+    placed = instants.withColumn("span", span)
+    own = placed.join(begun, ["ip_address", "span"], "left")
+    own = own.withColumn("start", F.when(F.col("start") <= F.col("at"), F.col("start")))
+    before = begun.select("ip_address", (F.col("span") + 1).alias("span"), F.col("start").alias("earlier"))
+    joined = own.join(before, ["ip_address", "span"], "left").withColumn("start", F.coalesce("start", "earlier"))
+    total = joined.groupBy("ip_address", "start").agg(F.sum("n").alias("requests"))
+    return total.select(
+        "ip_address", F.timestamp_micros("start").alias("window_start"), "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("over")
+    )
+
+
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared scratch folder."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rate_limit_windows(requests: DataFrame, limit: int = 100, window: str = "15 minutes") -> DataFrame:
     """Addresses and windows with more than ``limit`` requests."""
     return (

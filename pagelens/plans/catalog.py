@@ -523,6 +523,12 @@ def rate_limit_windows(spark, sf_dir):
     return windows.select("ip_address", _micros("window_start"), "requests")
 
 
+@query
+def rate_limit_client_windows(spark, sf_dir):
+    windows = audit.client_windows(D.burst_requests(spark, sf_dir))
+    return windows.select("ip_address", _micros("window_start"), "requests", "over")
+
+
 # Streams: everything available now, read back from the written table
 
 

@@ -576,6 +576,15 @@ QUALIFY row_number() OVER (PARTITION BY ip_address, window_start ORDER BY ts, re
     "rate_limit_windows": f"""
 WITH {USAGE} SELECT ip_address, window_start, count(*) AS requests FROM burst_windows
 GROUP BY ip_address, window_start HAVING count(*) > 100""",
+    "rate_limit_client_windows": f"""
+WITH RECURSIVE {USAGE}, instants AS MATERIALIZED (SELECT ip_address, ts AS moment, count(*) AS n FROM burst_windows GROUP BY ip_address, ts),
+starts AS (
+  SELECT ip_address, min(moment) AS moment FROM instants GROUP BY ip_address
+  UNION ALL
+  SELECT s.ip_address, min(i.moment) FROM starts s JOIN instants i ON i.ip_address = s.ip_address AND i.moment >= s.moment + 900000000
+  GROUP BY s.ip_address)
+SELECT i.ip_address, s.moment AS window_start, CAST(sum(n) AS BIGINT) AS requests, greatest(CAST(sum(n) AS BIGINT) - 100, 0) AS over
+FROM instants i ASOF JOIN starts s ON i.ip_address = s.ip_address AND i.moment >= s.moment GROUP BY i.ip_address, s.moment""",
     "rate_limit_stream": f"""
 WITH {USAGE} SELECT ip_address, window_start, count(*) AS requests FROM burst_windows
 GROUP BY ip_address, window_start HAVING count(*) > 100""",

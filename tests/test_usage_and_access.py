@@ -170,6 +170,27 @@ def test_rate_limit_of_copies_and_of_a_burst_in_one_second(spark):
         assert [o[1:] for o in over] == expected
 
 
+def test_client_windows_equal_a_plain_loop(spark):
+    random.seed(12)
+    rows = []
+    for ip, gap in (("busy", 40), ("calm", 2000), ("odd", 900), ("mixed", 700)):
+        at = START
+        for _ in range(300):
+            at += timedelta(seconds=random.choice([0, 1, gap, gap * 3 if ip == "mixed" else gap]), microseconds=random.choice([0, 0, 1]))
+            rows.append((len(rows), ip, at))
+    rows += [(9001, "one", START), (9002, None, START), (9003, "one", None)]
+    expected, open_ = {}, {}
+    for _, ip, at in sorted((r for r in rows if r[1] and r[2]), key=lambda r: r[2]):
+        if ip not in open_ or at >= open_[ip] + timedelta(minutes=15):
+            open_[ip] = at
+        expected[ip, open_[ip].replace(tzinfo=None)] = expected.get((ip, open_[ip].replace(tzinfo=None)), 0) + 1
+    requests = spark.createDataFrame(rows, "request_id int, ip_address string, ts timestamp")
+    got = audit.client_windows(requests, limit=3).collect()
+    assert {(r.ip_address, r.window_start.replace(tzinfo=None)): r.requests for r in got} == expected
+    assert all(r.over == max(0, r.requests - 3) for r in got)
+    assert audit.client_windows(requests.limit(0)).count() == 0
+
+
 KEY = {"status": "active", "revoked_at": None, "expires": False, "expiration_date": None, "account": "acc", "rules": [], "own": None}
 ACCOUNT = {"user": "usr", "plan": None, "stripe_sub_status": "active"}
 PLAN = {"id": "p", "allowed_endpoints": None, "monthly_credits": None}
