@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import hosts
@@ -202,6 +202,11 @@ def normalize_url(c: str | Column) -> Column:
     return normalize_plain(with_plain_host(c))
 
 
+def normalized(df: DataFrame, url: Column, name: str) -> DataFrame:
+    """``df`` with ``normalize_url(url)`` as ``name``, in two steps: short expressions are analysed sooner than one long one."""
+    return df.withColumn(name, with_plain_host(url)).withColumn(name, normalize_plain(name))
+
+
 def normalize_plain(c: str | Column) -> Column:
     """``normalize_url`` of what ``with_plain_host`` gave."""
 

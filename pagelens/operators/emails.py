@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.contacts import emails_for_index
 from pagelens.functions.numbers import loose_number
 from pagelens.functions.text import if_non_blank, sort_by_code_unit
-from pagelens.functions.urls import is_http_url, normalize_url
+from pagelens.functions.urls import normalized
 from pagelens.operators.ranking import spread_rank
 from pagelens.operators.views import record_url
 
@@ -45,8 +45,7 @@ def contact_pages(links: DataFrame) -> DataFrame:
     """Distinct normalised contact pages per seed."""
     is_contact = is_contact_link(F.col("href"), F.col("text"), F.col("title"))
     return (
-        links.filter(is_http_url("href") & is_contact)
-        .select("target", normalize_url("href").alias("page_url"))
+        normalized(links.filter(is_contact), F.col("href"), "page_url").select("target", "page_url").filter("page_url IS NOT NULL")
         .distinct()
     )
 
@@ -58,7 +57,7 @@ def scanned_pages(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     ``seeds(target, max_pages)`` has one row per seed. Places are found without
     bringing the pages of a seed together.
     """
-    own = seeds.select("target", normalize_url("target").alias("page_url"), F.lit(True).alias("is_seed"))
+    own = normalized(seeds.select("target"), F.col("target"), "page_url").withColumn("is_seed", F.lit(True))
     linked = candidates.select("target", "page_url", F.lit(False).alias("is_seed"))
     pages = own.unionByName(linked).groupBy("target", "page_url").agg(F.max("is_seed").alias("is_seed"))
     ranked = spread_rank(pages, "target", [F.col("is_seed").desc(), F.col("page_url")], "position")
@@ -70,7 +69,7 @@ def scanned_pages(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
 def scanned_coverage(scanned: DataFrame, records: DataFrame) -> DataFrame:
     """The scanned list with the number of stored records per page; a page without one stays."""
     stored = (
-        records.select(normalize_url(record_url()).alias("page_url"))
+        normalized(records, record_url(), "page_url").select("page_url")
         .groupBy("page_url")
         .agg(F.count("*").alias("records"))
     )
@@ -114,7 +113,7 @@ def scanned_filter(scanned: DataFrame) -> DataFrame:
 
 def _maybe_scanned(records: DataFrame, scanned: DataFrame) -> DataFrame:
     """Records whose URL may be a scanned one. They stay where they were read; the bitmap goes to them."""
-    located = records.withColumn("page_url", normalize_url(record_url()))
+    located = normalized(records, record_url(), "page_url")
     placed = located.filter("page_url IS NOT NULL").withColumn("bucket", F.bitmap_bucket_number(_slot("page_url")))
     place = F.bitmap_bit_position(_slot("page_url"))
     byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
