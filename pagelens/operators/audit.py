@@ -46,8 +46,8 @@ class AccessPolicy:
     credit_exempt: tuple[str, ...] = CREDIT_EXEMPT
 
 
-def running_credits(moments: DataFrame, log: DataFrame, credit_column: str | None = None) -> DataFrame:
-    """Credits used in the month strictly before each ``(account_id, ts)`` of ``moments``.
+def running_credits(moments: DataFrame, log: DataFrame, credit_column: str | None = None, span: str = "month") -> DataFrame:
+    """Credits used in the month (or another ``span``) strictly before each ``(account_id, ts)`` of ``moments``.
 
     Rows are first summed per account and instant, so a running sum never sees
     two rows of one instant. It is then taken in two steps: over the seconds of
@@ -73,10 +73,10 @@ def running_credits(moments: DataFrame, log: DataFrame, credit_column: str | Non
     seconds = (
         instants.groupBy("account_id", "second")
         .agg(F.sum("credit").alias("credit"), F.max("asked").alias("asked"))
-        .withColumn("month", F.date_trunc("month", "second"))
+        .withColumn("span", F.date_trunc(span, "second"))
         .withColumn(
             "before_second",
-            F.sum("credit").over(before.partitionBy("account_id", "month").orderBy("second")),
+            F.sum("credit").over(before.partitionBy("account_id", "span").orderBy("second")),
         )
         .filter("asked")
         .select("account_id", "second", "before_second")

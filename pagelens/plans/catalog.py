@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import is_http_url, normalize_url, resolve_url
-from pagelens.operators import audit, emails, links, media, quality, registrations, usage, views
+from pagelens.operators import audit, emails, ledger, links, media, quality, registrations, usage, views
 from pagelens.plans import derived as D
 from pagelens.session import scratch_dir
 from pagelens.sources import payloads as P
@@ -475,6 +476,17 @@ def credits_before(spark, sf_dir):
     return before.select("request_id", "account_id", _micros("ts"), "used_credits")
 
 
+@query
+def credits_from_ledger(spark, sf_dir):
+    """The same from a ledger of the days before the last one, to which the last is added."""
+    requests, log = D.access_requests(spark, sf_dir), D.usage_log(spark, sf_dir)
+    path = scratch_dir(spark, "ledger")
+    ledger.write_ledger(ledger.credit_ledger(log, date(2024, 1, 30)), path)
+    ledger.extend_ledger(log, path, date(2024, 1, 31))
+    used = ledger.credits_from_ledger(requests, log, ledger.read_ledger(spark, path))
+    return used.select("request_id", "account_id", _micros("ts"), "used_credits")
+
+
 def _access(spark: SparkSession, sf_dir: str, policy: audit.AccessPolicy) -> DataFrame:
     known = D.registry(spark, sf_dir)
     return audit.access_audit(
@@ -571,3 +583,31 @@ def usage_append_stream(spark, sf_dir):
     requests = D.finished_columns(_event_stream(spark, sf_dir))
     out = _run(lambda p, c: S.stream_usage(requests, p, c, available_now=True), spark, "usage-stream")
     return out.withColumn("month", F.col("month").cast("string")).select(*_log_columns())
+
+
+def _sums_in_any_order(spark: SparkSession, sf_dir: str, columns, keys: list[str]) -> DataFrame:
+    """Sums of the events, which arrive in eight batches mixed by hash and are compacted on the way."""
+    events, folder, out = D.table(spark, sf_dir, "events"), scratch_dir(spark, "mixed-events"), scratch_dir(spark, "sums")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = columns(stream)
+    S.sum_stream(rows, keys, out, scratch_dir(spark, "sums-checkpoint"), compact_every=3, available_now=True).awaitTermination()
+    return S.read_sums(spark, out, rows.schema, keys)
+
+
+@query
+def usage_rollup_any_order(spark, sf_dir):
+    keys = ["hour", "endpoint", "status"]
+    sums = _sums_in_any_order(spark, sf_dir, lambda e: S.hourly_usage(D.usage_columns(e)), keys)
+    return sums.select(_micros("hour"), "endpoint", "status", "requests", "credits")
+
+
+@query
+def monthly_credits_any_order(spark, sf_dir):
+    return _sums_in_any_order(spark, sf_dir, lambda e: S.monthly_usage(D.usage_columns(e)), ["account_id", "month"])
+
+
+@query
+def rate_limit_any_order(spark, sf_dir):
+    sums = _sums_in_any_order(spark, sf_dir, lambda e: S.window_requests(D.burst_columns(e)), ["ip_address", "window_start"])
+    return S.over_limit(sums).select("ip_address", _micros("window_start"), "requests")

@@ -593,3 +593,11 @@ WITH {USAGE}, hours AS (SELECT *, us - us % 3600000000 AS hour FROM usage_log)
 SELECT hour, endpoint, response_code AS status, count(*) AS requests, CAST(sum(credit_used) AS DOUBLE) AS credits FROM hours
 GROUP BY hour, endpoint, response_code""",
 }
+
+# Other ways to the same rows.
+REFERENCE_SQL |= {
+    "credits_from_ledger": REFERENCE_SQL["credits_before"],
+    "usage_rollup_any_order": REFERENCE_SQL["usage_rollup_stream"],
+    "monthly_credits_any_order": REFERENCE_SQL["monthly_credits_stream"],
+    "rate_limit_any_order": REFERENCE_SQL["rate_limit_stream"],
+}

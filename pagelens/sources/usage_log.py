@@ -136,20 +136,24 @@ def _accepts_extended(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def append_usage(requests: DataFrame, path: str, columns: Collection[str] | None = None, batch: str | None = None) -> None:
+def append_usage(
+    requests: DataFrame, path: str, columns: Collection[str] | None = None, batch: str | None = None, daily: bool = False
+) -> None:
     """Append finished requests to the month-partitioned log.
 
     A log without the extended columns gets the short record. ``columns`` names the
     log's columns, so that they needn't be looked up in its files. With the name of a
     ``batch`` a batch that is appended again takes its own place: batches are folders
-    within a month, and only those of this batch are written over. A log is kept with
-    batches from its beginning, or without.
+    within a month, and only those of this batch are written over. ``daily`` puts a folder
+    per day into the month. A log is kept with batches (or days) from its beginning, or without.
     """
     known = None if columns is None else set(EXTENDED_COLUMNS) <= set(columns)
     extended = _accepts_extended(requests.sparkSession, path) if known is None else known
-    rows = with_month(usage_records(requests, extended))
+    rows, folders = with_month(usage_records(requests, extended)), ["month"]
+    if daily:
+        rows, folders = rows.withColumn("day", F.to_date("created")), [*folders, "day"]
     if batch is None:
-        rows.write.mode("append").partitionBy("month").parquet(path)
+        rows.write.mode("append").partitionBy(*folders).parquet(path)
         return
     named = rows.withColumn("batch", F.lit(batch))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(path)
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch").parquet(path)

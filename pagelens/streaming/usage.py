@@ -1,13 +1,18 @@
 """Streaming rate-limit audit, usage rollup, monthly credits and usage append.
 
-Rows later than the watermark are dropped. Aggregations combine on the map side
-of each micro-batch, so a busy address or account costs one row per task.
+Windowed streams keep their sums in state and drop rows later than the watermark.
+Sum streams (``sum_stream``) keep each micro-batch's sums as a table instead: they have no
+watermark, so rows may arrive in any order and at any time, and a reading adds the batches up.
+Aggregations combine on the map side of each micro-batch, so a busy address or account
+costs one row per task.
 """
 
 from __future__ import annotations
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelens.operators.usage import cleaned, positive_credit
@@ -119,5 +124,98 @@ def read_updates(spark: SparkSession, path: str, schema: str, base: str | None =
     return compacted.unionByName(rows.filter(F.col("batch_id") > (-1 if done is None else done)))
 
 
+def hourly_usage(log: DataFrame) -> DataFrame:
+    """Rows to be summed by hour, endpoint and status: requests and credits."""
+    rows = cleaned(log, keep=("created",))
+    return rows.select(
+        F.date_trunc("hour", "created").alias("hour"), "endpoint", "status",
+        F.lit(1).cast("bigint").alias("requests"), F.col("credit").alias("credits"),
+    )
+
+
+def monthly_usage(log: DataFrame) -> DataFrame:
+    """Rows with positive credits, to be summed by account and month."""
+    month = F.date_format("created", "yyyy-MM").alias("month")
+    return log.select("account_id", month, positive_credit(log).alias("credits")).filter("credits IS NOT NULL")
+
+
+def window_requests(requests: DataFrame, window: str = "15 minutes") -> DataFrame:
+    """Rows to be summed by address and window; ``over_limit`` keeps the windows that pass a limit."""
+    return requests.filter("ts IS NOT NULL").select(
+        "ip_address", F.window("ts", window)["start"].alias("window_start"), F.lit(1).cast("bigint").alias("requests")
+    )
+
+
+def over_limit(windows: DataFrame, limit: int = 100) -> DataFrame:
+    return windows.filter(F.col("requests") > limit)
+
+
+def sum_stream(
+    rows: DataFrame, keys: list[str], path: str, checkpoint: str, compact_every: int = 0, available_now: bool = False
+) -> StreamingQuery:
+    """Sums of all columns but ``keys`` of each micro-batch, one folder per batch (read by ``read_sums``).
+
+    A batch that is repeated after a failure overwrites its folder. Every ``compact_every``
+    batches those before the present one are added up to a base table beside them; folders
+    that an older base holds already are removed, so someone who listed the table before
+    still finds what they read.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        added = _added(batch, keys)
+        added.write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_sums(batch.sparkSession, path, added.schema, keys, batch_id - 1)
+
+    return _trigger(rows.writeStream.outputMode("append").foreachBatch(write_batch), available_now).start(
+        checkpointLocation=checkpoint
+    )
+
+
+def read_sums(spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str]) -> DataFrame:
+    """What a sum stream has added up so far: the newest base and the batches after it."""
+    return _added(_open_sums(spark, path, schema, _done(spark, path, "bases")), keys)
+
+
+def compact_sums(spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str], through: int) -> None:
+    """Add the newest base and the batches up to ``through`` up to a new base, and remove what the base before held."""
+    known = _done(spark, path, "bases")
+    if known is not None and known >= through:
+        return
+    rows = _open_sums(spark, path, schema, known, through)
+    _added(rows, keys).write.mode("overwrite").parquet(f"{path}/bases/through={through}")
+    if known is not None:
+        for kind, last in (("batches", known), ("bases", known - 1)):
+            for number, folder in _folders(spark, path, kind):
+                if number <= last:
+                    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])
+
+
+def _open_sums(spark: SparkSession, path: str, schema, base: int | None, through: int | None = None) -> DataFrame:
+    """Rows of a base and of the batches behind it."""
+    read = spark.read.schema(schema)
+    batches = [n for n, _ in _folders(spark, path, "batches") if n > (-1 if base is None else base) and (through is None or n <= through)]
+    folders = [f"{path}/batches/batch_id={n}" for n in sorted(batches)]
+    folders += [] if base is None else [f"{path}/bases/through={base}"]
+    return read.parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _done(spark: SparkSession, path: str, kind: str) -> int | None:
+    return max((n for n, _ in _folders(spark, path, kind)), default=None)
+
+
+def _folders(spark: SparkSession, path: str, kind: str) -> list[tuple[int, JavaObject]]:
+    """Numbers and paths of the completely written batches or bases of a table of sums."""
+    files = spark._jvm.org.apache.hadoop.fs
+    found = files.Path(f"{path}/{kind}/*=*/_SUCCESS")
+    marks = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    folders = [mark.getPath().getParent() for mark in marks]
+    return [(int(folder.getName().partition("=")[2]), folder) for folder in folders]
+
+
 def _trigger(writer, available_now: bool):
     return writer.trigger(availableNow=True) if available_now else writer

@@ -11,7 +11,7 @@ from pagelens.plans import derived as D
 from pagelens.sources import usage_log as L
 
 SF = "/root/testdata/sf0.001"
-WRITES = {n for n in entry.queries() if n.endswith("_stream") or n in ("usage_append", "view_sink")}
+WRITES = {n for n in entry.queries() if n.endswith(("_stream", "_any_order")) or n in ("usage_append", "view_sink")}
 
 
 def plan_of(df):

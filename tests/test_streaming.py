@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta, timezone
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pagelens.operators import audit, usage
@@ -90,3 +92,63 @@ def test_usage_append_stream_writes_each_request_once(spark, tmp_path):
         requests = D.finished_columns(stream_of(spark, folder, schema))
         S.stream_usage(requests, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
     assert spark.read.parquet(out).count() == D.table(spark, SF, "events").count()
+
+
+def test_sums_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    """Months that arrive mixed and long after each other, with a compaction every second batch."""
+    schema = "account_id string, credit_used long, created timestamp"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    day = timedelta(days=1)
+    rows = [(f"a{i % 3}", i % 4 - 1, START + (i * 37 % 200) * day) for i in range(70)] + [(None, 2, START), ("a1", 5, None), ("a1", None, START)] * 2
+    keys = ["account_id", "month"]
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        sums = S.monthly_usage(stream)
+        S.sum_stream(sums, keys, out, checkpoint, compact_every=2, available_now=True).awaitTermination()
+        return S.read_sums(spark, out, sums.schema, keys)
+
+    for part in range(6):
+        spark.createDataFrame(rows[part::6], schema).coalesce(1).write.mode("append").parquet(folder)
+        if part in (2, 4):
+            run()
+    key = lambda df: sorted((tuple(r) for r in df.select("account_id", "month", "credits").collect()), key=str)
+    got = key(run())
+    assert got == key(usage.monthly_credits(spark.createDataFrame(rows, schema))) != []
+    # Batches 0 and 1 are in a base and gone, the last ones are still there.
+    assert [n for n, _ in sorted(S._folders(spark, out, "batches"), key=lambda f: f[0])] == [2, 3, 4, 5]
+    assert sorted(n for n, _ in S._folders(spark, out, "bases")) == [1, 3]
+    # A compaction that runs again changes nothing.
+    sums = S.monthly_usage(spark.createDataFrame(rows, schema)).schema
+    S.compact_sums(spark, out, sums, keys, 3)
+    assert key(S.read_sums(spark, out, sums, keys)) == got
+
+
+def test_a_repeated_batch_is_counted_once(spark, tmp_path, monkeypatch):
+    """The job fails after a batch is written and compacted, and runs that batch again."""
+    schema = "account_id string, credit_used long, created timestamp"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for n in range(3):
+        spark.createDataFrame([("a", n + 1, START)], schema).coalesce(1).write.mode("append").parquet(folder)
+    compact = S.compact_sums
+
+    def run():
+        sums = S.monthly_usage(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        S.sum_stream(sums, ["account_id", "month"], out, checkpoint, compact_every=2, available_now=True).awaitTermination()
+        return S.read_sums(spark, out, sums.schema, ["account_id", "month"]).collect()
+
+    def failing(*args):
+        compact(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(S, "compact_sums", failing)
+    with pytest.raises(StreamingQueryException):
+        run()
+    monkeypatch.setattr(S, "compact_sums", compact)
+    assert [tuple(r) for r in run()] == [("a", "2026-04", 6.0)]
+
+
+def test_sums_of_an_empty_stream(spark, tmp_path):
+    schema = "ip_address string, ts timestamp"
+    rows = S.window_requests(spark.createDataFrame([], schema))
+    assert S.over_limit(S.read_sums(spark, str(tmp_path), rows.schema, ["ip_address", "window_start"])).count() == 0
