@@ -2,11 +2,14 @@
 
 Rules decide what they fit. Other URLs are judged by trees over features of the URL's text:
 lengths, depth, shares of digits and of hyphens, entropy, parameters, and statistics of the
-host's suffixes (how often labelled hosts with that suffix were bad, smoothed). URLs are
-labelled by the words of their host against a short list of bad ones, and generated URLs of
-both kinds stand in where a corpus has few. Suffixes are hashed to ``BUCKETS`` buckets, counted
-over all URLs in Spark; the trees are fitted to about ``TRAINING_URLS`` URLs, chosen by a
-hash, each seen with the statistics of the other folds.
+host's suffixes: how often URLs of other hosts with the same last three, two and one labels
+are bad, smoothed. These are exact counts over all labelled URLs, added up by Spark per suffix
+and fold of hosts; the fold of a host never describes it, in training or later.
+
+Labels come from a table of hosts, if one is given. Otherwise a host is bad if a word of it is on a
+short list, so that the trees can be no better than that list; generated URLs of both kinds then
+stand in where a corpus has few. The trees are fitted to about ``TRAINING_URLS`` different
+URLs, chosen by a hash.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.words import narrow_batches
+from pagelens.llm.words import narrow_batches, written
 
 TRAINING_URLS = 40_000
 GENERATED = 4_000
-BUCKETS, FOLDS = 1 << 14, 5
+FOLDS = 5
+# Labels of a host that a suffix has.
+SUFFIXES = (3, 2, 1)
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 3, 32, 0.2, 1.0
 
 # (verdict, host, path); a longer rule goes before a shorter one, the first of equal ones before the others.
@@ -87,12 +92,6 @@ def label(host: str) -> int:
     return int(not host or not BAD_WORDS.isdisjoint(_WORDS.findall(host)))
 
 
-def suffix_buckets(host: str) -> list[int]:
-    """Buckets of the host and of its last three and two labels."""
-    labels = host.split(".")
-    return [zlib.crc32(f"{n}:{'.'.join(labels[-n:])}".encode()) % BUCKETS for n in (99, 3, 2)]
-
-
 def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
@@ -168,26 +167,13 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(cuts, np.array(features), np.array(levels), np.array(leaves), shift)
 
 
-@dataclass(frozen=True)
-class Model:
-    trees: Trees
-    seen: np.ndarray  # URLs and bad ones per suffix bucket
-    bad: np.ndarray
-
-    def block(self, urls: list[str]) -> list[bool]:
-        rows = [featured(u, self.seen, self.bad) for u in urls]
-        return (self.trees.margin(np.array(rows)) >= 0).tolist() if rows else []
-
+def features(url: str, rates: tuple[float, ...]) -> list[float]:
+    return [*lexical(*split_url(url)), *rates]
 
-def featured(url: str, seen: np.ndarray, bad: np.ndarray) -> list[float]:
-    host, path, query = split_url(url)
-    rates = [(bad[b] + 0.5) / (seen[b] + 5.0) for b in suffix_buckets(host)]
-    return [*lexical(host, path, query), *rates]
 
-
-def fold_of(host: str) -> int:
-    """URLs of a host are in one fold, so its own label never describes it in training."""
-    return zlib.crc32(host.encode()) // BUCKETS % FOLDS
+def blocked(trees: Trees, urls: list[str], rates: list[tuple[float, ...]]) -> list[bool]:
+    rows = [features(u, r) for u, r in zip(urls, rates, strict=True)]
+    return (trees.margin(np.array(rows)) >= 0).tolist() if rows else []
 
 
 def generated(n: int, seed: int = 13) -> list[str]:
@@ -211,71 +197,105 @@ def generated(n: int, seed: int = 13) -> list[str]:
     return out
 
 
-def suffix_counts(urls: DataFrame) -> np.ndarray:
-    """URLs and bad ones by fold and suffix bucket, over all rows of url."""
+def listed_bad(host: Column) -> Column:
+    """``label`` as a column."""
+    words = F.array(*[F.lit(w) for w in sorted(BAD_WORDS)])
+    return ((host == "") | F.arrays_overlap(F.split(host, "[^a-z0-9]+"), words)).cast("int")
 
-    def count(batches):
-        counts = np.zeros((FOLDS * 2, BUCKETS), dtype=np.int64)
-        for batch in batches:
-            for url in batch.column(0).to_pylist():
-                host = split_url(url)[0]
-                places = suffix_buckets(host)
-                counts[2 * fold_of(host)][places] += 1
-                if label(host):
-                    counts[2 * fold_of(host) + 1][places] += 1
-        place, bucket = np.nonzero(counts)
-        columns = [pa.array(c) for c in (place.astype(np.int32), bucket.astype(np.int32), counts[place, bucket])]
-        yield pa.RecordBatch.from_arrays(columns, names=["place", "bucket", "n"])
-
-    # At most 2 FOLDS BUCKETS rows, whatever the corpus.
-    sums = narrow_batches(urls).mapInArrow(count, "place int, bucket int, n bigint").groupBy("place", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((FOLDS * 2, BUCKETS))
-    counts[sums.column("place").to_numpy(), sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
-    return counts.reshape(FOLDS, 2, BUCKETS)
-
-
-def train(pages: DataFrame, training_urls: int = TRAINING_URLS) -> Model:
-    """The trees for the pages' hosts; rows of null url aren't used."""
-    urls = pages.select(F.col("url").cast("string").alias("url")).filter("url is not null")
-    counts = suffix_counts(urls)
-    total = counts.sum(axis=0)
-    # Every URL counts in three buckets.
-    share = min(1.0, training_urls / max(1.0, total[0].sum() / 3))
-    chosen = urls.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < int(share * 1_000_003))
-    rows = sorted(chosen.toArrow().column(0).to_pylist()) + generated(GENERATED) + [""] * 50
-    x, y = [], []
-    for url in rows:
-        host = split_url(url)[0]
-        others = total - counts[fold_of(host)]
-        x.append(featured(url, others[0], others[1]))
-        y.append(label(host))
-    return Model(boosted(np.array(x), np.array(y, dtype=float)), total[0], total[1])
-
-
-def judge_urls(pages: DataFrame, rules=RULES, model: Model | None = None) -> DataFrame:
+
+def host_table(urls: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """host, n (its URLs) and bad (1, 0, or null if not labelled) of each host of ``urls(host)``."""
+    hosts = urls.groupBy("host").agg(F.count("*").alias("n"))
+    if labels is None:
+        return hosts.withColumn("bad", listed_bad(F.col("host")))
+    known = labels.groupBy(F.translate(F.col("host").cast("string"), *_ASCII).alias("host")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
+    return hosts.join(known, "host", "left")
+
+
+def _suffixes(host: Column) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.substring_index(host, ".", -k).alias("suffix")) for k in SUFFIXES]))
+
+
+def _fold() -> Column:
+    """URLs of a host are in one fold."""
+    return F.pmod(F.crc32(F.col("host").cast("binary")), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(hosts: DataFrame) -> DataFrame:
+    """Labelled URLs and bad ones by suffix (kind, suffix), and those of each fold as arrays."""
+    labelled = hosts.filter("bad IS NOT NULL").select(_fold().alias("fold"), "n", (F.col("n") * F.col("bad")).alias("n_bad"), _suffixes(F.col("host")).alias("s"))
+
+    def of_folds(name: str) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(name))), F.lit(0)) for f in range(FOLDS)])
+
+    return labelled.groupBy("s.kind", "s.suffix").agg(
+        F.sum("n").alias("seen"), F.sum("n_bad").alias("bad"), of_folds("n").alias("seen_in"), of_folds("n_bad").alias("bad_in")
+    )
+
+
+def host_rates(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host and its rates (in the order of SUFFIXES), from the other folds, for distinct hosts."""
+    keyed = hosts.select("host", _fold().alias("fold"), _suffixes(F.col("host")).alias("s")).select("host", "fold", "s.*")
+    others = [F.coalesce(F.col(c) - F.get(f"{c}_in", "fold"), F.lit(0)) for c in ("bad", "seen")]
+    rated = keyed.join(counts, ["kind", "suffix"], "left").select("host", "kind", ((others[0] + 0.5) / (others[1] + 5.0)).alias("rate"))
+    by_kind = [F.max(F.when(F.col("kind") == k, F.col("rate"))) for k in SUFFIXES]
+    return rated.groupBy("host").agg(F.array(*by_kind).alias("rates"))
+
+
+def train(urls: DataFrame, hosts: DataFrame, counts: DataFrame, listed: bool = True, training_urls: int = TRAINING_URLS) -> Trees:
+    """Trees for ``urls(url, host)``; with ``listed`` labels they also see generated URLs and some without a host.
+
+    What reaches the driver is about ``training_urls`` URLs, however often one of them stands in the table.
+    """
+    different = urls.agg(F.approx_count_distinct("url", 0.01)).first()[0]
+    share = min(1.0, training_urls / max(1, different))
+    chosen = urls.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < int(share * 1_000_003)).distinct()
+    sample = chosen.join(hosts.filter("bad IS NOT NULL").select("host", "bad"), "host")
+    if listed:
+        made = generated(GENERATED) + [""]
+        extra = urls.sparkSession.createDataFrame(pa.table({"url": made, "host": [split_url(u)[0] for u in made]}))
+        sample = sample.unionByName(extra.withColumn("bad", listed_bad(F.col("host"))))
+    rated = sample.join(host_rates(sample.select("host").distinct(), counts), "host").select("url", "bad", "rates").toArrow().to_pylist()
+    rows = sorted(((r["url"], r["bad"], tuple(r["rates"])) for r in rated))
+    # Not one URL but many of a real table may lack a host.
+    rows += [r for r in rows if r[0] == ""] * 50
+    if not rows:
+        raise ValueError("no URL of the table has a labelled host")
+    return boosted(np.array([features(u, r) for u, _, r in rows]), np.array([bad for _, bad, _ in rows], dtype=float))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, trees: Trees | None = None, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
     pages: page_id, url; other columns are not read. A null url, or one without ``://``, has
     empty host and path; no rule fits it, and the trees judge it as a URL without a host.
-    Repeated rows give repeated rows, no rows none.
+    Repeated rows give repeated rows, no rows none. labels(host, bad 0 or 1) replaces the word
+    list; a host that it labels both ways is bad, hosts it does not name are only judged.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(model or train(pages))
-
-    def judge(batches):
-        for batch in batches:
-            urls = batch.column("url").to_pylist()
-            decided = batch.column("verdict").to_pylist()
-            open_urls = [u for u, v in zip(urls, decided, strict=True) if v is None]
-            blocked = iter(sent.value.block(open_urls))
-            verdicts = [v or ("block" if next(blocked) else "allow") for v in decided]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string())],
-                names=["page_id", "host", "path", "rule", "verdict"],
-            )
-
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     host, path = url_parts(F.col("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    return narrow_batches(rows).mapInArrow(judge, "page_id bigint, host string, path string, rule string, verdict string")
+
+    hosts = written(host_table(rows.select("host"), labels), "url-hosts")
+    counts = written(suffix_counts(hosts), "url-suffixes")
+    if trees is None:
+        if not hosts.head(1):
+            return rows.select("page_id", "host", "path", "rule", "verdict")
+        trees = train(rows.select("url", "host"), hosts, counts, labels is None)
+    sent = pages.sparkSession.sparkContext.broadcast(trees)
+
+    def judge(batches):
+        for batch in batches:
+            rates = batch.column("rates").to_pylist()
+            bad = blocked(sent.value, batch.column("url").to_pylist(), rates)
+            verdicts = pa.array(["block" if b else "allow" for b in bad], pa.string())
+            kept = [batch.column(n) for n in ("page_id", "host", "path", "rule")]
+            yield pa.RecordBatch.from_arrays([*kept, verdicts], names=["page_id", "host", "path", "rule", "verdict"])
+
+    # Every host of the table is among the rated ones. Those of a busy host are split by adaptive execution.
+    ruled = rows.filter("verdict IS NOT NULL").select("page_id", "host", "path", "rule", "verdict")
+    rated = rows.filter("verdict IS NULL").join(host_rates(hosts, counts), "host")
+    judged = narrow_batches(rated).mapInArrow(judge, "page_id bigint, host string, path string, rule string, verdict string")
+    return ruled.unionByName(judged)

@@ -1,6 +1,8 @@
 import re
+import zlib
 
 import numpy as np
+import pytest
 
 from pagelens.llm import url_filter as U
 from pagelens.llm.queries import LLM_QUERIES
@@ -53,10 +55,10 @@ def test_held_out_hosts():
     """Hosts made of words in other combinations and draws, without statistics of their own."""
     urls = U.generated(1500, seed=77)
     y = np.array([U.label(U.split_url(u)[0]) for u in urls])
-    zero = np.zeros(U.BUCKETS)
+    none = (0.1, 0.1, 0.1)
     train = U.generated(U.GENERATED)
-    trees = U.boosted(np.array([U.featured(u, zero, zero) for u in train]), np.array([U.label(U.split_url(u)[0]) for u in train], float))
-    hit = np.array(U.Model(trees, zero, zero).block(urls))
+    trees = U.boosted(np.array([U.features(u, none) for u in train]), np.array([U.label(U.split_url(u)[0]) for u in train], float))
+    hit = np.array(U.blocked(trees, urls, [none] * len(urls)))
     assert (hit == y).mean() > 0.8
 
 
@@ -72,3 +74,55 @@ def test_query_against_labels_and_rules(spark):
             judged.append((U.label(host), r.verdict == "block"))
     assert sum(a == b for a, b in judged) / len(judged) > 0.95
     assert any(re.search("casino|pills|bets|spam|ads", r.host) and r.verdict == "block" and not r.rule for r in rows)
+
+
+def rates_by_hand(hosts, rows):
+    """Rates of hosts from all labelled rows (host, bad), by plain counting."""
+    fold = lambda h: zlib.crc32(h.encode()) % U.FOLDS
+    out = {}
+    for host in hosts:
+        rates = []
+        for k in U.SUFFIXES:
+            end = ".".join(host.split(".")[-k:])
+            others = [b for h, b in rows if b is not None and fold(h) != fold(host) and ".".join(h.split(".")[-k:]) == end]
+            rates.append((sum(others) + 0.5) / (len(others) + 5.0))
+        out[host] = rates
+    return out
+
+
+def test_suffix_statistics_equal_plain_counts(spark):
+    rng = np.random.default_rng(4)
+    names = ["a", "ads", "b-bets", "c", "x.ads", "é", "pills"]
+    hosts = ["", "org", "a..b", ".com"] + [f"{names[rng.integers(7)]}{rng.integers(9)}.{names[rng.integers(7)]}.{('org', 'co.uk')[rng.integers(2)]}" for _ in range(150)]
+    rows = [hosts[int(i)] for i in rng.integers(0, len(hosts), 600)] + ["hot.ads.org"] * 400
+    table = U.host_table(spark.createDataFrame([(h,) for h in rows], "host string"))
+    assert {r.host: (r.n, r.bad) for r in table.collect()} == {h: (rows.count(h), U.label(h)) for h in set(rows)}
+    asked = [*set(rows), "new.ads.org", "unseen"]
+    got = U.host_rates(spark.createDataFrame([(h,) for h in asked], "host string"), U.suffix_counts(table)).collect()
+    expected = rates_by_hand(asked, [(h, U.label(h)) for h in rows])
+    assert len(got) == len(asked) and all(np.allclose(r.rates, expected[r.host]) for r in got)
+
+
+def test_a_busy_url_is_sent_once(spark, monkeypatch):
+    """Training sees different URLs, however often one of them is repeated."""
+    seen = []
+    monkeypatch.setattr(U, "boosted", lambda x, y: seen.append(x.shape[0]) or "trees")
+    urls = ["http://busy.example.org/"] * 3000 + [f"http://h{i}.example.org/" for i in range(200)]
+    rows = spark.createDataFrame([(u, U.split_url(u)[0]) for u in urls], "url string, host string")
+    hosts = U.host_table(rows.select("host"))
+    U.train(rows, hosts, U.suffix_counts(hosts))
+    assert seen == [201 + 2 * U.GENERATED + 1 + 50]
+
+
+def test_labels_of_a_table(spark):
+    """Hosts with many digits are bad, which no word of them tells; a fifth of the hosts is not labelled."""
+    rng = np.random.default_rng(8)
+    bad = [int(i % 2) for i in range(1500)]
+    hosts = [f"{rng.integers(10**7, 10**8)}.net" if b else f"{U.PLAIN_WORDS[rng.integers(24)]}-{U.PLAIN_WORDS[rng.integers(24)]}{i % 7}.net" for i, b in enumerate(bad)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p", 0) for i, h in enumerate(hosts)], "page_id long, url string, bad int")
+    known = [(h.upper(), b) for i, (h, b) in enumerate(zip(hosts, bad, strict=True)) if i % 5]
+    got = {r.page_id: r.verdict == "block" for r in U.judge_urls(pages, labels=spark.createDataFrame([*known, (None, 1), ("x", None)], "host string, bad int")).collect()}
+    assert len(got) == 1500
+    assert sum(got[i] == bad[i] for i in range(0, 1500, 5)) > 290
+    with pytest.raises(ValueError):
+        U.judge_urls(pages, labels=spark.createDataFrame([], "host string, bad int"))
