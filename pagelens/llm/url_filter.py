@@ -32,6 +32,8 @@ GENERATED = 4_000
 FOLDS = 5
 # Labels of a host that a suffix has.
 SUFFIXES = (3, 2, 1)
+# A key is hot with more than a HOT-th of the rows, so fewer than HOT keys are; its rows are dealt over PLACES.
+HOT, PLACES = 100, 64
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 3, 32, 0.2, 1.0
 
 # (verdict, host, path); a longer rule goes before a shorter one, the first of equal ones before the others.
@@ -213,7 +215,8 @@ def host_table(urls: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def _suffixes(host: Column) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.substring_index(host, ".", -k).alias("suffix")) for k in SUFFIXES]))
+    """Suffixes of a host, each with its number of labels before it."""
+    return F.array(*[F.concat(F.lit(f"{k}:"), F.substring_index(host, ".", -k)) for k in SUFFIXES])
 
 
 def _fold() -> Column:
@@ -222,24 +225,43 @@ def _fold() -> Column:
 
 
 def suffix_counts(hosts: DataFrame) -> DataFrame:
-    """Labelled URLs and bad ones by suffix (kind, suffix), and those of each fold as arrays."""
-    labelled = hosts.filter("bad IS NOT NULL").select(_fold().alias("fold"), "n", (F.col("n") * F.col("bad")).alias("n_bad"), _suffixes(F.col("host")).alias("s"))
+    """Hosts of each suffix, their labelled URLs and bad ones, the latter two also by fold as arrays."""
+    labelled = F.when(F.col("bad").isNotNull(), F.col("n"))
+    rows = hosts.select(_fold().alias("fold"), labelled.alias("n"), (F.col("n") * F.col("bad")).alias("n_bad"), F.explode(_suffixes(F.col("host"))).alias("suffix"))
 
     def of_folds(name: str) -> Column:
         return F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(name))), F.lit(0)) for f in range(FOLDS)])
 
-    return labelled.groupBy("s.kind", "s.suffix").agg(
-        F.sum("n").alias("seen"), F.sum("n_bad").alias("bad"), of_folds("n").alias("seen_in"), of_folds("n_bad").alias("bad_in")
+    return rows.groupBy("suffix").agg(
+        F.count("*").alias("hosts"), F.sum("n").alias("seen"), F.sum("n_bad").alias("bad"), of_folds("n").alias("seen_in"), of_folds("n_bad").alias("bad_in")
     )
 
 
+def hot_keys(table: DataFrame, key: str, weight: str) -> list[str]:
+    """Keys of a table with one row per key that hold more than a HOT-th of all weight: fewer than HOT names."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    return [r[0] for r in table.filter(F.col(weight) > total / HOT).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: list[str], dealt_by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with ``side``, which has one row per key: rows of a hot key are dealt over places, each with a copy of that row."""
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    place = F.when(is_hot, F.pmod(F.xxhash64(*dealt_by), F.lit(PLACES)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("place", place).join(side.withColumn("place", F.explode(copies)), [key, "place"], how).drop("place")
+
+
 def host_rates(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """host and its rates (in the order of SUFFIXES), from the other folds, for distinct hosts."""
-    keyed = hosts.select("host", _fold().alias("fold"), _suffixes(F.col("host")).alias("s")).select("host", "fold", "s.*")
+    """host and its rates (in the order of SUFFIXES), from the other folds, for distinct hosts.
+
+    A hot suffix is one of very many hosts, as a country's or `com`.
+    """
+    keyed = hosts.select("host", _fold().alias("fold"), F.posexplode(_suffixes(F.col("host"))).alias("at", "suffix"))
+    hot = hot_keys(counts, "suffix", "hosts")
     others = [F.coalesce(F.col(c) - F.get(f"{c}_in", "fold"), F.lit(0)) for c in ("bad", "seen")]
-    rated = keyed.join(counts, ["kind", "suffix"], "left").select("host", "kind", ((others[0] + 0.5) / (others[1] + 5.0)).alias("rate"))
-    by_kind = [F.max(F.when(F.col("kind") == k, F.col("rate"))) for k in SUFFIXES]
-    return rated.groupBy("host").agg(F.array(*by_kind).alias("rates"))
+    rated = spread_join(keyed, counts, "suffix", hot, ["host"], "left").select("host", "at", ((others[0] + 0.5) / (others[1] + 5.0)).alias("rate"))
+    by_length = [F.max(F.when(F.col("at") == i, F.col("rate"))) for i in range(len(SUFFIXES))]
+    return rated.groupBy("host").agg(F.array(*by_length).alias("rates"))
 
 
 def train(urls: DataFrame, hosts: DataFrame, counts: DataFrame, listed: bool = True, training_urls: int = TRAINING_URLS) -> Trees:
@@ -294,8 +316,8 @@ def judge_urls(pages: DataFrame, rules=RULES, trees: Trees | None = None, labels
             kept = [batch.column(n) for n in ("page_id", "host", "path", "rule")]
             yield pa.RecordBatch.from_arrays([*kept, verdicts], names=["page_id", "host", "path", "rule", "verdict"])
 
-    # Every host of the table is among the rated ones. Those of a busy host are split by adaptive execution.
+    # Every host of the table is among the rated ones.
     ruled = rows.filter("verdict IS NOT NULL").select("page_id", "host", "path", "rule", "verdict")
-    rated = rows.filter("verdict IS NULL").join(host_rates(hosts, counts), "host")
+    rated = spread_join(rows.filter("verdict IS NULL"), host_rates(hosts, counts), "host", hot_keys(hosts, "host", "n"), ["page_id", "url"])
     judged = narrow_batches(rated).mapInArrow(judge, "page_id bigint, host string, path string, rule string, verdict string")
     return ruled.unionByName(judged)

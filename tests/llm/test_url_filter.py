@@ -100,9 +100,19 @@ def test_suffix_statistics_equal_plain_counts(spark):
     asked = [*set(rows), "new.ads.org", "unseen"]
     got = U.host_rates(spark.createDataFrame([(h,) for h in asked], "host string"), U.suffix_counts(table)).collect()
     expected = rates_by_hand(asked, [(h, U.label(h)) for h in rows])
+    assert U.hot_keys(table, "host", "n")[:1] and "1:org" in U.hot_keys(U.suffix_counts(table), "suffix", "hosts")
     assert len(got) == len(asked) and all(np.allclose(r.rates, expected[r.host]) for r in got)
 
 
+def test_rows_of_a_hot_key_are_dealt_over_places(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"h{i % 7}") for i in range(3000)] + [(1, "hot"), (5000, "none")], "i int, host string")
+    side = spark.createDataFrame([("hot", 1), *((f"h{i}", 2) for i in range(7)), ("unused", 3)], "host string, x int")
+    inner = U.spread_join(rows, side, "host", ["hot"], ["i"])
+    assert sorted(map(tuple, inner.collect())) == sorted(map(tuple, rows.join(side, "host").collect()))
+    assert U.spread_join(rows, side, "host", ["hot", "unused"], ["i"], "left").count() == rows.count()
+    assert U.spread_join(rows, side, "host", [], ["i"], "left").count() == rows.count()
+
+
 def test_a_busy_url_is_sent_once(spark, monkeypatch):
     """Training sees different URLs, however often one of them is repeated."""
     seen = []
