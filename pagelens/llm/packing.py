@@ -90,20 +90,21 @@ class Ids:
         first, *rest = text.split(" ")
         # A part that is empty or has white space at an end belongs to a longer run of white space.
         if any(not p or p[0].isspace() or p[-1].isspace() for p in (first, *rest)):
-            return self._uneven(first, rest)
+            return self._uneven(text, first, rest)
         known = self.known.get
         return b"".join([known(p) or self.part(p) for p in chain((first,), [f" {p}" for p in rest])])
 
-    def _uneven(self, first: str, rest: list[str]) -> bytes:
-        """The same, with parts that touch a run of white space taken together."""
-        ids, held, glued = [], first, not first or first[-1].isspace()
+    def _uneven(self, text: str, first: str, rest: list[str]) -> bytes:
+        """The same, with parts that touch a run of white space taken together, as one slice of the text."""
+        ids, start, end, glued = [], 0, len(first), not first or first[-1].isspace()
         for part in rest:
-            if glued or not part or part[0].isspace():
-                held = f"{held} {part}"
-            else:
+            if not glued and part and not part[0].isspace():
+                held = text[start:end]
                 ids.append(self.known.get(held) or self.part(held))
-                held = f" {part}"
+                start = end
+            end += 1 + len(part)
             glued = not part or part[-1].isspace()
+        held = text[start:end]
         ids.append((self.known.get(held) or self.part(held)) if held else b"")
         return b"".join(ids)
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,15 @@ def test_ids_equal_the_tokenizer_on_any_text(text):
     assert np.frombuffer(P.ids_of(*FILES).of(text), "<u4").tolist() == expected(REFERENCE, text)
 
 
+def test_long_runs_of_blanks_take_linear_time(reference):
+    ids = P.ids_of(*FILES)
+    text = "start" + " " * 20_000 + "end  of a " * 3
+    assert np.frombuffer(ids.of(text), "<u4").tolist() == expected(reference, text)
+    begun = time.process_time()
+    ids.of(" " * 2_000_000 + "a")
+    assert time.process_time() - begun < 10
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins = P.best_fit([6, 5, 3, 4, 2], 10)
     assert sorted(sorted(b) for b in bins) == [[0, 3], [1, 2, 4]]
