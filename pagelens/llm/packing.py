@@ -36,6 +36,9 @@ LOCAL_ITEMS = 100_000
 ROUND_ITEMS = 20_000
 # Different words whose ids a task remembers.
 CACHE_WORDS = 150_000
+# Characters without a place to cut, as a run of blanks, beyond which the JSON file's tokenizer is
+# used: the patterns of the other stop at a million blanks.
+LONG_PART = 100_000
 SPECIAL = "<|endoftext|>"
 
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
@@ -77,6 +80,8 @@ class Ids:
         return Tokenizer.from_file(self.tokenizer_file)
 
     def part(self, part: str) -> bytes:
+        if len(part) > LONG_PART:
+            return np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
         ids = np.array(self.encoder.encode_ordinary(part), dtype="<u4").tobytes()
         if len(self.known) >= CACHE_WORDS:
             self.known.clear()
