@@ -17,38 +17,37 @@ ATTRIBUTES = ("alt", "format", "score", "width", "height", "group_id")
 
 
 def _tagged(position: int, bucket: str, kind: str) -> Column:
-    """The entries of one bucket with their place in it."""
+    """The entries of one bucket with their place in it, sources as they were written."""
     return F.transform(
         F.coalesce(F.col(bucket), F.array().cast(R.MEDIA_TYPE)),
         lambda m, i: F.struct(
-            F.lit(position).alias("bucket_pos"), F.lit(bucket).alias("bucket"), F.lit(kind).alias("kind"),
-            i.alias("pos"), m.alias("m"),
+            F.lit(bucket).alias("bucket"), F.coalesce(if_non_blank(m["type"]), F.lit(kind)).alias("type"), m["src"].alias("src"),
+            F.struct(i.alias("pos"), F.lit(position).alias("bucket_pos"), *[m[a].alias(a) for a in ATTRIBUTES]).alias("entry"),
         ),
     )
 
 
-def _item(tagged: Column) -> Column:
-    m = tagged["m"]
-    return F.struct(
-        *[tagged[n].alias(n) for n in ("bucket_pos", "bucket", "pos")],
-        F.coalesce(if_non_blank(m["type"]), tagged["kind"]).alias("type"),
-        resolve_against(m["src"], F.col("page")).alias("src"),
-        *[(if_non_blank(m[a]) if a in ("alt", "format") else m[a]).alias(a) for a in ATTRIBUTES],
-    )
-
-
-def media_rows(records: DataFrame) -> DataFrame:
-    """Every media entry as a row with its absolute source URL.
+def _written_rows(records: DataFrame) -> DataFrame:
+    """Every media entry as a row with its source as written and the page it is seen from.
 
-    The page URL is taken apart once per record, and entries without a source
-    are left out while still in their array.
+    Records are dealt anew before they fan out: however few files or row groups hold them,
+    all tasks share the entries.
     """
     page = F.coalesce(non_empty("url"), non_empty("redirected_url"), F.col("target"))
-    located = R.usable(records, R.has_media).withColumn("page", url_parts(with_plain_host(page)))
-    items = F.transform(F.concat(*[_tagged(n, b, k) for n, (b, k) in enumerate(BUCKETS)]), _item)
-    located = located.select(*KEYS, "record_pos", F.filter(items, lambda m: m["src"].isNotNull()).alias("items"))
-    found = F.transform("items", lambda m: m.withField("src", with_plain_host(m["src"])))
-    return located.select(*KEYS, "record_pos", F.explode(found).alias("m")).select(*KEYS, "record_pos", "m.*")
+    dealt = R.usable(records, R.has_media).select(*KEYS, "record_pos", page.alias("page"), *[b for b, _ in BUCKETS])
+    items = F.concat(*[_tagged(n, b, k) for n, (b, k) in enumerate(BUCKETS)])
+    return dealt.repartition(*KEYS, "record_pos").select(*KEYS, "record_pos", "page", F.explode(items).alias("m")).select(
+        *KEYS, "page", "m.bucket", "m.type", "m.src", F.struct("record_pos", "m.entry.*").alias("first")
+    )
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    """The rows with absolute source URLs instead of those written on ``page``; rows without a source are left out."""
+    kept = [c for c in rows.columns if c not in ("page", "src")]
+    # Left out while in an array: a filter behind the projection would be moved below it and resolve every source twice.
+    found = F.filter(F.array(resolve_against("src", F.col("parts"))), lambda s: s.isNotNull())
+    located = rows.withColumn("parts", url_parts(with_plain_host("page")))
+    return located.select(*kept, F.explode(F.transform(found, with_plain_host)).alias("src"))
 
 
 def _first(columns: tuple[str, ...], order: tuple[str, ...]) -> Column:
@@ -57,14 +56,17 @@ def _first(columns: tuple[str, ...], order: tuple[str, ...]) -> Column:
 
 
 def media_inventory(records: DataFrame) -> DataFrame:
-    """One row per (target, bucket, type, src) with the first entry's attributes."""
-    first = _first(("bucket_pos", *ATTRIBUTES), ("record_pos", "pos"))
-    return (
-        media_rows(records)
-        .groupBy(*KEYS, "bucket", "type", "src")
-        .agg(first.alias("first"))
-        .select(*KEYS, "bucket", "type", "src", "first.*")
-    )
+    """One row per (target, bucket, type, src) with the first entry's attributes.
+
+    Entries that are written alike on the same page collapse first, so a source is
+    resolved once for all of them.
+    """
+    # The first by place; between entries of one place the rest of them decides.
+    first = F.min("first").alias("first")
+    written = _written_rows(records).groupBy(*KEYS, "page", "bucket", "type", "src").agg(first)
+    found = _located(written).groupBy(*KEYS, "bucket", "type", "src").agg(first)
+    attributes = [(if_non_blank(F.col(f"first.{a}")) if a in ("alt", "format") else F.col(f"first.{a}")).alias(a) for a in ATTRIBUTES]
+    return found.select(*KEYS, "bucket", "type", "src", "first.bucket_pos", *attributes)
 
 
 def media_all(inventory: DataFrame) -> DataFrame:

@@ -176,3 +176,29 @@ def test_link_map_against_brute_force(spark):
     assert len(mapped) == len(expected)
     external = links.overlap_free_external(links.link_rows(spark.createDataFrame(rows, schema))).collect()
     assert {(r.target, r.url) for r in external} == {k for k, b in expected.items() if b == "external"}
+
+
+def test_entries_written_alike_collapse_before_they_are_resolved(spark):
+    schema = "request_id string, target string, record_pos int, url string, redirected_url string, has_media boolean, " + ", ".join(
+        f"{b} {R.MEDIA_TYPE}" for b in ("images", "videos", "audios")
+    )
+
+    def shot(src, alt, kind=None):
+        return (src, kind, alt, None, None, None, None, None)
+
+    rows = [
+        ("r", "t", 2, "https://a.test/x/", None, True, [shot("i.png", "late"), shot(" i.png#f", "later")], None, None),
+        ("r", "t", 1, "https://a.test/y/", None, True, [shot("i.png", "other page"), shot("../x/i.png", " ")], [shot("i.png", "film")], None),
+        (None, None, 1, "https://a.test/x/", None, True, [shot("i.png", "no keys"), shot("", "none"), shot(None, "none")], None, []),
+        ("r", "t", 0, "https://a.test/x/", None, False, [shot("i.png", "not usable")], None, None),
+        ("q", "https://b.test/", 0, None, "", True, [shot("i.png", "target", "IMG"), shot("i.png", "again", "IMG"), shot("i.png", "b", " ")], None, None),
+    ]
+    found = {tuple(r[:6]) + (r.alt,) for r in media.media_inventory(spark.createDataFrame(rows, schema).coalesce(1)).collect()}
+    assert found == {
+        ("r", "t", "images", "image", "https://a.test/x/i.png", 0, None),
+        ("r", "t", "images", "image", "https://a.test/y/i.png", 0, "other page"),
+        ("r", "t", "videos", "video", "https://a.test/y/i.png", 1, "film"),
+        (None, None, "images", "image", "https://a.test/x/i.png", 0, "no keys"),
+        ("q", "https://b.test/", "images", "IMG", "https://b.test/i.png", 0, "target"),
+        ("q", "https://b.test/", "images", "image", "https://b.test/i.png", 0, "b"),
+    }

@@ -92,3 +92,16 @@ def test_a_hot_key_is_split_over_tasks(spark):
     finally:
         for key in tight:
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["media_inventory", "media_counts", "media_all", "page_media"])
+def test_sources_are_resolved_once_behind_the_deal(spark, name):
+    """One file holds all records: its task must not resolve their sources too, and copies must have collapsed before."""
+    plan = plan_of(entry.queries()[name](spark, SF))
+    *above, scan = plan.split("Exchange ")
+    entries = above[-1]
+    assert "://shop.test" in plan or name == "page_media"
+    assert "explode" in entries and "Aggregate" in entries
+    address = "[hH][tT][tT][pP]([sS]?):[/\\\\]*"
+    assert address not in entries and any(address in part for part in above[:-1])
+    assert name == "page_media" or address not in scan
