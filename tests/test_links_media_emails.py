@@ -202,3 +202,11 @@ def test_entries_written_alike_collapse_before_they_are_resolved(spark):
         ("q", "https://b.test/", "images", "IMG", "https://b.test/i.png", 0, "target"),
         ("q", "https://b.test/", "images", "image", "https://b.test/i.png", 0, "b"),
     }
+
+
+def test_overlap_needs_all_keys(spark):
+    rows = [(r, t, b, u) for r, t, u in [("r", "t", "u"), (None, "t", "u"), ("r", None, "u"), ("r", "t", None)] for b in ("external", "internal", "external")]
+    rows += [("r", "t", "external", "v"), ("r", "t", "internal", "w"), ("q", "t", "external", "w"), ("r", "t", None, "x"), ("r", "t", "other", "y")]
+    frame = spark.createDataFrame(rows, "request_id string, target string, bucket string, url string")
+    found = links.overlap_free_external(frame).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(None, "t", "u"), ("r", None, "u"), ("r", "t", None), ("r", "t", "v"), ("q", "t", "w")]))
