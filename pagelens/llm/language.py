@@ -10,10 +10,12 @@
   languages, so all models together have at most ``MODEL_ENTRIES`` entries whatever the corpus
   (grams that share a slot are counted as one). Slots are stored as sorted arrays with the
   discounted count, or the total and the weight of the next lower order, beside them.
-* The language with the least cross-entropy a character is predicted. Documents that took
-  no part in the counts calibrate two things: a logistic curve from the lead over the second
-  language to the probability of being right (a text without a lead is right by chance), and
-  the limit of cross-entropy, by text length, beyond which a text is in no known language.
+* The language with the least cross-entropy a character is predicted. Two things are
+  calibrated: a logistic curve from the lead over the second language to the probability of
+  being right (a text without a lead is right by chance), and the limit of cross-entropy, by
+  text length, beyond which a text is in no known language. A model counted without a tenth
+  of the documents measures that whole tenth, in sums that Spark adds up; the model
+  that predicts is then counted over all of them.
 """
 
 from __future__ import annotations
@@ -22,16 +24,15 @@ import functools
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.toxicity import logistic
-from pagelens.llm.words import as_bytes, small_batches, written
+from pagelens.llm.words import as_bytes, narrow_batches, small_batches, written
 
 ORDER = 4
 # Entries of all models, for grams and again for contexts: about 80 MB at most.
@@ -40,8 +41,8 @@ MOST_BITS = 20
 # An unknown character has one in so many chances.
 ALPHABET = 1 << 16
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 4"
-# Training documents in so many that calibrate instead of being counted, and about how many of those are used.
-CALIBRATION_SHARE, CALIBRATION_ROWS = 10, 5_000
+# One of so many training documents measures the model that is counted without it.
+CALIBRATION_SHARE = 10
 # Share of texts in known languages that the limit of cross-entropy lets pass.
 ACCEPTED_SHARE = 0.999
 UNKNOWN = "und"
@@ -50,6 +51,8 @@ BOUNDARY = " "
 _FACTOR = 0x9E3779B97F4A7C15
 # Positions hashed together, characters of remembered words, distinct words counted together.
 SLICE, CACHE_CHARS, COUNTED_WORDS = 1 << 17, 4_000_000, 200_000
+# Bins of a round, and rounds, in which the limit is found.
+LIMIT_BINS, LIMIT_ROUNDS = 1024, 5
 
 
 @functools.cache
@@ -203,25 +206,26 @@ class Costs:
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
-    """lang, word, n of rows with lang and text."""
+    """lang, word, n, kept of rows with lang, text and spared: kept counts the rows that aren't spared."""
 
-    def flush(counts: dict[str, Counter]):
-        rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
-        columns = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+    def flush(counts: dict[tuple[str, bool], Counter]):
+        rows = [(lang, word, n, 0 if spared else n) for (lang, spared), words in counts.items() for word, n in words.items()]
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "word", "n", "kept"])
 
     def count(batches):
-        counts: dict[str, Counter] = {}
+        counts: dict[tuple[str, bool], Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(words_of(text))
+            for lang, spared, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "spared", "text")), strict=True):
+                counts.setdefault((lang, spared), Counter()).update(words_of(text))
             if sum(map(len, counts.values())) > COUNTED_WORDS:
                 yield from flush(counts)
                 counts = {}
         yield from flush(counts)
 
-    counted = small_batches(docs.select("lang", as_bytes("text"))).mapInArrow(count, "lang string, word string, n bigint")
-    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = small_batches(docs.select("lang", "spared", as_bytes("text"))).mapInArrow(count, "lang string, word string, n bigint, kept bigint")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
 
 
 GRAM = "lang string, ord int, h bigint, context bigint, ending bigint, ending_context bigint, begins boolean, n bigint"
@@ -280,7 +284,12 @@ def _hashed(rows: pa.Table, languages: list[str], order: int, *values: str) -> l
 
 def count_model(docs: DataFrame, order: int = ORDER) -> Model:
     """The models of all languages of rows with lang and text, not calibrated."""
-    grams = written(_count_grams(written(_count_words(docs), "words"), order), "grams")
+    return word_model(written(_count_words(docs.withColumn("spared", F.lit(False))), "words").select("lang", "word", "n"), order)
+
+
+def word_model(words: DataFrame, order: int = ORDER) -> Model:
+    """The models of all languages of counted words (lang, word, n), not calibrated."""
+    grams = written(_count_grams(words, order), "grams")
     counts = written(adjusted_counts(grams, order), "adjusted")
     # A row for each language and order.
     once, twice = (F.count_if(F.col("a") == k).alias(name) for k, name in ((1, "once"), (2, "twice")))
@@ -289,7 +298,7 @@ def count_model(docs: DataFrame, order: int = ORDER) -> Model:
     bits = model_bits(len(languages), order)
     # The discount that Kneser and Ney take from every count; a half where nothing is known.
     discounts = [(r.lang, r.ord, min(0.95, max(0.1, r.once / (r.once + 2 * r.twice))) if r.once else 0.5) for r in rows]
-    known = F.broadcast(docs.sparkSession.createDataFrame(discounts, "lang string, ord int, discount double"))
+    known = F.broadcast(words.sparkSession.createDataFrame(discounts, "lang string, ord int, discount double"))
     counts = counts.join(known, ["lang", "ord"])
     mass = counts.groupBy("lang", "ord", _slot(F.col("h"), bits).alias("slot")).agg(F.sum(F.greatest(F.col("a") - F.col("discount"), F.lit(0.0))).alias("mass"))
     taken = F.sum(F.least(F.col("discount"), F.col("a").cast("double")))
@@ -317,55 +326,158 @@ def ranked(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best, least / np.maximum(size, 1), np.maximum(others.min(axis=1) - least, 0)
 
 
-def calibrate(model: Model, bits: np.ndarray, size: np.ndarray, langs: list[str]) -> Model:
-    """The curve and the limit, from texts of known language."""
+@dataclass
+class Texts:
+    """Measured texts of known language: its number, the best one's, bits a character, the lead in bits, and characters."""
+
+    own: np.ndarray
+    best: np.ndarray
+    entropy: np.ndarray
+    lead: np.ndarray
+    size: np.ndarray
+
+
+# Sums (or what the other function merges) of a function's values over all parts of the texts.
+Over = Callable[..., np.ndarray]
+
+
+def measured_texts(model: Model, bits: np.ndarray, size: np.ndarray, langs: list[str]) -> Texts:
+    """The texts that have characters and a language of the model."""
     number = {lang: i for i, lang in enumerate(model.languages)}
     own = np.array([number.get(lang, -1) for lang in langs], dtype=np.int64)
     used = np.flatnonzero((own >= 0) & (size > 0))
-    bits, size, own = bits[used], size[used], own[used]
-    best, entropy, lead = ranked(bits, size)
+    best, entropy, lead = ranked(bits[used], size[used])
+    return Texts(own[used], best, entropy, lead, size[used])
+
+
+def _curve(over: Over, languages: int) -> tuple[float, float]:
+    """Slope and shift of the probability of being right by log lead: Newton's method with a small ridge."""
+    weights = np.zeros(2)
+
+    def parts(x: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-np.clip(weights[0] * x + weights[1], -30, 30)))
+        off, bend = times * (y - p), times * p * (1 - p)
+        return np.array([off @ x, off.sum(), bend @ (x * x), bend @ x, bend.sum()])
+
     # Texts without a lead: one of each language, and the first is always said.
-    x = np.concatenate([np.log1p(lead), np.zeros(len(number))])
-    y = np.concatenate([best == own, np.arange(len(number)) == 0]).astype(float)
-    model.slope, model.shift = logistic(x, y)
-    model.mean = [float(np.average(entropy[own == i], weights=size[own == i])) if (own == i).any() else math.log2(ALPHABET) for i in number.values()]
-    right = best == own
-    if right.sum() >= 20:
-        off = entropy[right] - np.array(model.mean)[own[right]]
-        # Variance by text length: a part that falls with it, and one that stays.
-        design = np.stack([1 / size[right], np.ones(right.sum())], axis=1)
-        weight = size[right] / (1 + size[right] / 500)  # short texts scatter more
-        falls, stays = np.linalg.lstsq(design * weight[:, None], off**2 * weight, rcond=None)[0]
-        model.spread = (max(float(falls), 1e-3), max(float(stays), 1e-6))
-        model.limit = float(np.quantile(off / np.sqrt(model.spread[0] / size[right] + model.spread[1]), ACCEPTED_SHARE))
+    chance = np.zeros(2), np.array([1.0, 0.0]), np.array([1.0, languages - 1.0])
+    for _ in range(50):
+        now = weights.copy()
+        sums = parts(*chance, now) + over(lambda t: parts(np.log1p(t.lead), (t.best == t.own).astype(float), np.ones(len(t.own)), now))  # noqa: B023
+        step = np.linalg.solve(np.array([[sums[2], sums[3]], [sums[3], sums[4]]]) + 1e-3 * np.eye(2), sums[:2] - 1e-3 * now)
+        weights = now + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(max(weights[0], 0.0)), float(weights[1])
+
+
+def _share_limit(over: Over, values: Callable[[Texts], np.ndarray], count: int) -> float:
+    """The value that ACCEPTED_SHARE of the texts don't exceed, by counts in ever narrower bins."""
+    low, high = -over(lambda t: np.max(-values(t), initial=-np.inf)[None], np.maximum)[0], over(lambda t: np.max(values(t), initial=-np.inf)[None], np.maximum)[0]
+    wanted = math.ceil(ACCEPTED_SHARE * count)
+    for _ in range(LIMIT_ROUNDS):
+        edges = np.linspace(low, high, LIMIT_BINS + 1)
+        if not (np.diff(edges) > 0).all():
+            break
+        # Texts at or below each edge.
+        below = over(lambda t: np.searchsorted(np.sort(values(t)), edges, side="right"))  # noqa: B023
+        at = int(np.searchsorted(below, wanted))
+        if at == 0:
+            return float(low)
+        low, high = edges[at - 1], edges[min(at, LIMIT_BINS)]
+    return float(high)
+
+
+def fit(model: Model, over: Over) -> Model:
+    """The curve and the limit, from sums over measured texts."""
+    languages = len(model.languages)
+    model.slope, model.shift = _curve(over, languages)
+    known = over(lambda t: np.concatenate([np.bincount(t.own, w, languages) for w in (t.entropy * t.size, t.size)]))
+    mean = np.where(known[languages:] > 0, known[:languages] / np.maximum(known[languages:], 1), math.log2(ALPHABET))
+    model.mean = mean.tolist()
+
+    def right(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(t.best == t.own)
+        return t.entropy[at] - mean[t.own[at]], t.size[at]
+
+    count = int(over(lambda t: np.array([(t.best == t.own).sum()]))[0])
+    if count >= 20:
+
+        def normal(t: Texts) -> np.ndarray:
+            off, size = right(t)
+            # Variance by text length: a part that falls with it, and one that stays.
+            design = np.stack([1 / size, np.ones(len(size))], axis=1)
+            weight = (size / (1 + size / 500)) ** 2  # short texts scatter more
+            return np.concatenate([(design.T * weight @ design).ravel(), design.T @ (weight * off**2)])
+
+        sums = over(normal)
+        falls, stays = np.linalg.lstsq(sums[:4].reshape(2, 2), sums[4:], rcond=None)[0]
+        model.spread = falls, stays = max(float(falls), 1e-3), max(float(stays), 1e-6)
+
+        def scaled(t: Texts) -> np.ndarray:
+            off, size = right(t)
+            return off / np.sqrt(falls / size + stays)
+
+        model.limit = _share_limit(over, scaled, count)
     return model
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Model:
-    """The calibrated model of the rows outside the held-out quarter that have a language."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).filter(f"{HELD_OUT} <> 2")
-    h = F.xxhash64("doc_id")
-    spared = F.pmod(h, F.lit(CALIBRATION_SHARE)) == 0
-    model = count_model(rows.filter(~spared), order)
-    if not model.languages:
-        return model
-    # Which of the spared documents are used follows from another part of the hash.
-    share = min(1.0, CALIBRATION_ROWS / max(1, rows.filter(spared).count()))
-    chosen = rows.filter(spared & (F.pmod(F.shiftright(h, 24), F.lit(1_000_003)) < math.ceil(share * 1_000_003)))
+def calibrate(model: Model, bits: np.ndarray, size: np.ndarray, langs: list[str]) -> Model:
+    """The curve and the limit, from a few texts of known language."""
+    texts = measured_texts(model, bits, size, langs)
+    return fit(model, lambda part, merge=np.add: part(texts))
+
+
+def _measured(docs: DataFrame, model: Model) -> DataFrame:
+    """The numbers of ``Texts`` for rows with lang and text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"b{i}" for i in range(len(model.languages))]
+    names = ["own", "best", "entropy", "lead", "size"]
 
     def measure(batches):
         costs = Costs(sent.value)
         for batch in batches:
             bits, size = costs.of([words_of(t) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(size), *(pa.array(b) for b in bits.T)], names=["lang", "size", *names])
+            texts = measured_texts(sent.value, bits, size, batch.column("lang").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(getattr(texts, n)) for n in names], names=names)
+
+    return small_batches(docs.select("lang", as_bytes("text"))).mapInArrow(measure, "own bigint, best bigint, entropy double, lead double, size bigint")
+
+
+def _over(measured: DataFrame) -> Over:
+    """Sums over a table of measured texts: every task gives one row."""
+
+    def over(part: Callable[[Texts], np.ndarray], merge: np.ufunc = np.add) -> np.ndarray:
+        empty = Texts(*(np.zeros(0, dtype=np.int64) if n in ("own", "best", "size") else np.zeros(0) for n in ("own", "best", "entropy", "lead", "size")))
+
+        def merged(batches):
+            found = part(empty)
+            for batch in batches:
+                found = merge(found, part(Texts(*(np.asarray(batch.column(n)) for n in ("own", "best", "entropy", "lead", "size")))))
+            yield pa.RecordBatch.from_arrays([pa.array([found.astype(float).tolist()], pa.list_(pa.float64()))], names=["found"])
 
-    schema = "lang string, size bigint, " + ", ".join(f"{n} double" for n in names)
-    found = small_batches(chosen.select("lang", as_bytes("text"))).mapInArrow(measure, schema).toArrow()
-    bits = np.stack([found.column(n).to_numpy() for n in names], axis=1)
-    return calibrate(model, bits, found.column("size").to_numpy(), found.column("lang").to_pylist())
+        rows = narrow_batches(measured).mapInArrow(merged, "found array<double>").collect()
+        return merge.reduce([np.array(r.found) for r in rows], axis=0) if rows else part(empty).astype(float)
+
+    return over
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """The calibrated model of the rows outside the held-out quarter that have a language."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).filter(f"{HELD_OUT} <> 2")
+    rows = rows.withColumn("spared", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_SHARE)) == 0)
+    words = written(_count_words(rows), "words")
+    model = word_model(words.select("lang", "word", "n"), order)
+    if not model.languages:
+        return model
+    kept = word_model(words.filter("kept > 0").select("lang", "word", F.col("kept").alias("n")), order)
+    if not kept.languages:
+        return calibrate(model, np.zeros((0, len(model.languages))), np.zeros(0, dtype=np.int64), [])
+    kept = fit(kept, _over(written(_measured(rows.filter("spared"), kept), "measured")))
+    # A language that only spared documents have was not measured.
+    mean = dict(zip(kept.languages, kept.mean, strict=True))
+    means = [mean.get(lang, math.log2(ALPHABET)) for lang in model.languages]
+    return replace(model, slope=kept.slope, shift=kept.shift, mean=means, spread=kept.spread, limit=kept.limit)
 
 
 def predicted(model: Model, texts: Iterable[bytes], costs: Costs) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

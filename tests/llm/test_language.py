@@ -138,3 +138,29 @@ def test_ties_go_to_the_first_language(spark):
     model = L.calibrate(L.count_model(docs), np.zeros((0, 2)), np.zeros(0, dtype=np.int64), [])
     langs, score, _, _ = L.predicted(model, [b"same", b"words"], L.Costs(model))
     assert langs == ["a", "a"] and score == pytest.approx([0.5, 0.5], abs=0.05)
+
+
+def test_all_training_documents_count_and_the_whole_tenth_calibrates(spark):
+    rows = [(i, " ".join(f"{w}" for w in text.split()) + " " + "abcdefghij"[i % 10] * (1 + i % 7), lang) for i, (lang, text) in enumerate(400 * list(TEXTS.items()))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = frame.filter(f"{L.HELD_OUT} <> 2")
+    model = L.train(frame)
+    whole = L.count_model(learned)
+    words = ["banana", "über", "вода", "qqq"]
+    assert np.array_equal(model.costs(words), whole.costs(words))
+    # The same curve and limit from all spared documents at once.
+    spared = f"pmod(xxhash64(doc_id), {L.CALIBRATION_SHARE}) = 0"
+    kept = L.count_model(learned.filter(f"not {spared}"))
+    texts = learned.filter(spared).collect()
+    bits, size = L.Costs(kept).of([L.words_of(r.text.encode()) for r in texts])
+    same = L.calibrate(kept, bits, size, [r.lang for r in texts])
+    assert len(texts) > 60 and model.limit < math.inf
+    assert np.allclose([model.slope, model.shift, *model.mean, *model.spread, model.limit], [same.slope, same.shift, *same.mean, *same.spread, same.limit], rtol=1e-6)
+    t = L.measured_texts(kept, bits, size, [r.lang for r in texts])
+    off = ((t.entropy - np.array(same.mean)[t.own]) / np.sqrt(same.spread[0] / t.size + same.spread[1]))[t.best == t.own]
+    assert same.limit == pytest.approx(np.sort(off)[math.ceil(L.ACCEPTED_SHARE * len(off)) - 1], abs=1e-9)
+
+
+def test_only_spared_documents(spark):
+    frame = spark.range(200).selectExpr("id AS doc_id", "'banana' AS text", "'aa' AS lang").filter(f"pmod(xxhash64(doc_id), {L.CALIBRATION_SHARE}) = 0")
+    assert {r.lang_pred for r in L.language_id(frame).collect()} == {"aa"}
